@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from loomspark.llm import substring_dedup, suffix_dedup
+from loomspark.llm import bpe, html_extract, substring_dedup, suffix_dedup, toxicity
 
-QUERIES = {f.__name__: f for f in (substring_dedup.op3_substring_dedup, suffix_dedup.op5_suffix_array_dedup)}
+_ALL = (
+    substring_dedup.op3_substring_dedup,
+    html_extract.op4_html_extraction,
+    suffix_dedup.op5_suffix_array_dedup,
+    toxicity.op6_toxicity,
+    bpe.op9_bpe,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
