@@ -20,8 +20,8 @@ from loomspark.llm.arrow import with_columns
 
 SAMPLE = 4096  # most labelled rows that are fitted
 BITS = 20
-KEPT = 1 << 14  # features with a weight
-EPOCHS = 60
+KEPT = 1 << 14  # most features with a weight: those that speak for toxicity
+EPOCHS = 100
 BIAS = -6.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,7 +81,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, flo
         seen[label][np.unique(f)] += 1
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
     total = seen[0] + seen[1]
-    worth = np.where(total >= 2, total * odds * odds, 0)
+    worth = np.where((total >= 3) & (odds > 1), total * odds * odds, 0)
     chosen = np.sort(np.argsort(-worth, kind="stable")[:KEPT])
     chosen = chosen[worth[chosen] > 0]
     index = np.full(1 << BITS, -1, np.int64)
@@ -94,19 +94,19 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, flo
         doc.append(np.full(len(counts), k))
         n += len(counts)
     feature, owner, doc = map(np.concatenate, (feature, owner, doc))
-    x, bias = np.clip(odds[chosen], -2, 2), BIAS
+    x, bias = odds[chosen], BIAS
     m, v = np.zeros(len(x) + 1), np.zeros(len(x) + 1)
     balance = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     for t in range(1, EPOCHS + 1):
         z = np.bincount(owner, x[feature], n) + bias
-        s = 1 / (1 + np.exp(-z))
+        s = np.exp(-np.logaddexp(0, -z))
         none = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)))  # no sentence is toxic
         p = np.clip(1 - none, 1e-9, 1)
         slope = balance * np.where(y > 0, -(1 - p) / p, 1.0) / len(y)
         g_z = slope[doc] * s
-        g = np.append(np.bincount(feature, g_z[owner], len(x)) + 1e-4 * x / len(x), g_z.sum())
+        g = np.append(np.bincount(feature, g_z[owner], len(x)) + 1e-5 * x, g_z.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        move = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         x, bias = x - move[:-1], bias - move[-1]
     w[chosen] = x
     return w, float(bias)
@@ -151,7 +151,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, float], text: str = "text"
         f, owner, doc, s, e = features(*tb.utf8(batch.column(text)))
         off = tb.utf8(batch.column(text))[1]
         z = np.bincount(owner, w[f], len(s)) + bias
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         total = 1 - np.exp(-np.bincount(doc, np.logaddexp(0, z), batch.num_rows))
         bad: list[list] = [[] for _ in range(batch.num_rows)]
         for k in np.flatnonzero(p >= 0.5).tolist():

@@ -30,7 +30,7 @@ def test_bpe_same_as_library(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, sf).collect()}
     assert len(got) == docs.count()
