@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, html_extract, substring_dedup, suffix_dedup, toxicity
+from loomspark.llm import bpe, fingerprints, html_extract, licences, mixing, substring_dedup, suffix_dedup, toxicity
 
 _ALL = (
+    mixing.op1_mixing,
     substring_dedup.op3_substring_dedup,
     html_extract.op4_html_extraction,
     suffix_dedup.op5_suffix_array_dedup,
     toxicity.op6_toxicity,
+    licences.op7_licence_scan,
+    fingerprints.op8_fingerprints,
     bpe.op9_bpe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
