@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, fingerprints, html_extract, licences, mixing, substring_dedup, suffix_dedup, toxicity
+from loomspark.llm import bpe, embedding_dedup, fingerprints, html_extract, licences, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity
 
 _ALL = (
     mixing.op1_mixing,
+    ngram_join.op2_ngram_join,
     substring_dedup.op3_substring_dedup,
     html_extract.op4_html_extraction,
     suffix_dedup.op5_suffix_array_dedup,
@@ -13,6 +14,7 @@ _ALL = (
     licences.op7_licence_scan,
     fingerprints.op8_fingerprints,
     bpe.op9_bpe,
+    embedding_dedup.op10_embedding_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_embedding_dedup": embedding_dedup.OP10_SQL}

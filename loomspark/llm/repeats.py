@@ -94,7 +94,7 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
 def slices(keys: np.ndarray):
     """(key, slice) of each run of equal neighbours."""
     at = tb.runs(keys)
-    return zip(keys[at].tolist(), map(slice, at.tolist(), [*at[1:].tolist(), len(keys)]), strict=True)
+    return zip(keys[at].tolist(), map(slice, at.tolist(), [*at[1:].tolist(), len(keys)]), strict=False)
 
 
 MAIL = T.StructType([T.StructField("to", T.LongType()), T.StructField("sender", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -265,7 +265,7 @@ def _apply(u: Units, docs: pa.Table, told: pa.Table, doc_id: str, text: str, kee
     doc, key, s, e = doc[order], key[order], s[order], e[order]
     where: dict[tuple[int, int], slice] = {}
     at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    for p, q in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
+    for p, q in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False):  # at is empty without spans
         where[int(doc[p]), int(key[p])] = slice(p, q)
     ids = docs[doc_id].cast(pa.int64()).fill_null(_NEVER).to_pylist()
     n_units, n_removed, spans, kept = [], [], [], []
