@@ -1,4 +1,400 @@
 """Queries over the driver tables, each with the SQL that checks it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from loomspark.functions import scalars as X
+from loomspark.functions import text as S
+from loomspark.operators import agreement, corpus, judge, matching, metrics, ratings, scoring, split
+from loomspark.plans import tables as t
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+WEIGHTS = {"f0": 2, "f1": 4, "f2": 3}
+ACCURATE = "count(*) AS n, count(*) FILTER (p = y) AS hits, count(*) FILTER (y) AS n_positive, count(*) FILTER (p = y AND y) AS hits_positive, count(*) FILTER (NOT y) AS n_negative, count(*) FILTER (p = y AND NOT y) AS hits_negative"
+
+
+def query(sql: str | None = None):
+    """Register a query; its SQL may use the tables of ``tables.WITH``."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = t.WITH + sql
+        return f
+
+    return add
+
+
+@query("SELECT row_id, digest, token_count FROM corpus")
+def normalize_digest(spark, sf):
+    return t.corpus(spark, sf).select("row_id", "digest", "token_count")
+
+
+@query(f"SELECT row_id, token_count FROM corpus WHERE token_count BETWEEN {t.LOW} AND {t.HIGH}")
+def token_range_filter(spark, sf):
+    return t.corpus(spark, sf).where(F.col("token_count").between(t.LOW, t.HIGH)).select("row_id", "token_count")
+
+
+@query(f"SELECT row_id, length({t._norm('text')}) AS chars FROM corpus WHERE length({t._norm('text')}) <= 8192")
+def char_limit_filter(spark, sf):
+    n = F.length(S.normalize(F.col("text"))).cast("long")
+    return t.corpus(spark, sf).select("row_id", n.alias("chars")).where("chars <= 8192")
+
+
+@query("SELECT min(row_id) AS row_id, digest FROM corpus GROUP BY digest")
+def exact_dedup_first(spark, sf):
+    return corpus.first_of_each(t.corpus(spark, sf).select("row_id", "digest"), "digest")
+
+
+@query("SELECT row_id, digest FROM corpus WHERE digest NOT IN (SELECT digest FROM exclusions)")
+def exclusion_anti_join(spark, sf):
+    return corpus.exclude(t.corpus(spark, sf).select("row_id", "digest"), t.exclusions(spark, sf))
+
+
+@query("SELECT count(*) AS documents, sum(token_count)::BIGINT AS tokens, count(*) FILTER (b) AS excluded_documents, coalesce(sum(token_count) FILTER (b), 0)::BIGINT AS excluded_tokens FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)")
+def exclusion_audit(spark, sf):
+    return corpus.audit(t.corpus(spark, sf), t.exclusions(spark, sf))
+
+
+@query(f"SELECT row_id, token_count, digest FROM eligible WHERE cum - token_count < {t.TARGET}")
+def token_budget_prefix(spark, sf):
+    return corpus.build(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET).select("row_id", "token_count", "digest")
+
+
+@query(f"SELECT row_id, token_count, digest FROM eligible WHERE cum - token_count < {2 * t.TARGET}")
+def resumed_budget(spark, sf):
+    """A build that stopped at half its budget, carried on, is the build in one go."""
+    pool, banned = t.corpus(spark, sf), t.exclusions(spark, sf)
+    part = corpus.build(pool, banned, t.LOW, t.HIGH, t.TARGET)
+    return corpus.build(pool, banned, t.LOW, t.HIGH, 2 * t.TARGET, kept=part).select("row_id", "token_count", "digest")
+
+
+@query("SELECT row_id, digest FROM (SELECT min(row_id) AS row_id, digest FROM corpus GROUP BY digest) ORDER BY row_id LIMIT 500")
+def count_limited_corpus(spark, sf):
+    return corpus.count_prefix(corpus.first_of_each(t.corpus(spark, sf).select("row_id", "digest"), "digest"), 500)
+
+
+@query(f"""SELECT reason, count(*) AS documents, sum(token_count)::BIGINT AS tokens FROM (SELECT token_count, CASE WHEN token_count < {t.LOW} THEN 'short' WHEN token_count > {t.HIGH} THEN 'long' WHEN b THEN 'excluded'
+  WHEN row_number() OVER (PARTITION BY digest, token_count BETWEEN {t.LOW} AND {t.HIGH} AND NOT b ORDER BY row_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)) GROUP BY reason""")
+def rejection_report(spark, sf):
+    x = corpus.reasons(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH)
+    return x.groupBy("reason").agg(F.count("*").alias("documents"), F.sum("token_count").alias("tokens"))
+
+
+@query("SELECT file, count(*) AS texts, count(DISTINCT digest) AS digests FROM exclusions GROUP BY file")
+def multi_exclusion_union(spark, sf):
+    return t.exclusions(spark, sf).groupBy("file").agg(F.count("*").alias("texts"), F.countDistinct("digest").alias("digests"))
+
+
+@query("SELECT row_id, filter, model, rating::DOUBLE AS rating FROM ratings")
+def rated_long_form(spark, sf):
+    """Nested ratings as JSON text, read back to long form."""
+    long = t.ratings(spark, sf)
+    entry = F.struct("model", "rating", F.lit("why").alias("explanation"), F.lit("").alias("quote"))
+    nested = long.groupBy("row_id", "filter").agg(F.collect_list(entry).alias("l")).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("filter", "l"))).alias("ratings"))
+    rows = nested.select("row_id", F.parse_json(F.to_json(F.struct("ratings"))).alias("value"))
+    return ratings.explode_ratings(rows, X.rating_for_rater).select("row_id", "filter", "model", "rating")
+
+
+@query("SELECT d.row_id, l.filter, l.model FROM corpus d CROSS JOIN layout l ANTI JOIN ratings USING (row_id, filter, model)")
+def pending_pairs(spark, sf):
+    return ratings.pending(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
+
+
+@query("SELECT count(*) FILTER (m > 0) AS missing_documents, count(*) AS documents, sum(m)::BIGINT AS missing_ratings, sum(n)::BIGINT AS ratings FROM (SELECT row_id, count(*) AS n, count(*) FILTER (rating IS NULL) AS m FROM corpus CROSS JOIN layout LEFT JOIN ratings USING (row_id, filter, model) GROUP BY row_id)")
+def missing_stats(spark, sf):
+    return ratings.missing_stats(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
+
+
+@query("SELECT row_id, filter, model, coalesce(rating, 5)::BIGINT AS rating FROM corpus CROSS JOIN layout LEFT JOIN ratings USING (row_id, filter, model)")
+def merge_missing_only(spark, sf):
+    new = t.corpus(spark, sf).select("row_id").crossJoin(F.broadcast(t.layout(spark).select("filter", "model"))).withColumn("rating", F.lit(5).cast("long"))
+    return ratings.merge_missing(t.ratings(spark, sf), new)
+
+
+@query("""SELECT (SELECT count(DISTINCT m.row_id) FROM m) AS matched_rows, sum(a)::BIGINT AS added_ratings, sum(n - a)::BIGINT AS collisions FROM (
+  SELECT row_id, l.filter, l.model, count(*) AS n, (max(r.rating) IS NULL)::BIGINT AS a FROM m CROSS JOIN layout l LEFT JOIN ratings r USING (row_id, filter, model) GROUP BY ALL)""".replace("(SELECT count(DISTINCT m.row_id) FROM m)", "(SELECT count(DISTINCT row_id) FROM matched)").replace("FROM m CROSS", "FROM (SELECT row_id FROM matched) m CROSS"))
+def overlay_merge_stats(spark, sf):
+    found = matching.match(t.hand(spark, sf), t.corpus(spark, sf)).select("ann_id", "row_id")
+    overlay = t.hand(spark, sf).select("ann_id").crossJoin(F.broadcast(t.layout(spark).select("filter", "model")))
+    return ratings.overlay_stats(t.ratings(spark, sf), overlay, found)
+
+
+@query("SELECT row_id, CASE WHEN count(r.rating) = 9 THEN string_agg((r.rating * 100)::BIGINT::VARCHAR, ',' ORDER BY idx) END AS targets FROM corpus CROSS JOIN layout LEFT JOIN ratings r USING (row_id, filter, model) GROUP BY row_id")
+def target_vector(spark, sf):
+    """Targets as whole thousandths, joined in layout order."""
+    x = ratings.targets(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
+    return x.select("row_id", F.when(F.col("targets").isNotNull(), F.array_join(F.transform("targets", lambda v: F.round(v * 1000).cast("long")), ",")).alias("targets"))
+
+
+@query("SELECT count(*) FILTER (n < 9) AS incomplete, count(*) AS documents FROM (SELECT row_id, count(r.rating) AS n FROM corpus LEFT JOIN ratings r USING (row_id) GROUP BY row_id)")
+def incomplete_rows(spark, sf):
+    x = ratings.targets(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
+    return x.agg(F.count_if(F.col("targets").isNull()).alias("incomplete"), F.count("*").alias("documents"))
+
+
+@query("SELECT ann_id, row_id, how FROM matched")
+def exact_prefix_match(spark, sf):
+    return matching.match(t.hand(spark, sf), t.corpus(spark, sf))
+
+
+@query("SELECT row_id, count(*) AS annotations FROM matched GROUP BY row_id HAVING count(*) > 1")
+def match_uniqueness_violations(spark, sf):
+    return matching.clashes(matching.match(t.hand(spark, sf), t.corpus(spark, sf)))
+
+
+@query("SELECT row_id FROM corpus WHERE row_id NOT IN (SELECT row_id FROM matched)")
+def overlap_exclusion(spark, sf):
+    """Rows left for training when the first match of each hand text goes."""
+    found = matching.match(t.hand(spark, sf), t.corpus(spark, sf)).where("row_id is not null")
+    return t.corpus(spark, sf).select("row_id").join(found.select("row_id").distinct(), "row_id", "left_anti")
+
+
+@query("SELECT row_id FROM corpus WHERE left(text, 200) IN (SELECT left(text, 200) FROM hand)")
+def overlap_all_matches(spark, sf):
+    return matching.all_matches(t.hand(spark, sf), t.corpus(spark, sf))
+
+
+@query("SELECT row_id FROM corpus ORDER BY sha256('7:' || row_id) LIMIT (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM corpus)")
+def hash_validation_split(spark, sf):
+    return split.hash_sample(t.corpus(spark, sf).select("row_id"), 0.05, 7)
+
+
+UPSAMPLED = "SELECT row_id, coalesce(max(w), 1)::BIGINT AS weight FROM (SELECT row_id, CASE WHEN sum(rating) >= 2 * count(*) THEN CASE filter WHEN 'f0' THEN 2 WHEN 'f1' THEN 4 ELSE 3 END END AS w FROM ratings GROUP BY row_id, filter) GROUP BY row_id"
+
+
+@query(UPSAMPLED)
+def upsample_weights(spark, sf):
+    return split.upsample_weights(t.ratings(spark, sf), WEIGHTS)
+
+
+@query(f"SELECT row_id, weight, unnest(range(1, weight + 1)) AS copy FROM ({UPSAMPLED})")
+def upsampled_training(spark, sf):
+    return split.replicate(split.upsample_weights(t.ratings(spark, sf), WEIGHTS))
+
+
+@query("SELECT (SELECT count(*) FROM corpus) AS documents, (SELECT count(*) FROM hand) AS hand, (SELECT count(DISTINCT row_id) FROM matched) AS overlap, (SELECT count(*) FROM (SELECT row_id FROM ratings GROUP BY row_id HAVING count(*) = 9)) AS complete, " + f"(SELECT sum(weight)::BIGINT FROM ({UPSAMPLED})) AS training_rows")
+def split_summary(spark, sf):
+    docs, long = t.corpus(spark, sf), t.ratings(spark, sf)
+    found = matching.match(t.hand(spark, sf), docs)
+    parts = [
+        docs.agg(F.count("*").alias("documents")),
+        t.hand(spark, sf).agg(F.count("*").alias("hand")),
+        found.agg(F.countDistinct("row_id").alias("overlap")),
+        ratings.targets(docs, t.layout(spark), long).agg(F.count("targets").alias("complete")),
+        split.upsample_weights(long, WEIGHTS).agg(F.sum("weight").alias("training_rows")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out
+
+
+@query("SELECT row_id, filter, n, mean FROM scores")
+def mean_per_filter(spark, sf):
+    return agreement.scores(t.ratings(spark, sf)).select("row_id", "filter", "n", "mean")
+
+
+@query("SELECT row_id, filter, most FROM scores")
+def max_per_filter(spark, sf):
+    return agreement.scores(t.ratings(spark, sf)).select("row_id", "filter", "most")
+
+
+@query("SELECT row_id, filter, variance FROM scores")
+def model_variance(spark, sf):
+    return agreement.scores(t.ratings(spark, sf)).select("row_id", "filter", "variance")
+
+
+@query("SELECT row_id, filter, n, spread FROM scores WHERE n >= 2 AND spread >= 5")
+def high_disagreement(spark, sf):
+    return agreement.high_disagreement(t.ratings(spark, sf)).select("row_id", "filter", "n", "spread")
+
+
+@query("SELECT filter, bin, count(mean) AS documents FROM (SELECT DISTINCT filter FROM ratings) CROSS JOIN range(11) b(bin) LEFT JOIN scores USING (filter) WHERE FALSE GROUP BY ALL".replace("LEFT JOIN scores USING (filter) WHERE FALSE GROUP BY ALL", "LEFT JOIN (SELECT filter, round(mean, 0)::BIGINT AS bin, mean FROM scores) USING (filter, bin) GROUP BY ALL"))
+def mean_histogram(spark, sf):
+    return agreement.histogram(t.ratings(spark, sf))
+
+
+RANKED = "row_number() OVER (PARTITION BY filter ORDER BY {0} DESC NULLS LAST, row_id) AS rank"
+
+
+@query(f"SELECT row_id, filter, error, {RANKED.format('error')} FROM (SELECT row_id, filter, round(abs(mean - target), 6) AS error FROM scores JOIN human USING (row_id, filter))")
+def hand_label_error_ranking(spark, sf):
+    x = agreement.scores(t.ratings(spark, sf)).join(t.human(spark, sf), ["row_id", "filter"])
+    return agreement.ranked(x.select("row_id", "filter", F.round(F.abs(F.col("mean") - F.col("target")), 6).alias("error")), "error")
+
+
+@query(f"SELECT row_id, filter, variance, {RANKED.format('variance')} FROM scores")
+def variance_ranking(spark, sf):
+    return agreement.ranked(agreement.scores(t.ratings(spark, sf)).select("row_id", "filter", "variance"), "variance")
+
+
+@query(f"SELECT row_id, filter, mean, rank FROM (SELECT row_id, filter, mean, {RANKED.format('mean')} FROM scores) WHERE abs(rank - 200) <= 75")
+def doc_ranking_page(spark, sf):
+    return agreement.page(agreement.ranked(agreement.scores(t.ratings(spark, sf)).select("row_id", "filter", "mean"), "mean"), 200)
+
+
+CORRELATED = """SELECT filter, model_a, model_b, n, CASE WHEN n >= 2 AND n * xx - sx * sx > 0 AND n * yy - sy * sy > 0 THEN round(greatest(-1.0, least(1.0, (n * xy - sx * sy)::DOUBLE / sqrt((n * xx - sx * sx)::DOUBLE * (n * yy - sy * sy)::DOUBLE))), 9) END AS r FROM (
+  SELECT a.filter, a.model AS model_a, b.model AS model_b, count(*) AS n, sum(a.rating) AS sx, sum(b.rating) AS sy, sum(a.rating * a.rating) AS xx, sum(b.rating * b.rating) AS yy, sum(a.rating * b.rating) AS xy
+  FROM ratings a JOIN ratings b USING (row_id, filter) GROUP BY ALL)"""
+
+
+@query(CORRELATED)
+def pairwise_correlation(spark, sf):
+    return agreement.correlations(t.ratings(spark, sf))
+
+
+@query(f"SELECT filter, model_a, model_b, round((r - avg(r) OVER w) / stddev_pop(r) OVER w, 6) AS z FROM ({CORRELATED}) WINDOW w AS (PARTITION BY filter)")
+def correlation_zscores(spark, sf):
+    return agreement.correlation_zscores(t.ratings(spark, sf))
+
+
+@query("""SELECT filter, model, count(target) AS n_human, round(avg(abs(rating - target)), 6) AS mae_human, count(o) AS n_others, round(avg(o), 6) AS mae_others FROM (
+  SELECT r.*, target, CASE WHEN n > 1 THEN abs(rating - (s - rating) / (n - 1)::DOUBLE) END AS o FROM (SELECT *, sum(rating) OVER w AS s, count(*) OVER w AS n FROM ratings WINDOW w AS (PARTITION BY row_id, filter)) r LEFT JOIN human USING (row_id, filter)) GROUP BY ALL""")
+def model_mae(spark, sf):
+    return agreement.model_errors(t.ratings(spark, sf), t.human(spark, sf))
+
+
+@query(f"SELECT filter, {ACCURATE} FROM (SELECT filter, mean >= 5 AS p, label >= 1 AS y FROM scores JOIN human USING (row_id, filter)) GROUP BY filter")
+def threshold_accuracy_mean(spark, sf):
+    return agreement.threshold_accuracy(agreement.scores(t.ratings(spark, sf)), t.human(spark, sf), 5.0, "mean")
+
+
+@query(f"SELECT filter, {ACCURATE} FROM (SELECT filter, most >= 5 AS p, label >= 1 AS y FROM scores JOIN human USING (row_id, filter)) GROUP BY filter")
+def threshold_accuracy_max(spark, sf):
+    return agreement.threshold_accuracy(agreement.scores(t.ratings(spark, sf)), t.human(spark, sf), 5.0, "most")
+
+
+@query("SELECT filter, count(*) AS n, round(avg(s), 6) AS accuracy, count(*) FILTER (label = 1) AS n_positive, round(avg(s) FILTER (label = 1), 6) AS accuracy_positive, count(*) FILTER (label = 0) AS n_negative, round(avg(s) FILTER (label = 0), 6) AS accuracy_negative FROM (SELECT filter, label, CASE WHEN label = 1 THEN mean / 10 ELSE 1 - mean / 10 END AS s FROM scores JOIN human USING (row_id, filter) WHERE label IN (0, 1)) GROUP BY filter")
+def probabilistic_accuracy(spark, sf):
+    x = agreement.scores(t.ratings(spark, sf)).join(t.human(spark, sf), ["row_id", "filter"])
+    return metrics.probabilistic_accuracy(x.withColumn("p", F.col("mean") / 10))
+
+
+SCORED = "FROM logits l JOIN ratings r ON l.row_id = r.row_id AND l.filter = r.filter AND l.judge = r.model GROUP BY l.filter"
+
+
+def _scored(spark, sf):
+    return t.logits(spark, sf).withColumnRenamed("judge", "model").join(t.ratings(spark, sf), ["row_id", "filter", "model"])
+
+
+@query(f"SELECT l.filter, count(*) AS n, round(avg(greatest(logit, 0) - logit * rating / 10 + ln(1 + exp(-abs(logit)))), 6) AS loss {SCORED}")
+def bce_loss(spark, sf):
+    return _scored(spark, sf).groupBy("filter").agg(F.count("*").alias("n"), F.round(F.avg(X.bce_with_logits(F.col("logit"), F.col("rating") / 10)), 6).alias("loss"))
+
+
+@query(f"SELECT l.filter, count(*) AS n, round(avg(abs(1 / (1 + exp(-logit)) - rating / 10)), 6) AS mae {SCORED}")
+def validation_mae(spark, sf):
+    return _scored(spark, sf).groupBy("filter").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(X.sigmoid(F.col("logit")) - F.col("rating") / 10)), 6).alias("mae"))
+
+
+@query("SELECT s AS step, round(CASE WHEN s < 50 THEN (s + 1) / 50.0 WHEN s < 800 THEN 1.0 ELSE 0.5 * (1 + cos(pi() * (s - 800) / 200.0)) END, 6)::DOUBLE AS multiplier FROM range(1000) t(s)")
+def lr_schedule(spark, sf):
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(X.learning_rate(F.col("id"), 1000, 0.05, 0.2), 6).alias("multiplier"))
+
+
+@query("SELECT step, loss FROM log ORDER BY loss, step LIMIT 1")
+def best_checkpoint(spark, sf):
+    return metrics.best_checkpoint(t.training_log(spark, sf))
+
+
+@query("SELECT step, round(avg(loss) OVER (ORDER BY step ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 6) AS average FROM log")
+def moving_average_16(spark, sf):
+    return metrics.moving_average(t.training_log(spark, sf), "loss").select("step", F.round("average", 6).alias("average"))
+
+
+@query("SELECT (step - 1) // 50 AS \"window\", max(step) AS step, round(avg(loss), 6) AS loss FROM log GROUP BY 1 HAVING count(*) = 50")
+def tumbling_train_loss(spark, sf):
+    return metrics.windowed_loss(t.training_log(spark, sf), 50)
+
+
+BATCHED = "SELECT row_id, token_count, row_number() OVER (ORDER BY token_count, row_id) - 1 AS rank, (row_number() OVER (ORDER BY token_count, row_id) - 1) // 256 AS batch FROM corpus"
+
+
+@query(BATCHED)
+def length_batches(spark, sf):
+    return scoring.length_batches(t.corpus(spark, sf).select("row_id", "token_count"), 256)
+
+
+@query(f"SELECT sum(t)::BIGINT AS tokens, sum(p)::BIGINT AS padded_tokens FROM (SELECT sum(token_count) AS t, max(token_count) * count(*) AS p FROM ({BATCHED}) GROUP BY batch)")
+def padding_waste(spark, sf):
+    return scoring.padding_waste(scoring.length_batches(t.corpus(spark, sf).select("row_id", "token_count"), 256))
+
+
+@query("SELECT row_id, filter, judge, round(logit, 6) AS logit FROM logits")
+def linear_head_scores(spark, sf):
+    return t.logits(spark, sf).withColumn("logit", F.round("logit", 6))
+
+
+@query("SELECT row_id, filter, round(avg(1 / (1 + exp(-logit))), 6) AS p FROM logits GROUP BY ALL")
+def filter_mean_probability(spark, sf):
+    return scoring.filter_means(t.logits(spark, sf).withColumn("p", X.sigmoid(F.col("logit"))))
+
+
+@query("SELECT row_id, filter, judge, round(1 / (1 + exp(-logit)), 6) AS p FROM logits")
+def tags_long(spark, sf):
+    """Tags nested and taken apart again."""
+    tags = scoring.nest_tags(t.logits(spark, sf).withColumn("p", X.sigmoid(F.col("logit"))))
+    x = tags.select("row_id", F.explode("tags").alias("filter", "m")).select("row_id", "filter", F.explode("m").alias("judge", "p"))
+    return x.withColumn("p", F.round("p", 6))
+
+
+@query("SELECT DISTINCT filter, model FROM ratings")
+def distinct_filters_models(spark, sf):
+    return t.ratings(spark, sf).select("filter", "model").distinct()
+
+
+@query("SELECT row_id, sha256('Rate this: ' || text || chr(10) || 'Rate how far f zero applies.') AS prompt_sha256 FROM corpus")
+def prompt_text(spark, sf):
+    p = S.prompt("Rate this: {document}", F.col("text"), "Rate how far {trait} applies.", "f_zero")
+    return t.corpus(spark, sf).select("row_id", F.sha2(p, 256).alias("prompt_sha256"))
+
+
+@query(f"SELECT row_id, CASE WHEN length(n) > 200 THEN left(n, 200) || '...' ELSE n END AS snippet FROM (SELECT row_id, {t._norm('text')} AS n FROM corpus)")
+def snippets(spark, sf):
+    return t.corpus(spark, sf).select("row_id", S.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT row_id, filter, model, rating FROM ratings")
+def rating_tag_parse(spark, sf):
+    answer = F.concat(F.lit("draft <rating>3</rating> final <rating>"), F.col("rating").cast("string"), F.lit("</rating><explanation> so\nit is </explanation>"))
+    return t.ratings(spark, sf).select("row_id", "filter", "model", S.parse_response(answer)["rating"].cast("long").alias("rating"))
+
+
+@query("SELECT row_id, CASE WHEN greatest(a, b, c) IS NULL THEN NULL WHEN a >= 7 THEN 1 WHEN greatest(a, b) >= 7 THEN 2 WHEN greatest(a, b, c) >= 7 THEN 3 ELSE 4 END AS level FROM (SELECT row_id, max(mean) FILTER (filter = 'f0') AS a, max(mean) FILTER (filter = 'f1') AS b, max(mean) FILTER (filter = 'f2') AS c FROM scores GROUP BY row_id)")
+def stratified_levels(spark, sf):
+    """The first of the nested filters whose mean reaches 7, else level 4."""
+    x = agreement.scores(t.ratings(spark, sf)).groupBy("row_id").agg(*(F.max(F.when(F.col("filter") == f"f{k}", F.col("mean"))).alias(c) for k, c in enumerate("abc")))
+    most = F.greatest("a", "b", "c")
+    level = F.when(most.isNull(), F.lit(None)).when(F.col("a") >= 7, 1).when(F.greatest("a", "b") >= 7, 2).when(most >= 7, 3).otherwise(4)
+    return x.select("row_id", level.alias("level"))
+
+
+@query()
+def exact_sample_split(spark, sf):
+    return split.exact_sample(t.corpus(spark, sf).select("row_id"), 0.05, 7)
+
+
+@query()
+def batch_order(spark, sf):
+    n = t.corpus(spark, sf).count()
+    return scoring.batch_order(spark, -(-n // 256), 7)
+
+
+@query()
+def tags_nested(spark, sf):
+    tags = scoring.nest_tags(scoring.probabilities(t.logits(spark, sf)))
+    return tags.withColumn("valid", scoring.tags_valid(F.col("tags"), {f"f{k}": ["m0", "m1", "m2"] for k in range(3)}))
+
+
+@query()
+def judge_stub_refill(spark, sf):
+    docs, long = t.corpus(spark, sf), t.ratings(spark, sf)
+    todo = ratings.pending(docs, t.layout(spark), long).join(docs.select("row_id", "text"), "row_id")
+    asked = judge.ask(todo.withColumn("prompt", S.prompt("Rate: {document}", F.col("text"), "0 to 10", "x")), t.judge)
+    new = judge.parsed(asked).select("row_id", "filter", "model", F.col("rating").cast("long"))
+    return ratings.merge_missing(long, new)
