@@ -185,8 +185,7 @@ def set_columns(docs: DataFrame, text: str, k: int) -> DataFrame:
     return with_columns(docs, run, [T.StructField("n_shingles", T.LongType()), T.StructField("__d1", T.LongType()), T.StructField("__d2", T.LongType())])
 
 
-_KEY = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(f"s{j}", T.LongType()) for j in range(SKETCH))])
-_SET = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.BinaryType())])
+_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "id", "n", *(f"s{j}" for j in range(SKETCH)))] + [T.StructField("set", T.BinaryType())])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -261,28 +260,29 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             v, who = v[keep], who[keep]
         return g, d, ids, v, who
 
-    def key_rows(key, table, told):
+    def rows(key, table, told):
+        """The shared keys of each set, and once the set itself (with a null key)."""
+        empty = pa.table([pa.array([], pa.binary() if f.name == "set" else pa.int64()) for f in _ROW], _ROW.names)
         if not table.num_rows:
-            return pa.table([pa.array([], pa.int64())] * len(_KEY), _KEY.names)
+            return empty
         g, d, ids, v, who = shared_here(table, told)
-        sk = parity(g, d, len(ids))[who] if len(ids) else np.zeros((0, SKETCH), np.int64)
+        if not len(v):
+            return empty
+        sk = parity(g, d, len(ids))[who]
         n = np.bincount(d, minlength=len(ids))
-        return pa.table([pa.array(v.view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH))], _KEY.names)
-
-    def set_rows(key, table, told):
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["id", "set"])
-        g, d, ids, _, who = shared_here(table, told)
-        bounds = np.searchsorted(d, np.arange(len(ids) + 1))
-        pick = np.unique(who).tolist()
-        return pa.table([pa.array(ids[pick], pa.int64()), pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in pick], pa.binary())], ["id", "set"])
+        first = [pa.array(v.view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), pa.nulls(len(v), pa.binary())]
+        bounds, pick = np.searchsorted(d, np.arange(len(ids) + 1)), np.unique(who)
+        none = pa.nulls(len(pick), pa.int64())
+        sets = pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in pick.tolist()], pa.binary())
+        second = [none, pa.array(ids[pick]), none, *[none] * SKETCH, sets]
+        return pa.concat_tables([pa.table(first, _ROW.names), pa.table(second, _ROW.names)])
 
     grouped = x.groupBy("__block")
     sent = grouped.cogroup(own.groupBy("to")).applyInArrow(send, repeats.MAIL)
     told = repeats.shared_values(sent).withColumn("id", F.lit(None).cast("long")).unionByName(own)
     told = runtime.stored(told)
-    keys = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(key_rows, _KEY))
-    sets = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(set_rows, _SET))
+    found = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(rows, _ROW))
+    keys, sets = found.where("key is not null").drop("set"), found.where("set is not null").select("id", "set")
 
     def fits(r, s):
         return (t.whole * F.least(r, s) >= t.part * F.greatest(r, s))
@@ -303,6 +303,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     more = runtime.stored(_verify(second, sets, t))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
+    runtime.discard(told, found, links, rest, more)  # components() has cut its result from them
     named = classes.join(comp, "id", "left").select("__d1", "__d2", F.coalesce("component", "id").alias("c"))
     out = slim.join(named, ["__d1", "__d2"], "left").select("doc_id", "n_shingles", "c")
     # A row id can stand in several classes (rows that share an id): their classes are one.
