@@ -37,7 +37,7 @@ from loomspark import runtime
 from loomspark.llm import textbytes as tb
 
 BLOCK = 2_000_000
-HOT = 64
+HOT = 1024
 _NEVER = np.iinfo(np.int64).max  # stands for a null id: smaller than no other
 
 #: engine(contents, smallest document of each) -> for each window of each
@@ -52,6 +52,8 @@ class Units:
     words: bool
     width: int
     gram: int
+    block: int = BLOCK
+    hot: int = HOT
 
     def cut(self, buf: np.ndarray, off: np.ndarray):
         """Start, end and document of each unit; then first unit and anchor of each window."""
@@ -74,10 +76,10 @@ class Units:
         return start, end, doc, first, a[first]
 
 
-def block_count(docs: DataFrame, text: str) -> int:
+def block_count(docs: DataFrame, text: str, block: int = BLOCK) -> int:
     """Blocks for the whole input: by its bytes, and some for each shuffle partition."""
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2 * runtime.partitions(docs.sparkSession), -(-total // BLOCK))
+    return max(2 * runtime.partitions(docs.sparkSession), -(-total // block))
 
 
 def dealt(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
@@ -111,7 +113,7 @@ def distinct_mail(block: int, values: np.ndarray, buckets: int) -> pa.Table:
     return mail([(to, block, u[s].tobytes()) for to, s in slices(bucket_of(u, buckets))])
 
 
-def shared_values(sent: DataFrame) -> DataFrame:
+def shared_values(sent: DataFrame, most: int = HOT) -> DataFrame:
     """Mail to each block: its values that other blocks sent too, then 1 byte each: hot or not."""
 
     def compare(key, table):
@@ -125,7 +127,7 @@ def shared_values(sent: DataFrame) -> DataFrame:
         v, who, n = v[n > 1], who[n > 1], n[n > 1]
         order = np.argsort(who, kind="stable")
         v, who, n = v[order], who[order], n[order]
-        return mail([(to, key[0].as_py(), v[s].tobytes() + (n[s] > HOT).astype(np.uint8).tobytes()) for to, s in slices(who)])
+        return mail([(to, key[0].as_py(), v[s].tobytes() + (n[s] > most).astype(np.uint8).tobytes()) for to, s in slices(who)])
 
     return sent.groupBy("to").applyInArrow(compare, MAIL)
 
@@ -303,7 +305,7 @@ def remove_repeats(docs: DataFrame, u: Units, engine: Engine, doc_id: str, text:
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *OUT, T.StructField("kept", T.StringType() if u.words else T.BinaryType())])
     arrow = to_arrow_schema(schema)
-    blocks = block_count(docs, text)
+    blocks = block_count(docs, text, u.block)
     buckets = max(2 * runtime.partitions(docs.sparkSession), blocks // 2)
     x = dealt(docs.select(*names), doc_id, text, blocks)
 
@@ -321,7 +323,7 @@ def remove_repeats(docs: DataFrame, u: Units, engine: Engine, doc_id: str, text:
         return _apply(u, t, told, doc_id, text, names, arrow)
 
     needed = x.select(doc_id, text, "__key", "__block") if doc_id != text else x
-    told = shared_values(needed.groupBy("__block").applyInArrow(anchors, MAIL))
+    told = shared_values(needed.groupBy("__block").applyInArrow(anchors, MAIL), u.hot)
     sent = needed.groupBy("__block").cogroup(told.groupBy("to")).applyInArrow(segments, MAIL)
     judged = sent.groupBy("to").applyInArrow(judge, MAIL)
     return x.groupBy("__block").cogroup(judged.groupBy("to")).applyInArrow(apply, schema)

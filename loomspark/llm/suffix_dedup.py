@@ -16,6 +16,7 @@ from loomspark.llm import textbytes as tb
 from loomspark.llm.repeats import Units, remove_repeats
 
 WIDTH = 50
+BLOCK = 1_000_000  # a block's arrays take some 130 bytes for each byte of text
 
 
 def _digits(buf: np.ndarray) -> np.ndarray:
@@ -70,7 +71,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     (bytes), ``n_removed`` and ``spans``, the maximal removed ranges.
     """
     gram = max(1, width * 2 // 5)
-    return remove_repeats(docs, Units(False, width, gram), lambda c, m: radix_engine(c, m, width), doc_id, text)
+    return remove_repeats(docs, Units(False, width, gram, BLOCK), lambda c, m: radix_engine(c, m, width), doc_id, text)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
