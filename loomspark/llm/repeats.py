@@ -67,12 +67,13 @@ class Units:
                 g = g * np.uint64(0x9E3779B97F4A7C15) + w[t : t + n]
             g = tb.mix(g)
         else:
-            start = np.arange(len(buf))
-            end, doc = start + 1, np.repeat(np.arange(len(off) - 1), np.diff(off))
-            n = max(0, len(buf) - self.gram + 1)
-            g = tb.span_hash(h, start[:n], start[:n] + self.gram)
+            start = np.arange(len(buf), dtype=np.int32)
+            end, doc = start + np.int32(1), np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+            g = tb.gram_hash(h, self.gram)
+        del h
         a = tb.slide_min(g, self.width - self.gram + 1)
-        first = np.flatnonzero(doc[: len(a)] == doc[self.width - 1 : self.width - 1 + len(a)])
+        del g
+        first = np.flatnonzero(doc[: len(a)] == doc[self.width - 1 : self.width - 1 + len(a)]).astype(np.int32)
         return start, end, doc, first, a[first]
 
 

@@ -57,6 +57,14 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * down[start])
 
 
+def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each position, from the prefix sums."""
+    n = max(0, len(h) - k)
+    x = h[k : k + n] - h[:n]
+    x *= _power(len(h))[1][:n]
+    return mix(x)
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each run of bytes other than 0x20, 0x09-0x0D."""
     if not len(buf):
