@@ -16,26 +16,26 @@ from loomspark.llm import textbytes as tb
 from loomspark.llm.repeats import Units, remove_repeats
 
 WIDTH = 50
+PART = 1 << 17  # suffixes that one part of a sort should hold
 BLOCK = 1_000_000  # a block's arrays take some 130 bytes for each byte of text
 
 
-def _digits(buf: np.ndarray) -> np.ndarray:
-    """The big-endian number of 8 bytes at each position."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    d = np.zeros(len(buf), np.uint64)
+def _digits(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The big-endian number of the 8 bytes at each position; buf ends with 8 spare bytes."""
+    d = np.zeros(len(pos), np.uint64)
     for k in range(8):
-        d = d << np.uint64(8) | padded[k : k + len(buf)].astype(np.uint64)
+        d <<= np.uint64(8)
+        d |= buf[pos + k]
     return d
 
 
 def equal_suffixes(buf: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices into pos of suffixes whose first width bytes repeat, in groups, and the group starts."""
-    digit = _digits(buf)
     left, group = np.arange(len(pos)), np.zeros(len(pos), np.int64)
     for depth in range(0, width, 8):
         if not len(left):
             break
-        key = digit[pos[left] + depth]
+        key = _digits(buf, pos[left] + depth)
         if (over := depth + 8 - width) > 0:
             key = key >> np.uint64(8 * over)
         order = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
@@ -53,11 +53,23 @@ def radix_engine(contents: list[bytes], least: np.ndarray, width: int = WIDTH) -
     n = size - width + 1
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     pos = np.arange(n.sum()) + np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    smallest = np.repeat(least, n)
-    left, group = equal_suffixes(np.frombuffer(b"".join(contents), np.uint8), pos, width)
-    if len(left):
-        m = np.minimum.reduceat(smallest[left], group)
-        smallest[left] = np.repeat(m, np.diff(np.append(group, len(left))))
+    pos, smallest = pos.astype(np.int32), np.repeat(least, n)
+    buf = np.frombuffer(b"".join([*contents, bytes(8)]), np.uint8)
+    # The first pass deals suffixes out by their first byte; bytes of few suffixes share a part.
+    lead = buf[pos]
+    by = np.argsort(lead, kind="stable").astype(np.int32)
+    ends = np.cumsum(np.bincount(lead, minlength=256))
+    start = 0
+    for k, end in enumerate(ends.tolist()):
+        if end - start < PART and k < 255:
+            continue
+        part = by[start:end]
+        left, group = equal_suffixes(buf, pos[part], width)
+        if len(left):
+            left = part[left]
+            m = np.minimum.reduceat(smallest[left], group)
+            smallest[left] = np.repeat(m, np.diff(np.append(group, len(left))))
+        start = end
     return smallest
 
 
