@@ -12,10 +12,10 @@ keys sent and the expected chance meetings, from the number of sets in the band.
 Keys that no other document has are found first and never become rows. What is
 left is verified exactly on the whole sets, in two rounds: every document
 against the smallest one of each key it has; then, where the documents of a key
-still lie in several components, all pairs across these that a parity sketch
-doesn't rule out (a sketch differs in at most as many bits as the sets do in
-shingles). Pairs within a component can't change the result, so groups of copies
-aren't expanded.
+still lie in several components, all pairs across these. Pairs that a parity
+sketch rules out aren't verified (a sketch differs in at most as many bits as
+the sets do in shingles). Pairs within a component can't change the result, so
+groups of copies aren't expanded.
 """
 
 from __future__ import annotations
@@ -261,49 +261,56 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return g, d, ids, v, who
 
     def rows(key, table, told):
-        """The shared keys of each set, and once the set itself (with a null key)."""
+        """The shared keys of each set, and once the set itself with its sketch (and a null key)."""
         empty = pa.table([pa.array([], pa.binary() if f.name == "set" else pa.int64()) for f in _ROW], _ROW.names)
         if not table.num_rows:
             return empty
         g, d, ids, v, who = shared_here(table, told)
         if not len(v):
             return empty
-        sk = parity(g, d, len(ids))[who]
         n = np.bincount(d, minlength=len(ids))
-        first = [pa.array(v.view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), pa.nulls(len(v), pa.binary())]
+        empty_key = pa.nulls(len(v), pa.int64())
+        first = [pa.array(v.view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int64)), *[empty_key] * SKETCH, pa.nulls(len(v), pa.binary())]
         bounds, pick = np.searchsorted(d, np.arange(len(ids) + 1)), np.unique(who)
-        none = pa.nulls(len(pick), pa.int64())
+        sk = parity(g, d, len(ids))[pick]
         sets = pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in pick.tolist()], pa.binary())
-        second = [none, pa.array(ids[pick]), none, *[none] * SKETCH, sets]
+        second = [pa.nulls(len(pick), pa.int64()), pa.array(ids[pick]), pa.array(n[pick].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), sets]
         return pa.concat_tables([pa.table(first, _ROW.names), pa.table(second, _ROW.names)])
 
     grouped = x.groupBy("__block")
     sent = grouped.cogroup(own.groupBy("to")).applyInArrow(send, repeats.MAIL)
     told = repeats.shared_values(sent).withColumn("id", F.lit(None).cast("long")).unionByName(own)
-    told = runtime.stored(told)
     found = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(rows, _ROW))
-    keys, sets = found.where("key is not null").drop("set"), found.where("set is not null").select("id", "set")
+    keys, sets = found.where("key is not null").select("key", "id", "n"), found.where("set is not null").select("id", "set")
+    sketches = found.where("set is not null").drop("key", "set")
 
     def fits(r, s):
         return (t.whole * F.least(r, s) >= t.part * F.greatest(r, s))
 
+    def alike(p, q):
+        """The parity sketches of p and q don't rule the pair out."""
+        bits = (F.bit_count(F.col(f"{p}.s{j}").bitwiseXOR(F.col(f"{q}.s{j}"))) for j in range(SKETCH))
+        return sum(bits, F.lit(0)) * (part + whole) <= (whole - part) * (F.col(f"{p}.n") + F.col(f"{q}.n"))
+
     hub = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
-    first = keys.select("key", "id", "n").join(hub, "key").where((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    first = keys.join(hub, "key").where((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    first = first.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id"))
+    first = runtime.stored(first.where(alike("p", "q")).select("a", "b"))
     links = runtime.stored(_verify(first, sets, t))
     comp = components(links)
     placed = keys.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"))
+    open_keys = open_keys.where("lo != hi and ids > 2").select("key")  # of two documents, one is the smallest
     rest = runtime.stored(placed.join(open_keys, "key"))
-    p, q = rest.alias("p"), rest.alias("q")
-    apart = sum((F.bit_count(F.col(f"p.s{j}").bitwiseXOR(F.col(f"q.s{j}"))) for j in range(1, SKETCH)), F.bit_count(F.col("p.s0").bitwiseXOR(F.col("q.s0"))))
-    near = apart * (part + whole) <= (whole - part) * (F.col("p.n") + F.col("q.n"))
+    marked = rest.drop("n").join(sketches, "id")
+    p, q = marked.alias("p"), marked.alias("q")
     tried = first.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    second = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id")) & fits(F.col("p.n"), F.col("q.n")) & near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    second = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id")) & fits(F.col("p.n"), F.col("q.n")) & alike("p", "q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     second = second.join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
     more = runtime.stored(_verify(second, sets, t))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    runtime.discard(told, found, links, rest, more)  # components() has cut its result from them
+    runtime.discard(found, first, links, rest, more)  # components() has cut its result from them
     named = classes.join(comp, "id", "left").select("__d1", "__d2", F.coalesce("component", "id").alias("c"))
     out = slim.join(named, ["__d1", "__d2"], "left").select("doc_id", "n_shingles", "c")
     # A row id can stand in several classes (rows that share an id): their classes are one.
