@@ -327,3 +327,27 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), w AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), g AS (
+  SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS shingle FROM w
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM g WHERE i <= greatest(n - 3, 1)
+), c AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN c x ON a = x.doc_id JOIN c y ON b = y.doc_id WHERE 100 * common.n >= 85 * (x.size + y.size - common.n)
+), r(id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT links.b, r.c FROM r JOIN links ON r.id = links.a
+), m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id
+FROM documents d JOIN m ON d.doc_id = m.id LEFT JOIN c ON d.doc_id = c.doc_id
+"""

@@ -17,4 +17,9 @@ _ALL = (
     embedding_dedup.op10_embedding_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op10_embedding_dedup": embedding_dedup.OP10_SQL}
+SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op5_suffix_array_dedup": suffix_dedup.OP5_SQL,
+    "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+}

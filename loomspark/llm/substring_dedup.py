@@ -144,3 +144,23 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_passages(docs).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), g AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS passage FROM w
+), first AS (
+  SELECT passage, min(doc_id) AS least FROM g WHERE i <= n - 12 GROUP BY passage
+), hits AS (
+  SELECT g.doc_id, word, i, coalesce(least < g.doc_id, false) AS hit FROM g LEFT JOIN first ON g.passage = first.passage AND i <= n - 12
+), marked AS (
+  SELECT doc_id, word, i, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits
+)
+SELECT d.doc_id, count(i)::BIGINT AS n_words, (count(i) FILTER (gone))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""

@@ -91,3 +91,26 @@ def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(docs).select(
         "doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT doc_id, k, substr(h, 400 * k + 1, 498) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 399) // 400)) AS k FROM d)
+), g AS (
+  SELECT doc_id, 200 * k + j AS i, substr(part, 2 * j - 1, 2) AS byte, substr(part, 2 * j - 1, 100) AS string
+  FROM (SELECT doc_id, k, part, unnest(range(1, least(200, len(part) // 2) + 1)) AS j FROM parts)
+), first AS (
+  SELECT string, min(doc_id) AS least FROM g WHERE len(string) = 100 GROUP BY string
+), hits AS (
+  SELECT g.doc_id, byte, i, coalesce(least < g.doc_id, false) AS hit FROM g LEFT JOIN first ON g.string = first.string
+), marked AS (
+  SELECT doc_id, byte, i, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hits
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM marked
+)
+SELECT d.doc_id, count(i)::BIGINT AS n_bytes, (count(i) FILTER (gone))::BIGINT AS n_removed, (count(i) FILTER (edge))::BIGINT AS n_spans,
+  sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM documents d LEFT JOIN edges e ON d.doc_id = e.doc_id GROUP BY d.doc_id
+"""
