@@ -52,6 +52,8 @@ def plan(sizes: dict, budget: int | None, target_entropy: float | None, max_epoc
     ``keep_all`` the budget is what gives each source at least one whole block.
     """
     sources = [s for s in sizes if sizes[s] > 0]
+    if not sources:
+        return {}
     total = sum(sizes[s] for s in sources)
     shares = [sizes[s] / total for s in sources]
 
@@ -64,7 +66,7 @@ def plan(sizes: dict, budget: int | None, target_entropy: float | None, max_epoc
         a = max(a, bisect_exponent(shares, lambda w: entropy(w) <= target_entropy * log(max(2, len(sources)))))
     if max_epochs is not None:
         a = max(a, bisect_exponent(shares, lambda w: all(t <= max_epochs * sizes[s] * (1 + 1e-9) for s, t in zip(sources, tokens(w), strict=True))))
-    given = tokens(weights_at(shares, a)) if sources else []
+    given = tokens(weights_at(shares, a))
     return {s: max(round(t), sizes[s] if keep_all else 0) for s, t in zip(sources, given, strict=True)}
 
 
@@ -90,7 +92,7 @@ def mix(
     source takes documents in the order of a hash while their tokens fit the
     budget; rows of one id are taken together. A null source is a source of its
     own; a source without tokens gives nothing unless ``keep_all``; a null id
-    counts as the lowest. Input columns named epoch or place are replaced.
+    counts as the lowest; an empty table gives an empty mix. Input columns named epoch or place are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("epoch", "place")
