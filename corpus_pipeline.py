@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a Jaccard similarity of 0.8 on 5-word shingles stays: the smallest id.
 
-    Documents without a word stay.
+    Documents without a word stay. A null id counts as larger than any other;
+    rows that share an id stay or go together, null ids with one text too.
     """
-    groups = ngram_join.similar_documents(docs, k=5, part=80, whole=100)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(COLUMNS)
+    numbered = docs.withColumn("__id", F.coalesce(F.col("doc_id"), ngram_join.stand_in(F.xxhash64("text"))))
+    groups = ngram_join.similar_documents(numbered, doc_id="__id", k=5, part=80, whole=100)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return numbered.join(keep, "__id", "left_semi").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

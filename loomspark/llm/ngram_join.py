@@ -37,10 +37,16 @@ from loomspark.llm.components import components
 
 RATIO = 1.3  # of a band's sizes
 SKETCH = 8  # longs of parity bits
+STAND_INS = 1 << 62  # null ids are numbered from here on; ids lie below
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def stand_in(key):
+    """A number above all ids in place of a null id."""
+    return key.bitwiseAND(F.lit(STAND_INS - 1)).bitwiseOR(F.lit(STAND_INS))
+
+
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and their document, ordered by document and hash."""
     low = _LOWER[buf]
@@ -218,7 +224,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     slim = runtime.stored(set_columns(docs, "text", k).withColumn("__key", F.xxhash64("doc_id", "text")).drop("text"))
     classes = slim.where("n_shingles > 0").groupBy("__d1", "__d2").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "__key"))["__key"].alias("__key"), F.first("n_shingles").alias("n"))
-    classes = runtime.stored(classes.withColumn("id", F.coalesce("id", F.col("__key").bitwiseOR(F.lit(-(1 << 63))))))
+    classes = runtime.stored(classes.withColumn("id", F.coalesce("id", stand_in(F.col("__key")))))
     by_size = {r.b: r.n for r in classes.groupBy(F.floor(F.log("n") / math.log(RATIO)).alias("b")).agg(F.count("*").alias("n")).collect()}
     plans = {b: p for b in range(max(by_size, default=0) + 2) if (p := allocate(t, b, by_size.get(b, 0) + by_size.get(b - 1, 0)))}
     blocks = repeats.block_count(docs, "text")
@@ -320,8 +326,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         pairs = out.join(same.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("c").alias("b"))
         merged = components(pairs).select(F.col("id").alias("c"), F.col("component").alias("m"))
         out = out.join(merged, "c", "left").withColumn("c", F.coalesce("m", "c"))
-    c = F.coalesce("c", "doc_id")
-    # Null ids got negative stand-ins; a component of those alone has no id.
+    # Stand-ins lie above all ids, so only a component of null ids alone still has one.
+    c = F.when(F.col("doc_id").isNotNull() | (F.col("c") < STAND_INS), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", c.alias("component_id"))
 
 
