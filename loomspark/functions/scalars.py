@@ -39,8 +39,22 @@ def learning_rate(step: Column, total: int, warmup: float, decay: float) -> Colu
 
 
 def duration(seconds: Column) -> Column:
-    s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    """HH:MM:SS of seconds rounded half to even, not below zero; "--:--:--" if they are null or not finite."""
+    x = seconds.cast("double")
+    s = F.greatest(F.lit(0), F.bround(x)).cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.when(F.isnan(x) | F.abs(x).isin(float("inf")) | x.isNull(), "--:--:--").otherwise(clock)
+
+
+def time_left(elapsed: Column, done: Column, total: Column) -> Column:
+    """Seconds that remain at the rate so far; null before the first step."""
+    return F.when(done > 0, F.greatest(F.lit(0.0), elapsed) * F.greatest(F.lit(0), total - done) / done)
+
+
+def mean_text(mean: Column) -> Column:
+    """A whole mean as it is, else with one decimal; "-" without one."""
+    whole = F.floor(mean) == mean
+    return F.when(mean.isNull(), "-").when(whole, mean.cast("long").cast("string")).otherwise(F.format_string("%.1f", mean.cast("double")))
 
 
 def rating_for_rater(v: Column) -> Column:
@@ -51,6 +65,7 @@ def rating_for_rater(v: Column) -> Column:
 
 
 def rating_for_training(v: Column) -> Column:
-    """VARIANT entry: any finite number of 0 to 10."""
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.rating", "variant"))
-    return F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & F.try_variant_get(v, "$.rating", "double").between(0, 10), F.lit(False))
+    """VARIANT entry: any finite number of 0 to 10, with a string model. The viewer takes the same ones."""
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    number = kind("rating").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return F.coalesce(number & F.try_variant_get(v, "$.rating", "double").between(0, 10) & (kind("model") == "STRING"), F.lit(False))

@@ -42,6 +42,34 @@ def prompt(template: str, text: Column, grading: str, filter_name: str) -> Colum
     return F.concat(F.replace(F.lit(template), F.lit("{document}"), text), F.lit("\n" + grading.replace("{trait}", filter_name.replace("_", " "))))
 
 
+def message_text(content: Column) -> Column:
+    """Text of a chat message's VARIANT content: a string, or a list of strings and {text} or {content} objects.
+
+    Parts are joined by a newline; anything else is left out.
+    """
+
+    def string(v: Column, path: str = "$") -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+    def part(v: Column) -> Column:
+        first = F.schema_of_variant(F.try_variant_get(v, "$.text", "variant"))
+        empty = first.isNull() | (first == "VOID") | (string(v, "$.text") == "")
+        return F.coalesce(string(v), F.when(F.coalesce(empty, F.lit(False)), string(v, "$.content")).otherwise(string(v, "$.text")))
+
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    return F.coalesce(string(content), F.array_join(F.transform(parts, part), "\n"), F.lit(""))
+
+
+def payload(model: Column, text: Column, system: str, max_tokens: int, effort: str) -> Column:
+    """A chat request as JSON: a system message, the prompt, the output limit and the reasoning options."""
+    messages = F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
+        F.struct(F.lit("user").alias("role"), text.alias("content")),
+    )
+    reasoning = F.struct(F.lit(True).alias("enabled"), F.lit(effort).alias("effort"), F.lit(True).alias("exclude"))
+    return F.to_json(F.struct(model.alias("model"), messages.alias("messages"), F.lit(max_tokens).alias("max_tokens"), reasoning.alias("reasoning")))
+
+
 def _last_tag(body: Column, tag: str, content: str) -> Column:
     strict = rf"(?is)<{tag}>({content})</{tag}>"
     lenient = rf"(?is)<{tag}>((?:(?!<(?:rating|explanation|quote)>).)*?)(?:</|<(?=rating>|explanation>|quote>)|\z)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.corpus import ordered_rank
+
 DIGITS = 9
 
 
@@ -70,6 +72,18 @@ def model_errors(long: DataFrame, human: DataFrame, enabled: list[str] | None =
     )
 
 
+def models_by_error(errors: DataFrame) -> DataFrame:
+    """``model_errors`` rows with ``place``: the smallest error against people first, models without one last."""
+    w = Window.partitionBy("filter").orderBy(F.asc_nulls_last("mae_human"), "model")  # a row for each model
+    return errors.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def status(docs: DataFrame, long: DataFrame) -> DataFrame:
+    """By filter: documents with a rating, of all documents."""
+    rated = long.groupBy("filter").agg(F.countDistinct("row_id").alias("rated"))
+    return rated.crossJoin(F.broadcast(docs.agg(F.count("*").alias("documents"))))  # one row
+
+
 def threshold_accuracy(scored: DataFrame, human: DataFrame, at: float, score: str) -> DataFrame:
     """By filter: rows, hits, and the same among positive and negative labels; predicted if score >= at."""
     x = scored.join(human, ["row_id", "filter"]).withColumn("p", F.col(score) >= at).withColumn("y", F.col("label") >= 1)
@@ -86,8 +100,7 @@ def threshold_accuracy(scored: DataFrame, human: DataFrame, at: float, score: st
 
 def ranked(scored: DataFrame, by: str) -> DataFrame:
     """Rank of each row within its filter: score descending, nulls last, then row id."""
-    w = Window.partitionBy("filter").orderBy(F.desc_nulls_last(by), "row_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ordered_rank(scored, by, ["filter"], descending=True)
 
 
 def page(ranks: DataFrame, selected: int, side: int = 75, whole: int = 150) -> DataFrame:

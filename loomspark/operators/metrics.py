@@ -36,6 +36,21 @@ def moving_average(log: DataFrame, value: str, size: int = 16) -> DataFrame:
     return x.withColumn("average", F.avg(value).over(w)).where("__own").drop("__r", "__own")
 
 
+def loss_curve(log: DataFrame, total_steps: int) -> DataFrame:
+    """(step, x, y): the finite losses as points of a chart, from 0 (left, bottom) to 1.
+
+    The loss axis reaches beyond the losses by the largest of 0.01, a tenth of
+    their span and a twentieth of the largest, but not below zero.
+    """
+    finite = log.where(F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") != float("inf")))
+    ends = finite.agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.max("step").alias("last"))
+    pad = F.greatest(F.lit(0.01), (F.col("hi") - F.col("lo")) * 0.1, F.col("hi") * 0.05)
+    ends = ends.select(F.greatest(F.lit(0.0), F.col("lo") - pad).alias("bottom"), (F.col("hi") + pad).alias("top"), F.greatest(F.lit(1), F.lit(total_steps), "last").alias("right"))
+    top = F.when(F.col("top") <= F.col("bottom"), F.col("bottom") + 0.01).otherwise(F.col("top"))
+    x = F.greatest(F.lit(0), F.col("step")) / F.col("right")
+    return finite.crossJoin(F.broadcast(ends)).select("step", x.alias("x"), ((F.col("loss") - F.col("bottom")) / (top - F.col("bottom"))).alias("y"))  # one row
+
+
 def windowed_loss(log: DataFrame, every: int) -> DataFrame:
     """Mean loss of each full run of ``every`` steps (steps count from 1)."""
     x = log.groupBy(F.floor((F.col("step") - 1) / every).alias("window")).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"), F.max("step").alias("step"))

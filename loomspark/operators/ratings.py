@@ -31,6 +31,12 @@ def last_wins(long: DataFrame) -> DataFrame:
     return long.groupBy(*KEY).agg(F.max("pos").alias("pos"), F.max_by("rating", "pos").alias("rating"))
 
 
+def promote_legacy(long: DataFrame, legacy: DataFrame, filter_name: str, model: str) -> DataFrame:
+    """``long`` and the (row_id, rating) of an older field as that filter's rating where the row has none of the filter."""
+    usable = legacy.where(F.col("rating").between(0, 10)).join(long.where(F.col("filter") == filter_name).select("row_id"), "row_id", "left_anti")
+    return long.unionByName(usable.select("row_id", F.lit(filter_name).alias("filter"), F.lit(model).alias("model"), F.col("rating").cast("double"), F.lit(0).cast("long").alias("pos")).select(*long.columns))
+
+
 def nest(long: DataFrame) -> DataFrame:
     """(row_id, ratings MAP<filter, ARRAY<STRUCT<model, rating>>>), entries by position then model."""
     lists = long.groupBy("row_id", "filter").agg(F.array_sort(F.collect_list(F.struct("pos", "model", "rating"))).alias("l"))

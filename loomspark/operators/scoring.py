@@ -5,21 +5,19 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import sigmoid
+from loomspark.operators.corpus import ordered_rank
 
 
 def length_batches(df: DataFrame, size: int) -> DataFrame:
     """``df`` with ``rank`` and ``batch``: rows by token_count, then row_id, in runs of ``size``.
 
-    Lengths get their starting ranks from their counts; rows are ranked within one length.
+    Ranks start from 0 and come from counts, so no task orders all rows of a length.
     """
-    n = df.groupBy("token_count").agg(F.count("*").alias("__n"))
-    base = n.select("token_count", (F.sum("__n").over(Window.orderBy("token_count")) - F.col("__n")).alias("__base"))
-    nth = F.row_number().over(Window.partitionBy("token_count").orderBy("row_id"))
-    x = df.join(base, "token_count").withColumn("rank", (F.col("__base") + nth - 1).cast("long")).drop("__base")
+    x = ordered_rank(df, "token_count", []).withColumn("rank", F.col("rank") - 1)
     return x.withColumn("batch", F.floor(F.col("rank") / size).cast("long"))
 
 
@@ -59,6 +57,38 @@ def score_with(df: DataFrame, load: Callable[[], Callable], n_targets: int) -> D
     return df.select("row_id", "text", "token_count").sortWithinPartitions("token_count").drop("token_count").mapInPandas(run, "row_id long, probs array<float>")
 
 
+def layout_of(names: list[str]) -> list[tuple[int, str, str]]:
+    """(index, filter, judge) of "filter::judge" names; each filter must have the same judges in the same order."""
+    parts = [n.split("::", 1) for n in names]
+    if not parts or any(len(p) != 2 or not all(p) for p in parts):
+        raise ValueError("target names must be filter::judge")
+    judges: dict[str, list[str]] = {}
+    for f, j in parts:
+        judges.setdefault(f, []).append(j)
+    first = next(iter(judges.values()))
+    if len(set(first)) != len(first) or any(j != first for j in judges.values()):
+        raise ValueError("each filter must have the same judges, each once and in one order")
+    return [(k, f, j) for k, (f, j) in enumerate(parts)]
+
+
+def fit_linear_head(rows: DataFrame, size: int, steps: int = 50, rate: float = 1.0) -> list[float]:
+    """Weights of a bias-free logistic head on frozen (vector, target in 0 to 1) rows.
+
+    Each step is one full-batch gradient, summed by Spark; only ``size`` sums
+    reach the driver. The weights start at zero.
+    """
+    w = [0.0] * size
+    rows = rows.where(F.col("vector").isNotNull() & F.col("target").isNotNull())
+    for _ in range(steps):
+        logit = linear_head(F.col("vector"), F.array(*map(F.lit, w)))
+        off = rows.select("vector", (sigmoid(logit) - F.col("target")).alias("e"))
+        sums = off.agg(F.count("*").alias("n"), *(F.sum(F.col("e") * F.get("vector", F.lit(d))).alias(f"g{d}") for d in range(size))).first()
+        if not sums["n"]:
+            break
+        w = [x - rate * (sums[f"g{d}"] or 0.0) / sums["n"] for d, x in enumerate(w)]
+    return w
+
+
 def nest_tags(long: DataFrame) -> DataFrame:
     """(row_id, tags MAP<filter, MAP<judge, p>>) of (row_id, filter, judge, p); fails on p outside 0 to 1."""
     bad = F.isnan("p") | ~F.col("p").between(0, 1)

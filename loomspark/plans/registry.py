@@ -85,6 +85,27 @@ def rejection_report(spark, sf):
     return x.groupBy("reason").agg(F.count("*").alias("documents"), F.sum("token_count").alias("tokens"))
 
 
+@query(f"""SELECT reason, count(*) AS documents, sum(token_count)::BIGINT AS tokens FROM (SELECT *, sum(k) OVER (ORDER BY row_id) AS cum FROM (SELECT *, CASE WHEN reason = 'kept' THEN token_count ELSE 0 END AS k FROM (
+  SELECT row_id, token_count, CASE WHEN token_count < {t.LOW} THEN 'short' WHEN token_count > {t.HIGH} THEN 'long' WHEN b THEN 'excluded'
+  WHEN row_number() OVER (PARTITION BY digest, token_count BETWEEN {t.LOW} AND {t.HIGH} AND NOT b ORDER BY row_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason
+  FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)))) WHERE cum - k < {t.TARGET} GROUP BY reason""")
+def rejections_until_target(spark, sf):
+    return corpus.rejections(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET)
+
+
+@query("SELECT count(*) AS documents, sum(token_count)::BIGINT AS tokens, count(*) - count(DISTINCT digest) AS duplicates FROM corpus")
+def existing_summary(spark, sf):
+    return corpus.summary(t.corpus(spark, sf))
+
+
+@query("SELECT row_id FROM corpus WHERE row_id % 50 = 7")
+def misaligned_rows(spark, sf):
+    """An output in which every fiftieth text has changed, against its input."""
+    source = t.corpus(spark, sf).select("row_id", "text")
+    changed = F.when(F.col("row_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return corpus.misaligned(source.withColumn("text", changed), source)
+
+
 @query("SELECT file, count(*) AS texts, count(DISTINCT digest) AS digests FROM exclusions GROUP BY file")
 def multi_exclusion_union(spark, sf):
     return t.exclusions(spark, sf).groupBy("file").agg(F.count("*").alias("texts"), F.countDistinct("digest").alias("digests"))
@@ -100,6 +121,22 @@ def rated_long_form(spark, sf):
     return ratings.explode_ratings(rows, X.rating_for_rater).select("row_id", "filter", "model", "rating")
 
 
+VARIANTS = ["7", "7.0", "7.5", "-1", "11", "true", '"7"', "null"]
+
+
+@query(f"SELECT row_id, row_id % {len(VARIANTS)} = 0 AS rater, row_id % {len(VARIANTS)} < 3 AS training FROM corpus")
+def rating_validity_variants(spark, sf):
+    """Which entries the rater and the trainer take, for eight kinds of rating."""
+    kind = F.get(F.array(*map(F.lit, VARIANTS)), (F.col("row_id") % len(VARIANTS)).cast("int"))
+    entry = F.parse_json(F.concat(F.lit('{"model":"m","explanation":"","quote":"","rating":'), kind, F.lit("}")))
+    return t.corpus(spark, sf).select("row_id", X.rating_for_rater(entry).alias("rater"), X.rating_for_training(entry).alias("training"))
+
+
+@query("SELECT filter, count(DISTINCT row_id) AS rated, (SELECT count(*) FROM corpus) AS documents FROM ratings GROUP BY filter")
+def rated_status(spark, sf):
+    return agreement.status(t.corpus(spark, sf), t.ratings(spark, sf))
+
+
 @query("SELECT d.row_id, l.filter, l.model FROM corpus d CROSS JOIN layout l ANTI JOIN ratings USING (row_id, filter, model)")
 def pending_pairs(spark, sf):
     return ratings.pending(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
@@ -307,6 +344,12 @@ def moving_average_16(spark, sf):
     return metrics.moving_average(t.training_log(spark, sf), "loss").select("step", F.round("average", 6).alias("average"))
 
 
+@query("""SELECT step, round(step / right_end::DOUBLE, 6) AS x, round((loss - bottom) / (top - bottom), 6) AS y FROM log, (SELECT greatest(0.0, lo - pad) AS bottom, hi + pad AS top, greatest(1, 20000, last) AS right_end FROM (
+  SELECT *, greatest(0.01::DOUBLE, (hi - lo) * 0.1::DOUBLE, hi * 0.05::DOUBLE) AS pad FROM (SELECT min(loss) AS lo, max(loss) AS hi, max(step) AS last FROM log)))""")
+def loss_curve(spark, sf):
+    return metrics.loss_curve(t.training_log(spark, sf), 20_000).select("step", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("SELECT (step - 1) // 50 AS \"window\", max(step) AS step, round(avg(loss), 6) AS loss FROM log GROUP BY 1 HAVING count(*) = 50")
 def tumbling_train_loss(spark, sf):
     return metrics.windowed_loss(t.training_log(spark, sf), 50)
@@ -374,6 +417,15 @@ def stratified_levels(spark, sf):
     return x.select("row_id", level.alias("level"))
 
 
+@query()
+def response_parse_full(spark, sf):
+    """Rating, explanation and quote of answers with drafts, damaged tags and long explanations."""
+    forms = ["<rating>3</rating> <rating>{0}</rating><explanation> a\nb\nc\nd </explanation><quote> q </quote>", "<rating>{0}<explanation>open", "<RATING>{0}</RATING><Explanation>x</Explanation>", "<rating>{0}</rating>"]
+    form = F.get(F.array(*map(F.lit, forms)), (F.col("row_id") % 4).cast("int"))
+    answer = F.replace(form, F.lit("{0}"), F.col("rating").cast("string"))
+    return t.ratings(spark, sf).select("row_id", "filter", "model", S.parse_response(answer).alias("e")).select("row_id", "filter", "model", "e.*")
+
+
 @query()
 def exact_sample_split(spark, sf):
     return split.exact_sample(t.corpus(spark, sf).select("row_id"), 0.05, 7)

@@ -5,19 +5,35 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_jsonl(spark: SparkSession, path: str, policy: str = "fail") -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of every physical line, from 1.
+
+    Files are read in splits of any number; a split's first line number is the
+    count of lines in the splits before it.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+    n = rows.groupBy("file", "at").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")
+    start = n.select("file", "at", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(start, ["file", "at"]).select("file", (F.col("nth") + F.col("shift")).alias("line"), "text")
+
+
+def read_jsonl(spark: SparkSession, path: str, policy: str = "fail", blank_lines: bool = True) -> DataFrame:
     """(file, line, value VARIANT) of each non-blank line that holds an object.
 
     ``fail``: any other non-blank line is an error; ``skip``: it is left out;
     ``count``: it stays with a null value. ``line`` is the 1-based physical line
-    within its file, from one ordered read of each file.
+    within its file. Blank lines are left out, or treated as unusable ones
+    unless ``blank_lines``.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
-    rows = whole.where(~F.col("text").rlike(r"^\s*$")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
+    rows = _lines(spark, path)
+    if blank_lines:
+        rows = rows.where(~F.col("text").rlike(r"^\s*$"))
     value = F.try_parse_json("text")
     good = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     if policy == "skip":
@@ -28,6 +44,18 @@ def read_jsonl(spark: SparkSession, path: str, policy: str = "fail") -> DataFram
     return rows.select("file", "line", F.when(good, value).otherwise(bad.cast("variant")).alias("value"))
 
 
+def with_row_id(rows: DataFrame) -> DataFrame:
+    """``rows`` of read_jsonl with ``row_id`` from 0 over the usable rows, by file and line."""
+    n = rows.withColumn("__r", F.floor(F.col("line") / 1000)).groupBy("file", "__r").agg(F.count("*").alias("__n"))
+    per_file = n.groupBy("file").agg(F.sum("__n").alias("__t"))
+    per_file = per_file.select("file", (F.sum("__t").over(Window.orderBy("file")) - F.col("__t")).alias("__top"))  # a row for each file
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__r")) - F.col("__n")
+    base = n.withColumn("__before", before).join(per_file, "file").select("file", "__r", (F.col("__top") + F.col("__before")).alias("__base"))
+    nth = F.row_number().over(Window.partitionBy("file", "__r").orderBy("line")) - 1
+    x = rows.withColumn("__r", F.floor(F.col("line") / 1000)).join(base, ["file", "__r"])
+    return x.withColumn("row_id", (F.col("__base") + nth).cast("long")).drop("__r", "__base")
+
+
 def string_field(name: str, empty: bool = True):
     """A field that must be a string (and, unless ``empty``, not an empty one); else null."""
     v = F.try_variant_get("value", f"$.{name}", "variant")

@@ -118,7 +118,7 @@ def test_metrics(spark):
     got = {r.step: r.average for r in metrics.moving_average(log, "loss").collect()}
     assert len(got) == 40 and got[4100] == pytest.approx(sum(k % 5 for k in range(4085, 4101)) / 16)
     assert metrics.best_checkpoint(log).first().step == 4080
-    assert spark.range(1).select(X.duration(F.lit(3725.9)).alias("d")).first().d == "01:02:05"
+    assert spark.range(1).select(X.duration(F.lit(3725.9)).alias("d")).first().d == "01:02:06"
 
 
 def test_scores_tags_and_retries(spark):
