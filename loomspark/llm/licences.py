@@ -1,12 +1,14 @@
 """Licence scan with a positional index of rare licence words (DataFrame functions only).
 
 Templates are short licence passages. Their words form a positional index:
-word -> (template, position). The licence words of each document that are rare
-in the corpus (highest inverse document frequency) are looked up in it, and
-postings that agree on the relative position of a template vote for an
-alignment. An alignment counts if the template's mandatory key phrase stands
-where the alignment puts it, word for word. Three plain phrases are counted
-wherever they stand.
+word -> (template, position). It holds the words of each template's mandatory
+key phrase that are rarest in the corpus (highest inverse document frequency),
+as many as an alignment needs votes. They are looked up at every place of each
+document, and postings that agree on the relative position of a template vote
+for an alignment. An alignment counts if the key phrase stands where the
+alignment puts it, word for word; so each place of a key phrase gets its votes,
+whatever else the document holds. Three plain phrases are counted wherever they
+stand.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ TEMPLATES = [
     ("cc", "this work is licensed under a creative commons attribution license", "creative commons"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
 ]
-RARE = 32  # ranks of rareness among a document's licence words that are looked up, wherever they stand
-VOTES = 2  # postings that must agree on an alignment
+VOTES = 2  # postings that must agree on an alignment; no key phrase has fewer words
 _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +56,12 @@ def _places(words: Column, every: Column, phrase: list[str], label: str) -> Colu
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
+def _key_start(passage: str, key: str) -> int:
+    """Index of the key phrase's first word within the passage."""
+    p, q = passage.split(), key.split()
+    return next(k for k in range(len(p)) if p[k : k + len(q)] == q)
+
+
 def word_weights(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of every template word, over all documents.
 
@@ -83,30 +90,26 @@ def scan(docs: DataFrame, text: str = "text", weights: dict[str, float] | None =
     """
     weights = word_weights(docs, text) if weights is None else weights
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, passage, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(passage.split()):
-            postings.setdefault(w, []).append((t, p))
+    for t, (_, passage, key) in enumerate(TEMPLATES):
+        start, p = _key_start(passage, key), passage.split()
+        rarest = sorted(range(start, start + len(key.split())), key=lambda k: (-weights[p[k]], p[k], k))
+        for k in rarest[:VOTES]:
+            postings.setdefault(p[k], []).append((t, k))
     index = F.create_map(*(x for w, found in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in found)))))
-    weight = F.create_map(*(x for w in postings for x in (F.lit(w), F.lit(weights[w]))))
     # A document without one of these has neither a base phrase nor a key phrase.
     needed = {max(key.split(), key=lambda w: (weights.get(w, 0), w)) for key in [*BASE, *(k for _, _, k in TEMPLATES)]}
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def rare(words: Column) -> Column:
-        places = F.filter(F.transform(words, lambda w, i: F.struct((-F.try_element_at(weight, w)).alias("v"), i.alias("i"), w.alias("w"))), lambda x: x.v.isNotNull())
-        ranks = F.array_sort(F.array_distinct(F.transform(places, lambda x: x.v)))
-        least = F.element_at(ranks, F.least(F.size(ranks), F.lit(RARE)))
-        return F.when(F.size(places) > 0, _let(least, lambda v: F.filter(places, lambda x: x.v <= v))).otherwise(places)
-
-    def verified(words: Column, rare_places: Column) -> Column:
-        hits = F.flatten(F.transform(rare_places, lambda r: F.transform(F.try_element_at(index, r.w), lambda q: F.struct(q.t.alias("t"), (r.i - q.p).alias("at")))))
+    def verified(words: Column) -> Column:
+        looked_up = F.filter(F.transform(words, lambda w, i: F.struct(F.try_element_at(index, w).alias("q"), i.alias("i"))), lambda x: x.q.isNotNull())
+        hits = F.flatten(F.transform(looked_up, lambda x: F.transform(x.q, lambda q: F.struct(q.t.alias("t"), (x.i - q.p).alias("at")))))
 
         def checked(h: Column) -> Column:
             def tried(c: Column) -> Column:
                 cases = []
                 for t, (label, passage, key) in enumerate(TEMPLATES):
                     p = passage.split()
-                    start = next(k for k in range(len(p)) if p[k : k + len(key.split())] == key.split())
+                    start = _key_start(passage, key)
                     share = sum((F.coalesce(F.get(words, c.at + k) == w, F.lit(False)).cast("int") for k, w in enumerate(p)), F.lit(0)) / len(p)
                     ok = _at(words, c.at + start, key.split())
                     cases.append((t, F.when(ok, F.struct(F.lit(label).alias("label"), (c.at + start).cast("long").alias("word"), share.cast("double").alias("share")))))
@@ -130,7 +133,7 @@ def scan(docs: DataFrame, text: str = "text", weights: dict[str, float] | None =
         return F.concat(*found)
 
     def licence(words: Column) -> Column:
-        return F.struct(places(words).alias("base"), verified(words, rare(words)).alias("matches"))
+        return F.struct(places(words).alias("base"), verified(words).alias("matches"))
 
     words = F.array_remove(F.split(F.translate(body, _UPPER, _LOWER), _CUT), "")
     candidate = body.rlike("(?i)" + "|".join(sorted(needed)))

@@ -30,6 +30,32 @@ def test_licences_same_as_listing(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def brute_matches(text):
+    words, out = re.findall("[a-z0-9]+", text.lower()), []
+    for label, passage, key in licences.TEMPLATES:
+        p, q = passage.split(), key.split()
+        start = next(k for k in range(len(p)) if p[k : k + len(q)] == q)
+        for at in range(-start, len(words)):
+            if words[at + start : at + start + len(q)] == q:
+                share = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(p)) / len(p)
+                out.append((label, at + start, pytest.approx(share)))
+    return out
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_licences_find_every_key_phrase_among_all_template_words(spark, up):
+    words = sorted({w for _, passage, _ in licences.TEMPLATES for w in passage.split()})
+    weights = {w: 1 + k / 100 for k, w in enumerate(words if up else words[::-1])}
+    passages, keys = [p for _, p, _ in licences.TEMPLATES], [k for _, _, k in licences.TEMPLATES]
+    texts = [" ".join(words) + " x " + " y ".join(part) + " " + " ".join(words[::-1]) for part in (passages, keys, passages * 3)] + keys + passages
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for w in (weights, None):
+        for r in licences.scan(docs, weights=w).collect():
+            want = brute_matches(r.text)
+            assert [tuple(m) for m in r.matches] == want, r.text
+            assert set(r.labels.split(",")) == {label for label, *_ in want} | set(filter(None, r.base_labels.split(",")))
+
+
 def brute_next(rows):
     ordered = sorted(rows, key=lambda r: -(r[0] if r[0] is not None else -(1 << 63)))
     return {ordered[k][0]: ordered[(k + 1) % len(ordered)][1] for k in range(len(ordered))}
