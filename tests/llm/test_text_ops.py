@@ -44,6 +44,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.train(docs, labels.limit(0))[0].any() == 0
 
 
+@pytest.mark.parametrize("labelled", ["both", "clean", "toxic", "none"])
+def test_length_alone_is_not_toxic(spark, labelled):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    joined = docs.join(labels, "doc_id").select("toxic", "text").orderBy("doc_id").collect()
+    clean = " ".join(r.text for r in joined if r.toxic == 0)
+    clean *= 1 + 100_000 // len(re.findall("[.!?\n]", clean))
+    long = [clean, "Some words of a plain line. " * 100_000, "." * 100_000, "\n" * 100_000]
+    w = toxicity.train(docs, labels.where({"both": "true", "clean": "toxic = 0", "toxic": "toxic = 1", "none": "false"}[labelled]))
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), w).orderBy("doc_id").collect()
+    assert all(r.score < 0.5 and not r.offending for r in rows) and rows[2].score == rows[3].score == 0
+    if labelled != "both":
+        assert all(r.score == 0 for r in rows)
+        return
+    toxic = [r.text for r in joined if r.toxic == 1]
+    bad = [t.encode()[o.start : o.end].decode() for t, r in zip(toxic, toxicity.score(spark.createDataFrame([(t,) for t in toxic], "text string"), w).collect(), strict=True) for o in r.offending]
+    assert bad and toxicity.score(spark.createDataFrame([(clean + bad[0],)], "text string"), w).first().score >= 0.5
+
+
 def test_toxicity_sentences_stay_in_their_document():
     from loomspark.llm import textbytes as tb
     import pyarrow as pa
