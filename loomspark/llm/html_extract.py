@@ -4,9 +4,11 @@ Markup is stripped into lines, one for each block of text; scripts, styles,
 comments, forms and elements whose tag, role, class or id names boilerplate are
 left out. Lengths of text outside links are summed over a sliding window of
 lines; a region begins where the sum surges and ends where it dives. The
-heaviest region is the page's core. It is then widened to the smallest article
-or main element around its centre, as the first and last blocks of an article
-are often too short to surge, and cut to it.
+heaviest region is the page's core. The smallest article or main element around
+its centre decides the bounds where there is one. Elsewhere the text goes from
+the first to the last line that surges within the smallest container of the
+whole core, and on over plain lines at both ends (headings, lists, short last
+sentences), as these are often too short to surge.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ _NAMED = re.compile(
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _CORE = {"article", "main"}
+# Parts of a text rather than containers of one.
+_PART = _INLINE | set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption address details summary center".split())
+_ROOT = {"", "html", "body"}
 
 
 class _Lines:
@@ -48,7 +53,10 @@ class _Lines:
         self.text: list[str] = []
         self.weight: list[int] = []
         self.core: list[tuple[int, ...]] = []
+        self.home: list[int] = []  # the element other than an inline one that each line stands in
+        self.tags, self.parent = [""], [0]  # of each such element, the page itself first
         self._open: list[tuple[str, bool, bool]] = []  # tag, dropped, core
+        self._homes = [0]  # of each open element, after the page
         self._cores: list[int] = []
         self._n_cores = self._dropped = self._links = 0
         self._now: list[str] = []
@@ -88,6 +96,7 @@ class _Lines:
                 self.text.append(line)
                 self.weight.append(min(self._plain, len(line)))
                 self.core.append(tuple(self._cores))
+                self.home.append(self._homes[-1])
         self._now, self._plain = [], 0
 
     def _break(self, tag: str) -> None:
@@ -119,6 +128,10 @@ class _Lines:
         if re.search(r"\shidden(?:[\s=/]|$)|display\s*:\s*none", attributes):
             drop = True
         self._open.append((tag, drop, core))
+        if tag not in _INLINE:
+            self.tags.append(tag)
+            self.parent.append(self._homes[-1])
+        self._homes.append(self._homes[-1] if tag in _INLINE else len(self.tags) - 1)
         self._dropped += drop
         self._links += tag == "a"
         if core and not self._dropped:
@@ -140,11 +153,11 @@ class _Lines:
                 self._cores.pop()
             self._dropped -= drop
             self._links -= tag == "a"
-        del self._open[k:]
+        del self._open[k:], self._homes[k + 1 :]
 
 
-def region(weight: list[int]) -> tuple[int, int]:
-    """First and one past the last line of the heaviest surge."""
+def surges(weight: list[int]) -> tuple[list[bool], tuple[int, int]]:
+    """Lines that surge, and first and one past the last line of the heaviest region."""
     n = len(weight)
     sums = [sum(weight[max(0, k - WINDOW // 2) : k + WINDOW // 2 + 1]) for k in range(n)]
     limit = min(SURGE, max(sums, default=0))
@@ -161,12 +174,58 @@ def region(weight: list[int]) -> tuple[int, int]:
         mass = sum(weight[k:last])
         best = max(best, (mass, -k, last))
         k = last
+    own = [x >= limit and w * WINDOW >= limit for x, w in zip(sums, weight, strict=True)]  # windows reach over a region's ends
     first, last = -best[1], best[2]
-    while first < last and weight[first] * WINDOW < limit:  # windows reach over the region's ends
+    while first < last and not own[first]:
         first += 1
-    while last > first and weight[last - 1] * WINDOW < limit:
+    while last > first and not own[last - 1]:
         last -= 1
-    return (first, last) if last > first else (-best[1], best[2])
+    return own, ((first, last) if last > first else (-best[1], best[2]))
+
+
+def _around(lines: _Lines, own: list[bool], first: int, last: int) -> list[str]:
+    """Lines of the article that the region from ``first`` to ``last`` belongs to."""
+    tags, parent = lines.tags, lines.parent
+    top = lines.home[first]
+    for c in lines.home[first + 1 : last]:  # an element's number is above its parent's
+        while c != top:
+            if c > top:
+                c = parent[c]
+            else:
+                top = parent[top]
+    if last - first == 1 and tags[top] not in _ROOT and tags[parent[top]] not in _ROOT:
+        top = parent[top]  # a line's own element
+    while tags[top] in _PART:
+        top = parent[top]
+    inside = [False] * len(tags)
+    for c in range(len(tags)):
+        inside[c] = c == top or (c > 0 and inside[parent[c]])
+    # Containers that hold a surge, and whether a line stands in one of them rather than in one beside.
+    surging = {top}
+    for k, c in enumerate(lines.home):
+        if own[k] and inside[c]:
+            first, last = min(first, k), max(last, k + 1)
+            while c not in surging:
+                surging.add(c)
+                c = parent[c]
+
+    def belongs(k: int) -> bool:
+        c = lines.home[k]
+        if not inside[c] or lines.weight[k] * 2 < len(lines.text[k]):
+            return False
+        while c not in surging and tags[c] in _PART:
+            c = parent[c]
+        return c in surging or tags[top] not in _ROOT
+
+    if tags[top] in _ROOT:
+        while first and belongs(first - 1):
+            first -= 1
+        while last < len(own) and belongs(last):
+            last += 1
+    else:
+        plain = [k for k in range(len(own)) if belongs(k)]
+        first, last = min([first, *plain]), max([last, *(k + 1 for k in plain)])
+    return [lines.text[k] for k in range(first, last) if inside[lines.home[k]]]
 
 
 def main_text(page: str | None) -> str:
@@ -176,7 +235,7 @@ def main_text(page: str | None) -> str:
     lines = _Lines(page)
     if not lines.text:
         return ""
-    first, last = region(lines.weight)
+    own, (first, last) = surges(lines.weight)
     mass: dict[int, int] = {}
     for k in range(first, last):
         for c in lines.core[k]:
@@ -186,7 +245,7 @@ def main_text(page: str | None) -> str:
         chosen = max(c for c, v in mass.items() if v == most)  # of nested ones, the inner
         if most * 2 >= sum(lines.weight[first:last]):
             return "\n".join(t for t, c in zip(lines.text, lines.core, strict=True) if chosen in c)
-    return "\n".join(lines.text[first:last])
+    return "\n".join(_around(lines, own, first, last))
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:

@@ -88,6 +88,29 @@ def test_main_text_without_an_element():
     assert html_extract.main_text(PAGE % ("<div>", "</div>")).endswith(WANT.split("\n", 1)[1])
 
 
+LONG = ["A paragraph of the article that is long enough to surge by itself, number %d of them." % k for k in range(4)]
+SHORT = [f"Item {k}" for k in range(12)]
+
+
+@pytest.mark.parametrize("part", ["<ul>%s</ul>", "<table>%s</table>", "<div>%s</div>"])
+@pytest.mark.parametrize("container", ["<div class=content>%s</div>", "<section>%s</section>", "<div><div>%s</div></div>", "%s"])
+@pytest.mark.parametrize("n", [1, 2])
+def test_main_text_in_a_div_is_whole(part, container, n):
+    row = {"<ul>": "<li>%s</li>", "<tab": "<tr><td>%s</td></tr>", "<div": "<p>%s</p>"}[part[:4]]
+    middle, end = (part % "".join(row % x for x in xs) for xs in (SHORT, SHORT[:5]))
+    body = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in LONG[:n]) + middle + "".join(f"<p>{x}</p>" for x in LONG[n:]) + "<p>The end.</p>"
+    want = ["Title", *LONG[:n], *SHORT, *LONG[n:], "The end."]
+    if container != "%s":
+        body, want = body + end, [*want, *SHORT[:5]]
+    beside = "<div><a href=x>One link</a></div><div><p>Three words only</p></div>"
+    assert html_extract.main_text(f"<html><body>{beside}{container % body}{beside}</body></html>") == "\n".join(want)
+
+
+@pytest.mark.parametrize("around", [("<div>", "</div>"), ("<section>", "</section>"), ("", "")])
+def test_main_text_without_an_element_has_its_title(around):
+    assert html_extract.main_text(PAGE % around) == WANT
+
+
 def test_extract_edges(spark):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>a"), (5, "<article>" + "<p>word word</p>" * 5000), (5, "<!-- x"), (6, "<a<b<<>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
