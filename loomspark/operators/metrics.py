@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.corpus import ordered_rank
+
 
 def probabilistic_accuracy(scored: DataFrame, p: str = "p") -> DataFrame:
     """By filter: mean probability given to the true label (0 or 1), overall and by label."""
@@ -24,16 +26,21 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
     return log.agg(F.min_by("step", F.struct("loss", "step")).alias("step"), F.min("loss").alias("loss"))
 
 
-def moving_average(log: DataFrame, value: str, size: int = 16) -> DataFrame:
+def moving_average(log: DataFrame, value: str, size: int = 16, series: list[str] | None = None) -> DataFrame:
     """Mean over the last ``size`` rows of each series by step.
 
-    Series are cut into ranges of 4,096 steps, and a range also reads the steps before it.
+    ``series`` names the columns that tell series apart; without it, all rows are one.
+    Rows are numbered first, from counts. Series are then cut into ranges of
+    these numbers, and a range also reads the ``size`` - 1 rows before it.
     """
-    per = 4096
-    x = log.withColumn("__r", F.explode(F.array(F.floor(F.col("step") / per), F.floor(F.col("step") / per) + 1)))
-    x = x.withColumn("__own", F.floor(F.col("step") / per) == F.col("__r")).where(F.col("__own") | (F.col("step") % per >= per - size + 1))
-    w = Window.partitionBy("__r").orderBy("step").rowsBetween(-(size - 1), 0)
-    return x.withColumn("average", F.avg(value).over(w)).where("__own").drop("__r", "__own")
+    series = series or []
+    per = max(4096, size)
+    x = ordered_rank(log.withColumn("__all", F.lit(0)), "__all", series, order="step").withColumnRenamed("rank", "__n").drop("__all")
+    mine, at = F.floor((F.col("__n") - 1) / per), (F.col("__n") - 1) % per
+    x = x.withColumn("__r", F.explode(F.when(at >= per - size + 1, F.array(mine, mine + 1)).otherwise(F.array(mine))))
+    x = x.withColumn("__own", mine == F.col("__r"))
+    w = Window.partitionBy(*series, "__r").orderBy("__n").rowsBetween(-(size - 1), 0)
+    return x.withColumn("average", F.avg(value).over(w)).where("__own").drop("__n", "__r", "__own")
 
 
 def loss_curve(log: DataFrame, total_steps: int) -> DataFrame:

@@ -121,6 +121,22 @@ def test_metrics(spark):
     assert spark.range(1).select(X.duration(F.lit(3725.9)).alias("d")).first().d == "01:02:06"
 
 
+@pytest.mark.parametrize("size", [16, 5000])
+def test_moving_average_with_gaps_and_series(spark, size):
+    rows = [(name, apart * k, float(k * k % 97)) for name, apart in (("a", 5), ("b", 50), (None, 1)) for k in range(9000)]
+    log = spark.createDataFrame(rows, "run string, step long, loss double").orderBy(F.xxhash64("step"))
+    got = {(r.run, r.step): r.average for r in metrics.moving_average(log, "loss", size, series=["run"]).collect()}
+    assert len(got) == len(rows)
+    for name, apart in (("a", 5), ("b", 50), (None, 1)):
+        total = [0.0]
+        for k in range(9000):
+            total.append(total[-1] + k * k % 97)
+            low = max(0, k + 1 - size)
+            assert got[name, apart * k] == pytest.approx((total[k + 1] - total[low]) / (k + 1 - low))
+    one = {r.step: r.average for r in metrics.moving_average(log.where("run = 'a'").select("step", "loss"), "loss", size).collect()}
+    assert one == {s: v for (name, s), v in got.items() if name == "a"}
+
+
 def test_scores_tags_and_retries(spark):
     df = spark.createDataFrame([(k, "x" * k, k) for k in range(10)], "row_id long, text string, token_count long")
     p = scoring.score_with(df, lambda: lambda texts: [[len(t) / 10, 0.5] for t in texts], 2).collect()
