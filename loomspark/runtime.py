@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -30,10 +31,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where none is set."""
+    """Use the cluster's checkpoint folder.
+
+    Where none is set, a local session takes a folder of its own, which is
+    deleted at its end; on a cluster it lies in the warehouse, which is shared.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomspark-checkpoints")
+    if sc.getCheckpointDir() is not None:
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and sc.master.split("[")[0] == "local":
+        path = tempfile.mkdtemp(prefix="loomspark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomspark-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,16 +58,17 @@ def stored(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loomspark_path = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables from ``stored`` that nothing reads any more."""
     for df in tables:
         jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        p = jvm.org.apache.hadoop.fs.Path(df._loomspark_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
