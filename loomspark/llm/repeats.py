@@ -2,7 +2,7 @@
 
 A *window* is ``width`` consecutive units (words or bytes) of one document.
 Its *anchor* is the smallest hash among the ``gram``-unit substrings it holds,
-so equal windows have equal anchors. The work goes in four shuffles, each by a
+so equal windows have equal anchors. The work goes in five shuffles, each by a
 hash key, and the text itself is shuffled once:
 
 1. documents are dealt into blocks of about ``BLOCK`` bytes by a hash;
@@ -10,11 +10,16 @@ hash key, and the text itself is shuffled once:
    which tells the blocks whose anchors another block has too;
 3. blocks cut the windows with a repeated anchor into segments (consecutive
    windows of one anchor) and send each distinct segment once, with the
-   smallest document that holds it, to the anchor's bucket. Anchors that more
-   than ``HOT`` blocks hold go window by window, dealt by the window's own
-   content, so no bucket gathers the surroundings of a common passage;
+   smallest document that holds it, to a bucket: the anchor's, or for an anchor
+   that more than ``HOT`` blocks hold, one of the anchor and a group of blocks;
 4. an exact engine in each bucket compares the segments themselves and reports
-   the windows that also start in a smaller document; the blocks cut them out.
+   the windows that also start in a smaller document. What is left of the
+   segments of common anchors then meets the other groups' in the anchor's own
+   bucket, or, where more than ``VERY_HOT`` blocks hold the anchor, window by
+   window in buckets by the window's content. So a passage in all documents
+   reaches a bucket from about the square root of the number of blocks, and
+   none gathers all surroundings of such a passage;
+5. the blocks cut out what the engine reported.
 
 Hashes only route: two windows count as equal only if an engine finds their
 content equal.
@@ -22,6 +27,7 @@ content equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,7 +43,8 @@ from loomspark import runtime
 from loomspark.llm import textbytes as tb
 
 BLOCK = 2_000_000
-HOT = 1024
+HOT, VERY_HOT = 16, 1024
+_FINAL, _BY_CONTENT = -1, -2  # where a segment goes after its first bucket; else a bucket
 _NEVER = np.iinfo(np.int64).max  # stands for a null id: smaller than no other
 
 #: engine(contents, smallest document of each) -> for each window of each
@@ -54,6 +61,7 @@ class Units:
     gram: int
     block: int = BLOCK
     hot: int = HOT
+    very_hot: int = VERY_HOT
 
     def cut(self, buf: np.ndarray, off: np.ndarray):
         """Start, end and document of each unit; then first unit and anchor of each window."""
@@ -108,19 +116,28 @@ def mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"to": pa.array(to, pa.int64()), "sender": pa.array(sender, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
+def codes(values: np.ndarray, buckets: int) -> np.ndarray:
+    """What blocks and buckets call a hash: its bucket above its lower 32 bits.
+
+    A bucket holds a bounded number of values, so few of its values are ever taken for
+    one another, however many buckets there are; and that only costs a comparison.
+    """
+    return bucket_of(values, buckets).astype(np.uint64) << np.uint64(32) | values & np.uint64(0xFFFFFFFF)
+
+
 def distinct_mail(block: int, values: np.ndarray, buckets: int) -> pa.Table:
     """Mail that sends a block's distinct values to their buckets."""
-    u = np.unique(values)
-    return mail([(to, block, u[s].tobytes()) for to, s in slices(bucket_of(u, buckets))])
+    u = np.unique(codes(values, buckets))
+    return mail([(to, block, u[s].astype(np.uint32).tobytes()) for to, s in slices((u >> np.uint64(32)).astype(np.int64))])
 
 
-def shared_values(sent: DataFrame, most: int = HOT) -> DataFrame:
-    """Mail to each block: its values that other blocks sent too, then 1 byte each: hot or not."""
+def shared_values(sent: DataFrame, hot: int = HOT, very_hot: int = VERY_HOT) -> DataFrame:
+    """Mail to each block: its values that other blocks sent too, then 1 byte each: cold, hot, very hot (0 to 2)."""
 
     def compare(key, table):
         blobs = table["payload"].to_pylist()
-        v = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])
-        who = np.repeat(np.array(table["sender"]), [len(b) // 8 for b in blobs])
+        v = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])
+        who = np.repeat(np.array(table["sender"]), [len(b) // 4 for b in blobs])
         order = np.argsort(v, kind="stable")
         v, who = v[order], who[order]
         n = np.diff(np.append(tb.runs(v), len(v)))
@@ -128,21 +145,22 @@ def shared_values(sent: DataFrame, most: int = HOT) -> DataFrame:
         v, who, n = v[n > 1], who[n > 1], n[n > 1]
         order = np.argsort(who, kind="stable")
         v, who, n = v[order], who[order], n[order]
-        return mail([(to, key[0].as_py(), v[s].tobytes() + (n[s] > most).astype(np.uint8).tobytes()) for to, s in slices(who)])
+        grade = (n > hot).astype(np.uint8) + (n > very_hot)
+        return mail([(to, key[0].as_py(), v[s].tobytes() + grade[s].astype(np.uint8).tobytes()) for to, s in slices(who)])
 
     return sent.groupBy("to").applyInArrow(compare, MAIL)
 
 
 def opened_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values and hot marks from the mail of shared_values."""
-    v, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for b in table["payload"].to_pylist():
-        n = len(b) // 9
-        v.append(np.frombuffer(b, np.uint64, n))
-        hot.append(np.frombuffer(b, np.uint8, n, 8 * n).astype(bool))
-    v, hot = np.concatenate(v), np.concatenate(hot)
+    """Sorted codes and grades from the mail of shared_values."""
+    v, grade = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for bucket, b in zip(table["sender"].to_pylist(), table["payload"].to_pylist(), strict=True):
+        n = len(b) // 5
+        v.append(np.uint64(bucket << 32) | np.frombuffer(b, np.uint32, n).astype(np.uint64))
+        grade.append(np.frombuffer(b, np.uint8, n, 4 * n))
+    v, grade = np.concatenate(v), np.concatenate(grade)
     order = np.argsort(v)
-    return v[order], hot[order]
+    return v[order], grade[order]
 
 
 def _in_sorted(x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,107 +169,131 @@ def _in_sorted(x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchor_runs(u: Units, buf, off):
+    """Start and end of each unit, first unit of each window; then anchor, first and last + 1 window and document of each run of windows.
+
+    Anchors are minima and so small numbers; their bits are spread anew, so that buckets are even.
+    """
     start, end, doc, first, anchor = u.cut(buf, off)
     d = doc[first]
     at = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (d[1:] != d[:-1])])) if len(d) else np.zeros(0, np.int64)
-    return start, end, first, anchor, at, np.append(at[1:], len(d)), d[at]
+    return start, end, first, tb.mix(anchor[at]), at, np.append(at[1:], len(d)), d[at]
 
 
-def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
-    """(document, key, unit, content) rows as one blob."""
-    doc, key, pos, content = zip(*rows, strict=True)
-    parts = [np.array([len(rows)], np.int64), np.array(doc, np.int64), np.array(key, np.int64), np.array(pos, np.int64), np.array(list(map(len, content)), np.int64)]
+def _pack(rows: list[tuple[int, int, int, int, int, bytes]]) -> bytes:
+    """(block, row, document, unit, next bucket, content) rows as one blob."""
+    *head, content = zip(*rows, strict=True)
+    parts = [np.array([len(rows)], np.int64), *(np.array(x, np.int64) for x in head), np.array(list(map(len, content)), np.int64)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), *content]))
 
 
 def _unpack(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    doc, key, pos, size = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-    ends = (np.cumsum(size) + 8 + 32 * n).tolist()
-    return doc, key, pos, [raw[e - k : e] for e, k in zip(ends, size.tolist(), strict=True)]
+    *head, size = np.frombuffer(raw, np.int64, 6 * n, 8).reshape(6, n)
+    ends = (np.cumsum(size) + 8 + 48 * n).tolist()
+    return *head, [raw[e - k : e] for e, k in zip(ends, size.tolist(), strict=True)]
 
 
-def _spans(doc, key, start, end) -> bytes:
-    """A blob of covered unit ranges."""
-    return np.array([doc, key, start, end], np.int64).tobytes()
+def _spans(row, start, end) -> bytes:
+    """A blob of covered unit ranges of a block's rows."""
+    return np.array([row, start, end], np.int32).tobytes()
 
 
-def _segments(u: Units, block: int, docs: pa.Table, told: pa.Table, doc_id: str, text: str, buckets: int) -> pa.Table:
+def _ordered(docs: pa.Table, doc_id: str) -> tuple[np.ndarray, np.ndarray]:
+    """The block's ids, null as _NEVER, and its rows' order, by id and then text: the same whenever the block is dealt out."""
     ids = np.array(docs[doc_id].cast(pa.int64()).fill_null(_NEVER))
-    order = np.argsort(ids, kind="stable")
-    ids, keys = ids[order], np.array(docs["__key"])[order]
+    return ids, np.lexsort((np.array(docs["__key"]), ids))
+
+
+def _segments(u: Units, block: int, docs: pa.Table, told: pa.Table, doc_id: str, text: str, blocks: int, buckets: int) -> pa.Table:
+    ids, order = _ordered(docs, doc_id)
+    ids = ids[order]
     buf, off = tb.utf8(docs[text].take(pa.array(order)))
-    start, end, first, anchor, lo, hi, d = _anchor_runs(u, buf, off)
+    start, end, first, a, lo, hi, d = _anchor_runs(u, buf, off)
     if not len(lo):
         return mail([])
-    a = anchor[lo]
-    shared, hot = opened_values(told)
-    keep, at = _in_sorted(a, shared)
-    is_hot = hot[at] & keep if len(shared) else keep
+    shared, graded = opened_values(told)
+    keep, at = _in_sorted(codes(a, buckets), shared)
+    grade = np.where(keep, graded[at], 0) if len(shared) else np.zeros(len(a), np.uint8)
     by = np.argsort(a, kind="stable")  # anchors of two documents of this block
     g = tb.runs(a[by])
     g_end = np.append(g[1:], len(by))
     keep[by] |= np.repeat(ids[d[by[g]]] != ids[d[by[g_end - 1]]], g_end - g)
     raw, unit0 = buf.tobytes(), np.searchsorted(start, off[:-1])
-    seen: dict[bytes, tuple[int, int]] = {}
+    seen: dict[bytes, int] = {}
     out: dict[int, list] = {}
-    direct: list[tuple[int, int, int, int]] = []
+    direct: list[tuple[int, int, int]] = []
     pick = np.flatnonzero(keep)
-    route = bucket_of(a[pick], buckets)
-    for i, to in zip(pick.tolist(), route.tolist(), strict=True):
-        k, x, y, dd = is_hot[i], first[lo[i]], first[hi[i] - 1], d[i]
-        me = (int(ids[dd]), int(keys[dd]))
-        for p, q in ((j, j) for j in range(x, y + 1)) if k else ((x, y),):
-            content = raw[start[p] : end[q + u.width - 1]]
-            if u.words:
-                content = b" ".join(content.split())
-            unit = int(p - unit0[dd])
-            f = seen.setdefault(content, me)
-            if f[0] < me[0]:
-                direct.append((*me, unit, unit + int(q - p) + u.width))
-            else:
-                where = (xxhash.xxh32_intdigest(content) * buckets >> 32) if k else to
-                out.setdefault(where, []).append((*me, unit, content))
-    rows = [(to, block, b"S" + _pack(x)) for to, x in out.items()]
+    own = bucket_of(a[pick], buckets)
+    group = tb.mix(np.array([block % math.isqrt(blocks) + 1], np.uint64))
+    salted = bucket_of(tb.mix(a[pick] ^ group), buckets)
+    rows = zip(pick.tolist(), grade[pick].tolist(), own.tolist(), salted.tolist(), strict=True)
+    for i, common, to, first_to in rows:
+        p, q, row = int(first[lo[i]]), int(first[hi[i] - 1]), int(d[i])
+        me = int(ids[row])
+        content = raw[start[p] : end[q + u.width - 1]]
+        if u.words:
+            content = b" ".join(content.split())
+        unit = p - int(unit0[row])
+        least = seen.setdefault(content, me)
+        if least < me:
+            direct.append((row, unit, unit + q - p + u.width))
+        elif not common:
+            out.setdefault(to, []).append((block, row, me, unit, _FINAL, content))
+        else:
+            out.setdefault(first_to, []).append((block, row, me, unit, to if common == 1 else _BY_CONTENT, content))
+    sent = [(to, block, b"S" + _pack(x)) for to, x in out.items()]
     if direct:
-        rows.append((block % buckets, block, b"D" + _spans(*zip(*direct, strict=True))))
-    return mail(rows)
+        sent.append((block % buckets, block, b"D" + _spans(*zip(*direct, strict=True))))
+    return mail(sent)
 
 
-def _judge(u: Units, engine: Engine, key, table: pa.Table) -> pa.Table:
-    out, blocks, parts = [], [], []
+def _judge(u: Units, engine: Engine, key: int, buckets: int, table: pa.Table) -> pa.Table:
+    """Spans to the blocks (numbered from 0), and what is left of common segments to their next buckets (from -1 downwards)."""
+    out, parts = [], []
     for sender, blob in zip(table["sender"].to_pylist(), table["payload"].to_pylist(), strict=True):
         if blob[:1] == b"D":
             out.append((sender, key, blob[1:]))
         else:
             parts.append(_unpack(blob[1:]))
-            blocks.append(sender)
     if not parts:
         return mail(out)
-    sender = np.repeat(blocks, [len(p[0]) for p in parts])
-    doc, keys, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    block, row, doc, pos, then = (np.concatenate([p[k] for p in parts]) for k in range(5))
     classes: dict[bytes, int] = {}
-    cls = np.array([classes.setdefault(c, len(classes)) for p in parts for c in p[3]], np.int64)
+    cls = np.array([classes.setdefault(c, len(classes)) for p in parts for c in p[5]], np.int64)
+    del parts
     least = np.full(len(classes), _NEVER)
     np.minimum.at(least, cls, doc)
     contents = list(classes)
     n = np.array([(c.count(b" ") + 1 if u.words else len(c)) - u.width + 1 for c in contents], np.int64)
     at = np.concatenate([[0], np.cumsum(n)])
-    smallest = engine(contents, least)
+    below = engine(contents, least) < np.repeat(least, n)
     whole = doc > least[cls]
-    rows = [(sender[whole], doc[whole], keys[whole], pos[whole], pos[whole] + n[cls[whole]] + u.width - 1)]
-    below = smallest < np.repeat(least, n)
+    rows = [(block[whole], row[whole], pos[whole], pos[whole] + n[cls[whole]] + u.width - 1)]
     some = np.add.reduceat(below, at[:-1]) > 0
-    for i in np.flatnonzero(~whole & some[cls]).tolist():
+    on: dict[int, list] = {}
+    for i in np.flatnonzero(~whole & (some[cls] | (then != _FINAL))).tolist():
         c = cls[i]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], below[at[c] : at[c + 1]].view(np.int8), [0]])))
-        s, e = pos[i] + edge[::2], pos[i] + edge[1::2] - 1 + u.width
-        rows.append((np.full(len(s), sender[i]), np.full(len(s), doc[i]), np.full(len(s), keys[i]), s, e))
-    to, *span = (np.concatenate([r[k] for r in rows]) for k in range(5))
+        mark = below[at[c] : at[c + 1]].view(np.int8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], mark, [0]])))
+        s, e = edge[::2], edge[1::2]
+        if len(s):
+            same = np.ones(len(s), np.int64)
+            rows.append((same * block[i], same * row[i], pos[i] + s, pos[i] + e - 1 + u.width))
+        if then[i] == _FINAL:
+            continue
+        words = contents[c].split(b" ") if u.words else contents[c]
+        for p, q in zip([0, *e.tolist()], [*s.tolist(), len(mark)], strict=True):  # windows p to q - 1 are left
+            for x, y in [(p, q)] * (p < q) if then[i] >= 0 else ((k, k + 1) for k in range(p, q)):
+                content = words[x : y + u.width - 1]
+                content = b" ".join(content) if u.words else content
+                to = then[i] if then[i] >= 0 else xxhash.xxh32_intdigest(content) * buckets >> 32
+                on.setdefault(int(to), []).append((block[i], row[i], doc[i], pos[i] + x, _FINAL, content))
+    to, *span = (np.concatenate([r[k] for r in rows]) for k in range(4))
     order = np.argsort(to, kind="stable")
     to, span = to[order], [x[order] for x in span]
-    return mail(out + [(b, key, _spans(*(x[s] for x in span))) for b, s in slices(to)])
+    out += [(b, key, _spans(*(x[s] for x in span))) for b, s in slices(to)]
+    return mail(out + [(-1 - b, key, b"S" + _pack(x)) for b, x in on.items()])
 
 
 OUT = [
@@ -262,22 +304,19 @@ OUT = [
 
 
 def _apply(u: Units, docs: pa.Table, told: pa.Table, doc_id: str, text: str, keep: list[str], schema: pa.Schema) -> pa.Table:
-    blobs = [np.frombuffer(b, np.int64).reshape(4, -1) for b in told["payload"].to_pylist()]
-    doc, key, s, e = np.concatenate(blobs, axis=1) if blobs else np.zeros((4, 0), np.int64)
-    order = np.lexsort((s, key, doc))
-    doc, key, s, e = doc[order], key[order], s[order], e[order]
-    where: dict[tuple[int, int], slice] = {}
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    for p, q in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False):  # at is empty without spans
-        where[int(doc[p]), int(key[p])] = slice(p, q)
-    ids = docs[doc_id].cast(pa.int64()).fill_null(_NEVER).to_pylist()
+    blobs = [np.frombuffer(b, np.int32).reshape(3, -1) for b in told["payload"].to_pylist()]
+    row, s, e = np.concatenate(blobs, axis=1).astype(np.int64) if blobs else np.zeros((3, 0), np.int64)
+    order = np.lexsort((s, row))
+    row, s, e = row[order], s[order], e[order]
+    where = dict(slices(row))
+    place = np.argsort(_ordered(docs, doc_id)[1])
     n_units, n_removed, spans, kept = [], [], [], []
     texts = docs[text].cast(pa.binary()).to_pylist()
-    for i, k, x in zip(ids, docs["__key"].to_pylist(), texts, strict=True):
+    for k, x in zip(place.tolist(), texts, strict=True):
         x = x or b""
         w = x.split() if u.words else x
         found, left = [], None
-        if c := where.get((i, k)):
+        if c := where.get(k):
             top = np.maximum.accumulate(e[c])
             new = np.flatnonzero(np.concatenate([[True], s[c][1:] > top[:-1]]))
             starts, ends = s[c][new].tolist(), top[np.append(new[1:], len(top)) - 1].tolist()
@@ -311,20 +350,22 @@ def remove_repeats(docs: DataFrame, u: Units, engine: Engine, doc_id: str, text:
     x = dealt(docs.select(*names), doc_id, text, blocks)
 
     def anchors(key, t):
-        _, _, _, a, lo, _, _ = _anchor_runs(u, *tb.utf8(t[text]))
-        return distinct_mail(key[0].as_py(), a[lo], buckets)
+        return distinct_mail(key[0].as_py(), _anchor_runs(u, *tb.utf8(t[text]))[3], buckets)
 
     def segments(key, t, told):
-        return _segments(u, t["__block"][0].as_py(), t, told, doc_id, text, buckets) if t.num_rows else mail([])
+        return _segments(u, t["__block"][0].as_py(), t, told, doc_id, text, blocks, buckets) if t.num_rows else mail([])
 
     def judge(key, t):
-        return _judge(u, engine, key[0].as_py(), t)
+        return _judge(u, engine, key[0].as_py(), buckets, t)
+
+    def judge_again(key, t):
+        return _judge(u, engine, key[0].as_py(), buckets, t) if key[0].as_py() < 0 else t
 
     def apply(key, t, told):
         return _apply(u, t, told, doc_id, text, names, arrow)
 
-    needed = x.select(doc_id, text, "__key", "__block") if doc_id != text else x
-    told = shared_values(needed.groupBy("__block").applyInArrow(anchors, MAIL), u.hot)
-    sent = needed.groupBy("__block").cogroup(told.groupBy("to")).applyInArrow(segments, MAIL)
-    judged = sent.groupBy("to").applyInArrow(judge, MAIL)
+    # All steps read the same columns, so that one shuffle of the texts serves them all.
+    told = shared_values(x.groupBy("__block").applyInArrow(anchors, MAIL), u.hot, u.very_hot)
+    sent = x.groupBy("__block").cogroup(told.groupBy("to")).applyInArrow(segments, MAIL)
+    judged = sent.groupBy("to").applyInArrow(judge, MAIL).groupBy("to").applyInArrow(judge_again, MAIL)
     return x.groupBy("__block").cogroup(judged.groupBy("to")).applyInArrow(apply, schema)

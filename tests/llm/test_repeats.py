@@ -44,16 +44,16 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("hot", [None, 1])
+@pytest.mark.parametrize("hot", [None, (1, 10**6), (1, 2)])
 @pytest.mark.parametrize("kind", ["words", "bytes"])
 def test_same_as_every_window_listed(spark, kind, hot):
     docs = corpus()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], SCHEMA)
     if kind == "words":
-        got = remove_repeated_passages(df) if hot is None else remove_repeats(df, Units(True, 13, 7, 4000, hot), fm_engine, "doc_id", "text")
+        got = remove_repeated_passages(df) if hot is None else remove_repeats(df, Units(True, 13, 7, 4000, *hot), fm_engine, "doc_id", "text")
         want = brute(docs, lambda t: t.split(), 13, " ".join)
     else:
-        got = remove_repeated_bytes(df) if hot is None else remove_repeats(df, Units(False, 50, 20, 4000, hot), radix_engine, "doc_id", "text")
+        got = remove_repeated_bytes(df) if hot is None else remove_repeats(df, Units(False, 50, 20, 4000, *hot), radix_engine, "doc_id", "text")
         want = brute(docs, lambda t: t.encode(), 50, bytes)
     rows = sorted((r.doc_id if r.doc_id is not None else -1, r.n_units, r.n_removed, len(r.spans), hashlib.md5(r.kept.encode() if kind == "words" else bytes(r.kept)).hexdigest(), r.extra) for r in got.collect())
     want = sorted((i if i is not None else -1, a, b, c, hashlib.md5(k.encode() if kind == "words" else k).hexdigest(), "x") for (i, _), (a, b, c, k) in zip(docs, want))
