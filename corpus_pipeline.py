@@ -64,7 +64,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = runtime.stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            runtime.discard(before)
+        before = docs
     return docs
