@@ -1,21 +1,30 @@
-"""Exact Jaccard self-join of documents on word shingles, and its components.
+"""Jaccard self-join of documents on word shingles, and its components.
 
 Texts with one shingle set form a class; only the smallest document of a class
 is joined. Two sets of r and s shingles that meet the threshold differ in at
 most H shingles, H by their sizes. For each band of sizes the universe of
 shingles is hashed into segments, and each segment gets an allowance: 0 (equal)
-or 1 (a one-deletion neighbourhood). Allowances plus one add up to more than H,
-so two similar sets agree within the allowance in one segment at least. How
-many segments a band has and how many get a neighbourhood is chosen by cost: the
-keys sent and the expected chance meetings, from the number of sets in the band.
+or 1 (a one-deletion neighbourhood). The segments form parts of ``PART``.
+Allowances add up to so much that two similar sets agree, within the
+allowance, in ``subset`` segments of one part at least. The numbers of segments
+and of neighbourhoods are chosen by cost: the keys a set sends, and those of
+them that hold few shingles. Both depend on the band's sizes alone, so a
+document sends as many keys whatever the corpus holds. No key stands for an
+empty segment: a set that leaves too many segments empty is dealt into segments
+anew under another seed, until it doesn't, and sends the keys of each.
 
 Keys that no other document has are found first and never become rows. What is
 left is verified exactly on the whole sets, in two rounds: every document
 against the smallest one of each key it has; then, where the documents of a key
-still lie in several components, all pairs across these. Pairs that a parity
-sketch rules out aren't verified (a sketch differs in at most as many bits as
-the sets do in shingles). Pairs within a component can't change the result, so
-groups of copies aren't expanded.
+still lie in several components, pairs across these. Only documents with
+``subset`` such keys in one part take part in that. A key that more than ``FEW``
+documents have isn't joined with itself: its documents are dealt by subsets of
+two, then three such keys of one part, as far as the band's subset goes. Pairs
+that a parity sketch rules out aren't verified (a sketch differs in at most as
+many bits as the sets do in shingles). Pairs within a component can't change
+the result, so groups of copies aren't expanded.
+
+Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -35,7 +44,11 @@ from loomspark.llm import textbytes as tb
 from loomspark.llm.arrow import with_columns
 from loomspark.llm.components import components
 
-RATIO = 1.3  # of a band's sizes
+RATIO = 1.5  # of a band's sizes
+PART = 24  # segments of a part
+FEW = 32  # documents of a key that are joined with each other
+LIGHT = 8.0  # what a key of one or two shingles costs: other sets hold it by chance
+SEEDS = 64
 SKETCH = 8  # longs of parity bits
 STAND_INS = 1 << 62  # null ids are numbered from here on; ids lie below
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,80 +105,103 @@ def sizes(b: int) -> tuple[int, int]:
     return math.ceil(RATIO**b), math.ceil(RATIO ** (b + 1)) - 1
 
 
-def allocate(t: Threshold, b: int, sets: int) -> tuple[int, int, int] | None:
-    """(segments, segments with a neighbourhood, slack) of the band; None if only equal sets are similar.
+@dataclass(frozen=True)
+class Plan:
+    """Segments of a band, how many of them have a neighbourhood, how much allowance may lie in empty ones, and the subset that agrees."""
 
-    ``slack`` is how much allowance may lie in segments that a set leaves empty.
-    """
+    segments: int
+    near: int
+    slack: int
+    subset: int
+
+
+def allocate(t: Threshold, b: int) -> Plan | None:
+    """The plan of the band; None if only equal sets are similar."""
     low, high = sizes(b)
     h = t.most_apart(2 * high)
     if high < low or h == 0:
         return None
+    subset = 1 if h == 1 else 2 if h < 24 else 3
     best = None
-    for near in sorted({0, *range(0, (h + 3) // 2, max(1, h // 12))}):
-        m = h + 1 - near
-        if near > m:
-            break
-        for _ in range(4):  # more slack needs more segments
-            tiny = math.exp(-low / m)
-            slack = math.ceil(2 * m * tiny + 1) if tiny > 1e-4 else 1
-            m = h + 1 + slack - near
-        if near > m:
-            continue
-        fill = high / m
-        keys = (m - near) + near * (1 + fill)
-        chance = sets * sum(math.exp(-fill) * fill**x / math.factorial(x) for x in (1, 2)) * 1e-4 * m
-        if best is None or keys + chance < best[0]:
-            best = (keys + chance, m, near, slack)
-    return best[1:] if best else None
-
-
-def keys_of(g: np.ndarray, d: np.ndarray, plans: dict[int, tuple[int, int, int]], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Segment keys and their document. g, d: from shingles()."""
+    for near in range(0, h + 2 if h < PART // 2 else 1):
+        least = max(1, near, h + 1 - near)
+        for m in range(least, 2 * least + 9, max(1, least // 50)):
+            # Parts that agree in one segment less than the subset, and may do so where it counts most.
+            slack = m + near - h - 1 - (subset - 1) * -(-m // PART) * (2 if near else 1)
+            if slack < 0:
+                continue
+            empty = math.exp(-low / m)
+            lost = (m + near) * empty + 2 * near * (low / m) * empty * (m > 1)
+            again = 1 - sum(math.exp(-lost + x * math.log(lost) - math.lgamma(x + 1)) for x in range(slack + 1))
+            fill = math.sqrt(low * high) / m
+            keys = (m - near) + near * (1 + fill)
+            light = LIGHT * sum(math.exp(-fill) * fill**x / math.factorial(x) for x in (1, 2)) * m / subset
+            cost = (keys + light) / max(1e-9, 1 - again)
+            if again < 0.75 and (best is None or cost < best[0]):
+                best = (cost, Plan(m, near, slack, subset))
+    if best is None:
+        raise ValueError(f"{t.part} / {t.whole} is too low: similar sets needn't share segments")
+    return best[1]
+
+
+def plans_of(t: Threshold, biggest: int) -> dict[int, Plan]:
+    return {b: p for b in range(band(max(1, biggest)) + 2) if (p := allocate(t, b))}
+
+
+def keys_of(g: np.ndarray, d: np.ndarray, plans: dict[int, Plan], t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment keys, their document and their part. g, d: from shingles()."""
     at = tb.runs(d)
     size = np.diff(np.append(at, len(d)))
     doc = d[at]
-    out_k, out_d = [], []
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     bands = {}
     for n in np.unique(size).tolist():
-        b = band(n)
-        bands[n] = [x for x in (b, b + 1, b + 2) if x in plans and (x == b or n * t.whole >= t.part * sizes(x)[0])]
-    for b in sorted({x for v in bands.values() for x in v}):
-        m, near, slack = plans[b]
+        b, up = band(n), 1
+        bands[n] = [b]
+        while n * t.whole >= t.part * sizes(b + up)[0]:  # the band of a larger set that may be similar
+            bands[n].append(b + up)
+            up += 1
+    for b in sorted({x for v in bands.values() for x in v} & set(plans)):
         mine = np.array([b in bands[n] for n in size.tolist()])
-        use = np.repeat(mine, size)
-        x, who = g[use], np.repeat(np.arange(int(mine.sum())), size[mine])
-        ids = doc[mine]
-        segment = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        cell = who * m + segment  # x is sorted within a document, so cells are too
-        first = tb.runs(cell)
-        v = tb.mix(x + np.uint64(1))
-        total = np.add.reduceat(v, first)
-        filled = np.diff(np.append(first, len(cell)))
-        salt = tb.mix((np.uint64(b << 32) + np.arange(m, dtype=np.uint64)) * np.uint64(2) + np.uint64(1))
-        c_seg, c_doc = segment[first], who[first]
-        # Allowance in segments left empty, or emptied by one deletion.
-        weight = np.full(len(ids), m + near)
-        np.subtract.at(weight, c_doc, np.where(c_seg < near, 2, 1))
-        np.add.at(weight, c_doc[(c_seg < near) & (filled == 1)], 2)
-        bad = weight > slack
-        out_k.append(tb.mix(total ^ salt[c_seg]))
-        out_d.append(ids[c_doc])
-        spread = np.repeat(np.arange(len(first)), filled)
-        drop = (c_seg[spread] < near) & ((filled[spread] > 1) | bad[c_doc[spread]])
-        out_k.append(tb.mix((total[spread[drop]] - v[drop]) ^ salt[c_seg[spread[drop]]]))
-        out_d.append(ids[c_doc[spread[drop]]])
-        if bad.any():
-            there = np.zeros((int(bad.sum()), m), bool)
-            row = np.cumsum(bad) - 1
-            sel = bad[c_doc]
-            there[row[c_doc[sel]], c_seg[sel]] = True
-            r, s = np.nonzero(~there)
-            out_k.append(tb.mix(salt[s]))
-            out_d.append(ids[bad][r])
-    if not out_k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_k), np.concatenate(out_d)
+        x, ids, n = g[np.repeat(mine, size)], doc[mine], size[mine]
+        for seed in range(SEEDS):
+            if not len(ids):
+                break
+            keys, who, part, bad = _seeded(x, n, b, plans[b], seed)
+            out.append((keys, ids[who], part))
+            x, ids, n = x[np.repeat(bad, n)], ids[bad], n[bad]
+        if len(ids):  # never met, but nothing may be lost: these sets all meet each other
+            out.append((np.full(len(ids), tb.mix(np.array([b], np.uint64))[0]), ids, np.full(len(ids), b, np.uint64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _seeded(x: np.ndarray, size: np.ndarray, b: int, plan: Plan, seed: int):
+    """Keys under one seed, the set and the part of each; and which sets leave too many segments empty."""
+    m, near = plan.segments, plan.near
+    who = np.repeat(np.arange(len(size)), size)
+    place = x if seed == 0 else tb.mix(x ^ np.uint64(seed))
+    segment = ((place >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    cell = who * m + segment
+    if seed == 0:  # shingles are sorted within a document, and so are their segments
+        order = slice(None)
+    else:
+        order = np.argsort(cell, kind="stable")
+    cell, v = cell[order], tb.mix(x[order] + np.uint64(1))
+    first = tb.runs(cell)
+    total = np.add.reduceat(v, first)
+    filled = np.diff(np.append(first, len(cell)))
+    salt = tb.mix((np.uint64(b << 32) + np.uint64(seed << 24) + np.arange(m, dtype=np.uint64)) * np.uint64(2) + np.uint64(1))
+    c_seg, c_doc = cell[first] % m, cell[first] // m
+    part = (np.uint64(b << 32) + np.uint64(seed << 24)) + (c_seg // PART).astype(np.uint64)
+    # Allowance in segments left empty, or emptied by one deletion.
+    lost = np.full(len(size), m + near)
+    np.subtract.at(lost, c_doc, np.where(c_seg < near, 2, 1))
+    np.add.at(lost, c_doc[(c_seg < near) & (filled == 1)], 2)
+    spread = np.repeat(np.arange(len(first)), filled)
+    drop = (c_seg[spread] < near) & (filled[spread] > 1)
+    less = tb.mix((total[spread[drop]] - v[drop]) ^ salt[c_seg[spread[drop]]])
+    keys = np.concatenate([tb.mix(total ^ salt[c_seg]), less])
+    return keys, np.concatenate([c_doc, c_doc[spread[drop]]]), np.concatenate([part, part[spread[drop]]]), lost > plan.slack
 
 
 def parity(g: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
@@ -191,7 +227,7 @@ def set_columns(docs: DataFrame, text: str, k: int) -> DataFrame:
     return with_columns(docs, run, [T.StructField("n_shingles", T.LongType()), T.StructField("__d1", T.LongType()), T.StructField("__d2", T.LongType())])
 
 
-_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "id", "n", *(f"s{j}" for j in range(SKETCH)))] + [T.StructField("set", T.BinaryType())])
+_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "part", "id", "n", *(f"s{j}" for j in range(SKETCH)))] + [T.StructField("set", T.BinaryType())])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -210,6 +246,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return x.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _open(keys: DataFrame, comp: DataFrame, subset: dict[int, int]) -> DataFrame:
+    """(part, id, c, least, list) of the documents' keys that lie in several components, where there are enough in a part.
+
+    ``list`` has (key, documents of the key), at most the keys of PART segments;
+    ``least`` of them are shared with any similar document of another component.
+    """
+    placed = keys.join(comp, "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("c"))
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"))
+    open_keys = open_keys.where("lo != hi and ids > 2").select("key", "ids")  # of two documents, one is the smallest
+    sizes = F.create_map(*(F.lit(x) for kv in (subset or {0: 1}).items() for x in kv))
+    least = F.coalesce(F.try_element_at(sizes, F.shiftright("part", 32).cast("int")), F.lit(1))
+    lists = placed.join(open_keys, "key").groupBy("part", "id", "c").agg(F.sort_array(F.collect_list(F.struct("key", "ids"))).alias("list"))
+    return lists.withColumn("least", least).where(F.size("list") >= F.col("least"))
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of few documents, or else subsets of common keys of one part."""
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        p, q = rows.alias("p"), rows.alias("q")
+        on = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id"))
+        return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+
+    def few(size: int):
+        return (F.col("ids") <= FEW) | (F.col("least") == size)
+
+    single = rest.select("id", "c", "least", F.explode("list").alias("k")).select("id", "c", "least", "k.*")
+    out = pairs(single.where(few(1)))
+    common = rest.withColumn("list", F.filter("list", lambda k: k["ids"] > FEW)).where((F.col("least") > 1) & (F.size("list") >= F.col("least")))
+    level = common.withColumn("list", F.transform("list", lambda k: k["key"])).select("part", "id", "c", "least", "list", F.posexplode("list").alias("at", "key"))
+    for size in (2, 3):
+        longer = level.where(F.col("least") >= size)
+        longer = longer.select("part", "id", "c", "least", "list", F.col("at").alias("from"), F.col("key").alias("head"), F.posexplode("list").alias("at", "next")).where("at > from")
+        longer = longer.select("part", "id", "c", "least", "list", "at", F.xxhash64("head", "next").alias("key"))
+        n = longer.groupBy("key").agg(F.count("*").alias("ids"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "ids")
+        longer = runtime.cut(longer.join(n, "key"))
+        out = out.unionByName(pairs(longer.where(few(size))))
+        level = longer.where(~few(size)).drop("ids")
+    return out.distinct()
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, part: int = 85, whole: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document, linked at Jaccard part/whole or more.
 
@@ -225,8 +302,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     slim = runtime.stored(set_columns(docs, "text", k).withColumn("__key", F.xxhash64("doc_id", "text")).drop("text"))
     classes = slim.where("n_shingles > 0").groupBy("__d1", "__d2").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "__key"))["__key"].alias("__key"), F.first("n_shingles").alias("n"))
     classes = runtime.stored(classes.withColumn("id", F.coalesce("id", stand_in(F.col("__key")))))
-    by_size = {r.b: r.n for r in classes.groupBy(F.floor(F.log("n") / math.log(RATIO)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    plans = {b: p for b in range(max(by_size, default=0) + 2) if (p := allocate(t, b, by_size.get(b, 0) + by_size.get(b - 1, 0)))}
+    biggest = classes.agg(F.max("n")).first()[0] or 0
+    plans = plans_of(t, biggest)
     blocks = repeats.block_count(docs, "text")
     buckets = max(2 * runtime.partitions(spark), blocks // 2)
     x = repeats.dealt(docs, "doc_id", "text", blocks)
@@ -254,65 +331,58 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         mask = np.array(told["payload"].is_valid())
         g, d, ids = chosen(table, told.filter(pa.array(~mask)))
         shared, _ = repeats.opened_values(told.filter(pa.array(mask)))
-        v, who = keys_of(g, d, plans, t)
+        v, who, part = keys_of(g, d, plans, t)
+        v = repeats.codes(v, buckets)
         order = np.lexsort((who, v))
-        v, who = v[order], who[order]
+        v, who, part = v[order], who[order], part[order]
         if len(v):
             new = np.concatenate([[True], (v[1:] != v[:-1]) | (who[1:] != who[:-1])])
-            v, who = v[new], who[new]
+            v, who, part = v[new], who[new], part[new]
             at = tb.runs(v)
             n = np.diff(np.append(at, len(v)))
             keep = np.repeat(n > 1, n) | repeats._in_sorted(v, shared)[0]
-            v, who = v[keep], who[keep]
-        return g, d, ids, v, who
+            v, who, part = v[keep], who[keep], part[keep]
+        return g, d, ids, v, who, part
 
     def rows(key, table, told):
         """The shared keys of each set, and once the set itself with its sketch (and a null key)."""
         empty = pa.table([pa.array([], pa.binary() if f.name == "set" else pa.int64()) for f in _ROW], _ROW.names)
         if not table.num_rows:
             return empty
-        g, d, ids, v, who = shared_here(table, told)
+        g, d, ids, v, who, part = shared_here(table, told)
         if not len(v):
             return empty
         n = np.bincount(d, minlength=len(ids))
-        empty_key = pa.nulls(len(v), pa.int64())
-        first = [pa.array(v.view(np.int64)), pa.array(ids[who]), pa.array(n[who].astype(np.int64)), *[empty_key] * SKETCH, pa.nulls(len(v), pa.binary())]
+        none = pa.nulls(len(v), pa.int64())
+        first = [pa.array(v.view(np.int64)), pa.array(part.view(np.int64)), pa.array(ids[who]), none, *[none] * SKETCH, pa.nulls(len(v), pa.binary())]
         bounds, pick = np.searchsorted(d, np.arange(len(ids) + 1)), np.unique(who)
         sk = parity(g, d, len(ids))[pick]
         sets = pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in pick.tolist()], pa.binary())
-        second = [pa.nulls(len(pick), pa.int64()), pa.array(ids[pick]), pa.array(n[pick].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), sets]
+        none = pa.nulls(len(pick), pa.int64())
+        second = [none, none, pa.array(ids[pick]), pa.array(n[pick].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), sets]
         return pa.concat_tables([pa.table(first, _ROW.names), pa.table(second, _ROW.names)])
 
     grouped = x.groupBy("__block")
     sent = grouped.cogroup(own.groupBy("to")).applyInArrow(send, repeats.MAIL)
     told = repeats.shared_values(sent).withColumn("id", F.lit(None).cast("long")).unionByName(own)
     found = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(rows, _ROW))
-    keys, sets = found.where("key is not null").select("key", "id", "n"), found.where("set is not null").select("id", "set")
-    sketches = found.where("set is not null").drop("key", "set")
-
-    def fits(r, s):
-        return (t.whole * F.least(r, s) >= t.part * F.greatest(r, s))
-
-    def alike(p, q):
-        """The parity sketches of p and q don't rule the pair out."""
-        bits = (F.bit_count(F.col(f"{p}.s{j}").bitwiseXOR(F.col(f"{q}.s{j}"))) for j in range(SKETCH))
-        return sum(bits, F.lit(0)) * (part + whole) <= (whole - part) * (F.col(f"{p}.n") + F.col(f"{q}.n"))
-
-    hub = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
-    first = keys.join(hub, "key").where((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id"))
-    first = runtime.stored(first.where(alike("p", "q")).select("a", "b"))
+    keys, sets = found.where("key is not null").select("key", "part", "id"), found.where("set is not null").select("id", "set")
+    sketches = found.where("set is not null").drop("key", "part", "set")
+
+    def alike(pairs):
+        """The (a, b) pairs that neither sizes nor parity sketches rule out."""
+        x = pairs.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id"))
+        r, s = F.col("p.n"), F.col("q.n")
+        bits = sum((F.bit_count(F.col(f"p.s{j}").bitwiseXOR(F.col(f"q.s{j}"))) for j in range(SKETCH)), F.lit(0))
+        return x.where((whole * F.least(r, s) >= part * F.greatest(r, s)) & (bits * (part + whole) <= (whole - part) * (r + s))).select("a", "b")
+
+    hub = keys.groupBy("key").agg(F.min("id").alias("hub"))
+    first = keys.join(hub, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = runtime.stored(alike(first))
     links = runtime.stored(_verify(first, sets, t))
     comp = components(links)
-    placed = keys.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"))
-    open_keys = open_keys.where("lo != hi and ids > 2").select("key")  # of two documents, one is the smallest
-    rest = runtime.stored(placed.join(open_keys, "key"))
-    marked = rest.drop("n").join(sketches, "id")
-    p, q = marked.alias("p"), marked.alias("q")
-    tried = first.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    second = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id")) & fits(F.col("p.n"), F.col("q.n")) & alike("p", "q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    second = second.join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    rest = runtime.stored(_open(keys, comp, {b: p.subset for b, p in plans.items()}))
+    second = alike(_across(rest)).join(first, ["a", "b"], "left_anti")
     more = runtime.stored(_verify(second, sets, t))
     if not more.isEmpty():
         comp = components(links.unionByName(more))

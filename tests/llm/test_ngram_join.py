@@ -55,20 +55,65 @@ def test_same_as_all_pairs(spark, seed, k, part, whole):
     assert got == brute(docs, k, part, whole)
 
 
-def test_keys_meet_whenever_sets_are_similar():
+@pytest.mark.parametrize("part,whole", [(85, 100), (80, 100), (7, 10)])
+def test_similar_sets_agree_in_a_subset_of_one_part(part, whole):
     r = np.random.default_rng(3)
-    t = nj.Threshold(85, 100)
-    for sets in (10, 10**9):
-        plans = {b: p for b in range(40) if (p := nj.allocate(t, b, sets))}
-        for n in [7, 8, 13, 20, 34, 55, 120, 300, 900] * 8:
-            a = r.integers(0, 2**63, n).astype(np.uint64)
-            drop = r.integers(0, t.most_apart(2 * n) + 1)
-            b = np.concatenate([a[drop // 2 :], r.integers(0, 2**63, drop - drop // 2).astype(np.uint64)])
-            both = len(np.intersect1d(a, b))
-            g, d = np.concatenate([np.sort(a), np.sort(b)]), np.repeat([0, 1], [len(a), len(b)])
-            keys, who = nj.keys_of(g, d, plans, t)
-            if 100 * both >= 85 * (len(a) + len(b) - both) and set(a) != set(b):
-                assert np.intersect1d(keys[who == 0], keys[who == 1]).size, (n, drop)
+    t = nj.Threshold(part, whole)
+    plans = nj.plans_of(t, 2000)
+    for n in [2, 3, 4, 5, 7, 8, 10, 13, 20, 34, 55, 120, 300, 900] * 12:
+        a = r.integers(0, 2**64, n, dtype=np.uint64)
+        drop = r.integers(0, t.most_apart(2 * n) + 1)
+        gone = r.integers(0, min(drop, n - 1) + 1)
+        b = np.concatenate([a[gone:], r.integers(0, 2**64, drop - gone, dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if whole * both < part * (len(a) + len(b) - both) or set(a) == set(b):
+            continue
+        g, d = np.concatenate([np.sort(a), np.sort(b)]), np.repeat([0, 1], [len(a), len(b)])
+        keys, who, parts = nj.keys_of(g, d, plans, t)
+        same = np.isin(keys, np.intersect1d(keys[who == 0], keys[who == 1])) & (who == 0)
+        where, count = np.unique(parts[same], return_counts=True)
+        assert any(c >= plans[int(x) >> 32].subset for x, c in zip(where, count)), (n, drop)
+
+
+def test_unrelated_sets_share_no_key_and_send_few():
+    r = np.random.default_rng(4)
+    t = nj.Threshold(80, 100)
+    plans = nj.plans_of(t, 2000)
+    for n in (6, 12, 40, 300, 1000):
+        g, d = np.sort(r.integers(0, 2**64, (500, n), dtype=np.uint64), axis=1).ravel(), np.repeat(np.arange(500), n)
+        keys, who, _ = nj.keys_of(g, d, plans, t)
+        sent = np.unique(np.stack([keys, who.astype(np.uint64)]), axis=1)[0]
+        assert len(np.unique(sent)) == len(sent)
+        assert len(keys) / 500 < 1.2 * n + 12
+
+
+def test_common_keys_are_dealt_by_subsets(spark, monkeypatch):
+    """Many documents around one passage, none alike but for some pairs, with keys of over two documents taken as common."""
+    monkeypatch.setattr(nj, "FEW", 2)
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for k in range(120):
+        own = [f"o{k}_{j}" for j in range(r.choice([8, 30, 60]))]
+        docs.append((k, " ".join(passage[: r.choice([20, 60])] + own)))
+        if k % 4 == 0:
+            docs.append((1000 + k, " ".join([*passage[:59], "x", *own])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.similar_documents(df, k=5, part=80).collect()}
+    assert got == brute(docs, 5, 80, 100)
+
+
+def test_too_low_a_threshold_is_an_error():
+    with pytest.raises(ValueError, match="too low"):
+        nj.plans_of(nj.Threshold(1, 2), 100)
+
+
+@pytest.mark.parametrize("part,whole", [(7, 10)])
+def test_lower_thresholds_reach_over_bands(spark, part, whole):
+    docs = [(k, " ".join(f"w{j}" for j in range(n + 3))) for k, n in enumerate([10, 13, 16, 20, 31, 40, 90])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.similar_documents(df, k=4, part=part, whole=whole).collect()}
+    assert got == brute(docs, 4, part, whole)
 
 
 def test_edges(spark):
