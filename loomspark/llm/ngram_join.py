@@ -121,18 +121,19 @@ def allocate(t: Threshold, b: int) -> Plan | None:
     h = t.most_apart(2 * high)
     if high < low or h == 0:
         return None
+    fewest = -(-low * t.part // t.whole)  # of a set of a smaller band that may be similar
     subset = 1 if h == 1 else 2 if h < 24 else 3
     best = None
     for near in range(0, h + 2 if h < PART // 2 else 1):
         least = max(1, near, h + 1 - near)
-        for m in range(least, 2 * least + 9, max(1, least // 50)):
+        for m in range(least, 4 * least + 9, max(1, least // 50)):
             # Parts that agree in one segment less than the subset, and may do so where it counts most.
             slack = m + near - h - 1 - (subset - 1) * -(-m // PART) * (2 if near else 1)
             if slack < 0:
                 continue
-            empty = math.exp(-low / m)
-            lost = (m + near) * empty + 2 * near * (low / m) * empty * (m > 1)
-            again = 1 - sum(math.exp(-lost + x * math.log(lost) - math.lgamma(x + 1)) for x in range(slack + 1))
+            empty = math.exp(-fewest / m)
+            lost = (m + near) * empty + 2 * near * (fewest / m) * empty * (m > 1)
+            again = 0.5 * math.erfc((slack + 0.5 - lost) / math.sqrt(2 * lost))  # share of sets dealt anew
             fill = math.sqrt(low * high) / m
             keys = (m - near) + near * (1 + fill)
             light = LIGHT * sum(math.exp(-fill) * fill**x / math.factorial(x) for x in (1, 2)) * m / subset
