@@ -41,12 +41,12 @@ from pyspark.sql import types as T
 from loomspark import runtime
 from loomspark.llm import repeats
 from loomspark.llm import textbytes as tb
-from loomspark.llm.arrow import with_columns
+from loomspark.llm.arrow import ROWS, with_columns
 from loomspark.llm.components import components
 
 RATIO = 1.5  # of a band's sizes
 PART = 24  # segments of a part
-FEW = 32  # documents of a key that are joined with each other
+FEW = 256  # documents of a key that are joined with each other
 LIGHT = 8.0  # what a key of one or two shingles costs: other sets hold it by chance
 SEEDS = 64
 SKETCH = 8  # longs of parity bits
@@ -228,37 +228,48 @@ def set_columns(docs: DataFrame, text: str, k: int) -> DataFrame:
     return with_columns(docs, run, [T.StructField("n_shingles", T.LongType()), T.StructField("__d1", T.LongType()), T.StructField("__d2", T.LongType())])
 
 
-_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "part", "id", "n", *(f"s{j}" for j in range(SKETCH)))] + [T.StructField("set", T.BinaryType())])
+_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "part", "id", "n", *(f"s{j}" for j in range(SKETCH)))] + [T.StructField("text", T.StringType())])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The (a, b) pairs whose whole sets meet the threshold."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+def _verify(pairs: DataFrame, texts: DataFrame, t: Threshold, k: int) -> DataFrame:
+    """The (a, b) pairs whose whole sets meet the threshold. Texts travel, as they take less room than sets."""
+    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for whole in batches:
-            a, b, keep = whole.column("set_a"), whole.column("set_b"), []
-            for i in range(whole.num_rows):
-                p, q = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(t.whole * both >= t.part * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([whole.column("a").filter(pa.array(keep)), whole.column("b").filter(pa.array(keep))], ["a", "b"])
-
-    return x.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+            for at in range(0, whole.num_rows, ROWS):
+                some = whole.slice(at, ROWS)
+                sides = []
+                for c in ("text_a", "text_b"):
+                    g, d = shingles(*tb.utf8(some.column(c)), k)
+                    sides.append((g, np.searchsorted(d, np.arange(some.num_rows + 1))))
+                (p, x), (q, y) = sides
+                keep = []
+                for i in range(some.num_rows):
+                    r, s = p[x[i] : x[i + 1]], q[y[i] : y[i + 1]]
+                    both = len(np.intersect1d(r, s, assume_unique=True))
+                    keep.append(t.whole * both >= t.part * (len(r) + len(s) - both))
+                yield pa.RecordBatch.from_arrays([some.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _open(keys: DataFrame, comp: DataFrame, subset: dict[int, int]) -> DataFrame:
     """(part, id, c, least, list) of the documents' keys that lie in several components, where there are enough in a part.
 
-    ``list`` has (key, documents of the key), at most the keys of PART segments;
-    ``least`` of them are shared with any similar document of another component.
+    ``list`` has (key, documents of the key, whether it leads), at most the keys
+    of PART segments; ``least`` of them are shared with any similar document of
+    another component. Of keys that the same documents have, one leads.
     """
     placed = keys.join(comp, "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"))
-    open_keys = open_keys.where("lo != hi and ids > 2").select("key", "ids")  # of two documents, one is the smallest
+    same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"same{k}") for k in range(2)]
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"), *same)
+    open_keys = runtime.cut(open_keys.where("lo != hi and ids > 2"))  # of two documents, one is the smallest
+    leads = open_keys.groupBy("same0", "same1", "ids").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("leads"))
+    open_keys = open_keys.select("key", "ids").join(leads, "key", "left").select("key", "ids", F.col("leads").isNotNull().alias("leads"))
     sizes = F.create_map(*(F.lit(x) for kv in (subset or {0: 1}).items() for x in kv))
     least = F.coalesce(F.try_element_at(sizes, F.shiftright("part", 32).cast("int")), F.lit(1))
-    lists = placed.join(open_keys, "key").groupBy("part", "id", "c").agg(F.sort_array(F.collect_list(F.struct("key", "ids"))).alias("list"))
+    lists = placed.join(open_keys, "key").groupBy("part", "id", "c").agg(F.sort_array(F.collect_list(F.struct("key", "ids", "leads"))).alias("list"))
     return lists.withColumn("least", least).where(F.size("list") >= F.col("least"))
 
 
@@ -274,7 +285,7 @@ def _across(rest: DataFrame) -> DataFrame:
         return (F.col("ids") <= FEW) | (F.col("least") == size)
 
     single = rest.select("id", "c", "least", F.explode("list").alias("k")).select("id", "c", "least", "k.*")
-    out = pairs(single.where(few(1)))
+    out = pairs(single.where(few(1) & F.col("leads")))
     common = rest.withColumn("list", F.filter("list", lambda k: k["ids"] > FEW)).where((F.col("least") > 1) & (F.size("list") >= F.col("least")))
     level = common.withColumn("list", F.transform("list", lambda k: k["key"])).select("part", "id", "c", "least", "list", F.posexplode("list").alias("at", "key"))
     for size in (2, 3):
@@ -312,25 +323,25 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     own = classes.select(F.pmod("__key", F.lit(blocks)).alias("to"), F.col("__key").alias("sender"), F.lit(None).cast("binary").alias("payload"), "id")
 
     def chosen(table, told):
-        """Shingles of the block's class representatives, and their ids."""
+        """Shingles of the block's class representatives, their ids and their texts."""
         ids = dict(zip(told["sender"].to_pylist(), told["id"].to_pylist(), strict=True))
         at, keys = [], []
         for i, key in enumerate(table["__key"].to_pylist()):
             if key in ids:
                 at.append(i)
                 keys.append(ids.pop(key))
-        g, d = shingles(*tb.utf8(table["text"].take(pa.array(at, pa.int64()))), k)
-        return g, d, np.array(keys, np.int64)
+        texts = table["text"].take(pa.array(at, pa.int64()))
+        return *shingles(*tb.utf8(texts), k), np.array(keys, np.int64), texts
 
     def send(key, table, told):
         if not table.num_rows:
             return repeats.mail([])
-        g, d, _ = chosen(table, told)
+        g, d, _, _ = chosen(table, told)
         return repeats.distinct_mail(table["__block"][0].as_py(), keys_of(g, d, plans, t)[0], buckets)
 
     def shared_here(table, told):
         mask = np.array(told["payload"].is_valid())
-        g, d, ids = chosen(table, told.filter(pa.array(~mask)))
+        g, d, ids, texts = chosen(table, told.filter(pa.array(~mask)))
         shared, _ = repeats.opened_values(told.filter(pa.array(mask)))
         v, who, part = keys_of(g, d, plans, t)
         v = repeats.codes(v, buckets)
@@ -343,32 +354,31 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             n = np.diff(np.append(at, len(v)))
             keep = np.repeat(n > 1, n) | repeats._in_sorted(v, shared)[0]
             v, who, part = v[keep], who[keep], part[keep]
-        return g, d, ids, v, who, part
+        return g, d, ids, texts, v, who, part
 
     def rows(key, table, told):
-        """The shared keys of each set, and once the set itself with its sketch (and a null key)."""
-        empty = pa.table([pa.array([], pa.binary() if f.name == "set" else pa.int64()) for f in _ROW], _ROW.names)
+        """The shared keys of each set, and once its text and sketch (with a null key)."""
+        empty = pa.table([pa.array([], pa.string() if f.name == "text" else pa.int64()) for f in _ROW], _ROW.names)
         if not table.num_rows:
             return empty
-        g, d, ids, v, who, part = shared_here(table, told)
+        g, d, ids, texts, v, who, part = shared_here(table, told)
         if not len(v):
             return empty
         n = np.bincount(d, minlength=len(ids))
         none = pa.nulls(len(v), pa.int64())
-        first = [pa.array(v.view(np.int64)), pa.array(part.view(np.int64)), pa.array(ids[who]), none, *[none] * SKETCH, pa.nulls(len(v), pa.binary())]
-        bounds, pick = np.searchsorted(d, np.arange(len(ids) + 1)), np.unique(who)
+        first = [pa.array(v.view(np.int64)), pa.array(part.view(np.int64)), pa.array(ids[who]), none, *[none] * SKETCH, pa.nulls(len(v), pa.string())]
+        pick = np.unique(who)
         sk = parity(g, d, len(ids))[pick]
-        sets = pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in pick.tolist()], pa.binary())
         none = pa.nulls(len(pick), pa.int64())
-        second = [none, none, pa.array(ids[pick]), pa.array(n[pick].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), sets]
+        second = [none, none, pa.array(ids[pick]), pa.array(n[pick].astype(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH)), texts.take(pa.array(pick)).cast(pa.string())]
         return pa.concat_tables([pa.table(first, _ROW.names), pa.table(second, _ROW.names)])
 
     grouped = x.groupBy("__block")
     sent = grouped.cogroup(own.groupBy("to")).applyInArrow(send, repeats.MAIL)
     told = repeats.shared_values(sent).withColumn("id", F.lit(None).cast("long")).unionByName(own)
     found = runtime.stored(grouped.cogroup(told.groupBy("to")).applyInArrow(rows, _ROW))
-    keys, sets = found.where("key is not null").select("key", "part", "id"), found.where("set is not null").select("id", "set")
-    sketches = found.where("set is not null").drop("key", "part", "set")
+    keys, texts = found.where("key is not null").select("key", "part", "id"), found.where("text is not null").select("id", "text")
+    sketches = found.where("text is not null").drop("key", "part", "text")
 
     def alike(pairs):
         """The (a, b) pairs that neither sizes nor parity sketches rule out."""
@@ -380,11 +390,11 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     hub = keys.groupBy("key").agg(F.min("id").alias("hub"))
     first = keys.join(hub, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = runtime.stored(alike(first))
-    links = runtime.stored(_verify(first, sets, t))
+    links = runtime.stored(_verify(first, texts, t, k))
     comp = components(links)
     rest = runtime.stored(_open(keys, comp, {b: p.subset for b, p in plans.items()}))
     second = alike(_across(rest)).join(first, ["a", "b"], "left_anti")
-    more = runtime.stored(_verify(second, sets, t))
+    more = runtime.stored(_verify(second, texts, t, k))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     runtime.discard(found, first, links, rest, more)  # components() has cut its result from them
