@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from loomspark import runtime
 from loomspark.llm import repeats
 from loomspark.llm import textbytes as tb
-from loomspark.llm.arrow import ROWS, with_columns
+from loomspark.llm.arrow import pieces, with_columns
 from loomspark.llm.components import components
 
 RATIO = 1.5  # of a band's sizes
@@ -237,8 +237,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, t: Threshold, k: int) -> DataFra
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                some = whole.slice(at, ROWS)
+            for some in pieces(whole):
                 sides = []
                 for c in ("text_a", "text_b"):
                     g, d = shingles(*tb.utf8(some.column(c)), k)
