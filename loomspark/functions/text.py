@@ -70,25 +70,34 @@ def payload(model: Column, text: Column, system: str, max_tokens: int, effort: s
     return F.to_json(F.struct(model.alias("model"), messages.alias("messages"), F.lit(max_tokens).alias("max_tokens"), reasoning.alias("reasoning")))
 
 
-def _last_tag(body: Column, tag: str, content: str) -> Column:
-    strict = rf"(?is)<{tag}>({content})</{tag}>"
-    lenient = rf"(?is)<{tag}>((?:(?!<(?:rating|explanation|quote)>).)*?)(?:</|<(?=rating>|explanation>|quote>)|\z)"
-    if tag == "rating":
-        lenient = rf"(?is)<{tag}>({content})"
-    got = F.try_element_at(F.regexp_extract_all(body, F.lit(strict), F.lit(1)), F.lit(-1))
-    return F.coalesce(got, F.try_element_at(F.regexp_extract_all(body, F.lit(lenient), F.lit(1)), F.lit(-1)))
+_SOME = SPACE[:-1] + "*"
+# What may stand in an answer's tags.
+_NUMBER = "(10|[0-9])"
+
+
+def _last_of(body: Column, *patterns: str) -> Column:
+    """The last match of the first pattern that matches at all."""
+    return F.coalesce(*(F.try_element_at(F.regexp_extract_all(body, F.lit("(?is)" + p), F.lit(1)), F.lit(-1)) for p in patterns))
+
+
+def _tagged(body: Column, tag: str, others: str) -> Column:
+    """Content between a tag and its end; without any such, up to any end tag, another tag, or the end of the text."""
+    whole = f"<{tag}>((?:(?!<{tag}>).)*?)</{tag}>"
+    damaged = rf"<{tag}>{_SOME}(.*?){_SOME}(?:</[\p{{L}}\p{{N}}_]+>|(?=<(?:{others})(?![\p{{L}}\p{{N}}_]))|\z)"
+    return _last_of(body, whole, damaged)
 
 
 def parse_response(body: Column) -> Column:
     """struct(rating, explanation, quote) of a judge's answer; null without a rating from 0 to 10 or an explanation.
 
-    The last well-formed tag counts, else the last tag whose end is damaged.
-    Explanations are trimmed and keep three lines; a missing quote is empty.
+    The last well-formed tag counts, else the last tag whose end is damaged. A
+    damaged rating ends where a word does. Explanations are trimmed, may be
+    empty and keep three lines; a missing quote is empty.
     """
-    text = r"(?:(?!<(?:rating|explanation|quote)>).)*?"
-    rating = F.trim(_last_tag(body, "rating", r"\s*(?:10|[0-9])(?![0-9.])\s*")).try_cast("int")
-    explanation = _last_tag(body, "explanation", text)
-    quote = F.coalesce(_last_tag(body, "quote", text), F.lit(""))
-    lines = F.array_join(F.slice(F.split(F.regexp_replace(explanation, rf"^{SPACE}|{SPACE}\z", ""), LINE), 1, 3), "\n")
-    made = F.struct(rating.alias("rating"), lines.alias("explanation"), F.regexp_replace(quote, rf"^{SPACE}|{SPACE}\z", "").alias("quote"))
-    return F.when(rating.isNotNull() & explanation.isNotNull() & (lines != ""), made)
+    number = f"<rating>{_SOME}{_NUMBER}"
+    rating = _last_of(body, f"{number}{_SOME}</rating>", rf"{number}(?![\p{{L}}\p{{N}}_])").cast("int")
+    ends = rf"^{SPACE}|{SPACE}\z"
+    explanation = F.regexp_replace(_tagged(body, "explanation", "quote|rating"), ends, "")
+    quote = F.regexp_replace(F.coalesce(_tagged(body, "quote", "explanation|rating"), F.lit("")), ends, "")
+    lines = F.array_join(F.slice(F.split(explanation, LINE), 1, 3), "\n")
+    return F.when(rating.isNotNull() & explanation.isNotNull(), F.struct(rating.alias("rating"), lines.alias("explanation"), quote.alias("quote")))

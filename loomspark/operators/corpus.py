@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark import runtime
+
 RANGE = 1000  # row ids in a step of a running sum
 
 
@@ -138,11 +140,14 @@ def verify_disjoint(df: DataFrame, excluded: DataFrame) -> DataFrame:
 def build(source: DataFrame, excluded: DataFrame, low: int, high: int, target: int, kept: DataFrame | None = None) -> DataFrame:
     """Disjoint budgeted corpus from (row_id, text, token_count, digest) rows.
 
-    With ``kept`` (the rows of an earlier, partial build) only what is missing is added.
+    With ``kept`` (the rows of an earlier, partial build) only what is missing is
+    added; it is an error if one of them is excluded.
     """
     pool = source.where(F.col("token_count").between(low, high))
     have = 0
     if kept is not None:
+        if not kept.join(excluded.select("digest"), "digest", "left_semi").isEmpty():
+            raise ValueError("the partial corpus holds excluded documents")
         excluded = excluded.select("digest").unionByName(kept.select("digest"))
         have = kept.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
     pool = first_of_each(exclude(pool, excluded.distinct()), "digest")
@@ -156,6 +161,27 @@ def repair(corpus: DataFrame, source: DataFrame, excluded: DataFrame, low: int,
 
 
 def with_text_keys(df: DataFrame, text: Column) -> DataFrame:
-    from loomspark.functions.text import digest, token_count
+    """``df`` with ``token_count`` and ``digest`` of its text, which is normalized once for both."""
+    from loomspark.functions.text import normalize
+
+    def keys(n: Column) -> Column:
+        words = F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(words.cast("long").alias("token_count"), F.sha2(n, 256).alias("digest"))
+
+    made = df.withColumn("__keys", F.transform(F.array(normalize(text)), keys)[0])
+    return made.withColumn("token_count", F.col("__keys.token_count")).withColumn("digest", F.col("__keys.digest")).drop("__keys")
+
+
+def text_keys(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` without its text, but with ``token_count`` and ``digest``, written once to the shared folder.
+
+    Building and auditing read these few columns again and again; the texts are read once.
+    """
+    return runtime.stored(with_text_keys(df, F.col(text)).drop(text))
+
+
+def read_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its texts normalized, and without rows that have none left."""
+    from loomspark.functions.text import normalize
 
-    return df.withColumn("token_count", token_count(text)).withColumn("digest", digest(text))
+    return df.withColumn(text, normalize(F.col(text))).where(F.col(text) != "")

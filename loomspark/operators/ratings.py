@@ -61,13 +61,17 @@ def merge_missing(long: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def overlay_stats(long: DataFrame, overlay: DataFrame, matched: DataFrame) -> DataFrame:
-    """Counts of an overlay (ann_id, filter, model) put on the rows of ``matched`` (ann_id, row_id)."""
+    """Counts of an overlay (ann_id, filter, model) put on the rows of ``matched`` (ann_id, row_id).
+
+    ``matched_rows`` counts the annotations that have a row, also where two have the same one.
+    """
+    matched = matched.where("row_id is not null")
     x = overlay.join(matched, "ann_id").select("ann_id", *KEY)
     there = long.select(*KEY).withColumn("__t", F.lit(1))
     per = x.groupBy(*KEY).agg(F.count("*").alias("n")).join(there, KEY, "left")
     added = F.col("__t").isNull().cast("long")
     totals = per.agg(F.coalesce(F.sum(added), F.lit(0)).alias("added_ratings"), F.coalesce(F.sum(F.col("n") - added), F.lit(0)).alias("collisions"))
-    return totals.crossJoin(F.broadcast(x.agg(F.countDistinct("row_id").alias("matched_rows"))))  # one row
+    return totals.crossJoin(F.broadcast(matched.agg(F.count("*").alias("matched_rows"))))  # one row
 
 
 def targets(docs: DataFrame, layout: DataFrame, long: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
-from loomspark.operators import agreement, corpus, judge, matching, metrics, ratings, scoring, split
+from loomspark.operators import agreement, corpus, judge, matching, metrics, ratings, scoring, split, upkeep
 from loomspark.plans import tables as t
 
 QUERIES: dict[str, Callable] = {}
@@ -57,31 +57,31 @@ def exclusion_anti_join(spark, sf):
 
 @query("SELECT count(*) AS documents, sum(token_count)::BIGINT AS tokens, count(*) FILTER (b) AS excluded_documents, coalesce(sum(token_count) FILTER (b), 0)::BIGINT AS excluded_tokens FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)")
 def exclusion_audit(spark, sf):
-    return corpus.audit(t.corpus(spark, sf), t.exclusions(spark, sf))
+    return corpus.audit(t.keys(spark, sf), t.exclusions(spark, sf))
 
 
 @query(f"SELECT row_id, token_count, digest FROM eligible WHERE cum - token_count < {t.TARGET}")
 def token_budget_prefix(spark, sf):
-    return corpus.build(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET).select("row_id", "token_count", "digest")
+    return corpus.build(t.keys(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET).select("row_id", "token_count", "digest")
 
 
 @query(f"SELECT row_id, token_count, digest FROM eligible WHERE cum - token_count < {2 * t.TARGET}")
 def resumed_budget(spark, sf):
     """A build that stopped at half its budget, carried on, is the build in one go."""
-    pool, banned = t.corpus(spark, sf), t.exclusions(spark, sf)
+    pool, banned = t.keys(spark, sf), t.exclusions(spark, sf)
     part = corpus.build(pool, banned, t.LOW, t.HIGH, t.TARGET)
     return corpus.build(pool, banned, t.LOW, t.HIGH, 2 * t.TARGET, kept=part).select("row_id", "token_count", "digest")
 
 
 @query("SELECT row_id, digest FROM (SELECT min(row_id) AS row_id, digest FROM corpus GROUP BY digest) ORDER BY row_id LIMIT 500")
 def count_limited_corpus(spark, sf):
-    return corpus.count_prefix(corpus.first_of_each(t.corpus(spark, sf).select("row_id", "digest"), "digest"), 500)
+    return corpus.count_prefix(corpus.first_of_each(t.keys(spark, sf).select("row_id", "digest"), "digest"), 500)
 
 
 @query(f"""SELECT reason, count(*) AS documents, sum(token_count)::BIGINT AS tokens FROM (SELECT token_count, CASE WHEN token_count < {t.LOW} THEN 'short' WHEN token_count > {t.HIGH} THEN 'long' WHEN b THEN 'excluded'
   WHEN row_number() OVER (PARTITION BY digest, token_count BETWEEN {t.LOW} AND {t.HIGH} AND NOT b ORDER BY row_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)) GROUP BY reason""")
 def rejection_report(spark, sf):
-    x = corpus.reasons(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH)
+    x = corpus.reasons(t.keys(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH)
     return x.groupBy("reason").agg(F.count("*").alias("documents"), F.sum("token_count").alias("tokens"))
 
 
@@ -90,12 +90,12 @@ def rejection_report(spark, sf):
   WHEN row_number() OVER (PARTITION BY digest, token_count BETWEEN {t.LOW} AND {t.HIGH} AND NOT b ORDER BY row_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason
   FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)))) WHERE cum - k < {t.TARGET} GROUP BY reason""")
 def rejections_until_target(spark, sf):
-    return corpus.rejections(t.corpus(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET)
+    return corpus.rejections(t.keys(spark, sf), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET)
 
 
 @query("SELECT count(*) AS documents, sum(token_count)::BIGINT AS tokens, count(*) - count(DISTINCT digest) AS duplicates FROM corpus")
 def existing_summary(spark, sf):
-    return corpus.summary(t.corpus(spark, sf))
+    return corpus.summary(t.keys(spark, sf))
 
 
 @query("SELECT row_id FROM corpus WHERE row_id % 50 = 7")
@@ -153,10 +153,15 @@ def merge_missing_only(spark, sf):
     return ratings.merge_missing(t.ratings(spark, sf), new)
 
 
-@query("""SELECT (SELECT count(DISTINCT m.row_id) FROM m) AS matched_rows, sum(a)::BIGINT AS added_ratings, sum(n - a)::BIGINT AS collisions FROM (
-  SELECT row_id, l.filter, l.model, count(*) AS n, (max(r.rating) IS NULL)::BIGINT AS a FROM m CROSS JOIN layout l LEFT JOIN ratings r USING (row_id, filter, model) GROUP BY ALL)""".replace("(SELECT count(DISTINCT m.row_id) FROM m)", "(SELECT count(DISTINCT row_id) FROM matched)").replace("FROM m CROSS", "FROM (SELECT row_id FROM matched) m CROSS"))
+LAST_MATCHED = """(SELECT ann_id, coalesce(e, s) AS row_id FROM hand LEFT JOIN (SELECT text, max(row_id) AS e FROM corpus GROUP BY text) x USING (text)
+  LEFT JOIN (SELECT left(text, 200) AS p, min(row_id) AS s FROM corpus GROUP BY 1) y ON y.p = left(hand.text, 200))"""
+
+
+@query(f"""SELECT (SELECT count(row_id) FROM {LAST_MATCHED}) AS matched_rows, sum(a)::BIGINT AS added_ratings, sum(n - a)::BIGINT AS collisions FROM (
+  SELECT row_id, l.filter, l.model, count(*) AS n, (max(r.rating) IS NULL)::BIGINT AS a FROM {LAST_MATCHED} m CROSS JOIN layout l LEFT JOIN ratings r USING (row_id, filter, model) GROUP BY ALL)""")
 def overlay_merge_stats(spark, sf):
-    found = matching.match(t.hand(spark, sf), t.corpus(spark, sf)).select("ann_id", "row_id")
+    """An overlay of every rating on the last row of each hand text."""
+    found = matching.match(t.hand(spark, sf), t.corpus(spark, sf), exact_last=True).select("ann_id", "row_id")
     overlay = t.hand(spark, sf).select("ann_id").crossJoin(F.broadcast(t.layout(spark).select("filter", "model")))
     return ratings.overlay_stats(t.ratings(spark, sf), overlay, found)
 
@@ -360,12 +365,12 @@ BATCHED = "SELECT row_id, token_count, row_number() OVER (ORDER BY token_count,
 
 @query(BATCHED)
 def length_batches(spark, sf):
-    return scoring.length_batches(t.corpus(spark, sf).select("row_id", "token_count"), 256)
+    return scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256)
 
 
 @query(f"SELECT sum(t)::BIGINT AS tokens, sum(p)::BIGINT AS padded_tokens FROM (SELECT sum(token_count) AS t, max(token_count) * count(*) AS p FROM ({BATCHED}) GROUP BY batch)")
 def padding_waste(spark, sf):
-    return scoring.padding_waste(scoring.length_batches(t.corpus(spark, sf).select("row_id", "token_count"), 256))
+    return scoring.padding_waste(scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256))
 
 
 @query("SELECT row_id, filter, judge, round(logit, 6) AS logit FROM logits")
@@ -450,3 +455,85 @@ def judge_stub_refill(spark, sf):
     asked = judge.ask(todo.withColumn("prompt", S.prompt("Rate: {document}", F.col("text"), "0 to 10", "x")), t.judge)
     new = judge.parsed(asked).select("row_id", "filter", "model", F.col("rating").cast("long"))
     return ratings.merge_missing(long, new)
+
+
+@query(f"SELECT row_id, n AS text FROM (SELECT doc_id AS row_id, {t._norm('text')} AS n FROM documents) WHERE n <> ''")
+def normalized_texts(spark, sf):
+    """Texts as they are read into a corpus: normalized, without empty ones."""
+    return corpus.read_texts(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text"))
+
+
+@query("SELECT row_id, CASE WHEN row_id % 10 = 3 THEN 'new' ELSE digest END AS digest FROM corpus")
+def row_patch(spark, sf):
+    """A tenth of the rows replaced by others, and a replacement without a row."""
+    rows = t.keys(spark, sf).select("row_id", "digest")
+    new = rows.where("row_id % 10 = 3").select("row_id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("row_id")))
+    return upkeep.patched(rows, new.withColumn("digest", F.lit("new")))
+
+
+@query("SELECT count(*) FILTER (row_id % 3 > 0) AS saved, count(*) FILTER (row_id % 3 = 0) AS failed FROM (SELECT d.row_id, l.filter, l.model FROM corpus d CROSS JOIN layout l ANTI JOIN ratings USING (row_id, filter, model))")
+def saved_and_failed(spark, sf):
+    """Of the ratings asked for, those that came; a third never does."""
+    asked = ratings.pending(t.corpus(spark, sf), t.layout(spark), t.ratings(spark, sf))
+    return upkeep.outcome(asked, asked.where("row_id % 3 > 0"), ratings.KEY)
+
+
+@query("SELECT count(*) AS cleared FROM (SELECT DISTINCT row_id FROM ratings)")
+def hard_refresh(spark, sf):
+    """Rows that lose their ratings when all are to be made anew."""
+    rows = t.corpus(spark, sf).select("row_id").join(ratings.nest(t.ratings(spark, sf)), "row_id", "left")
+    return upkeep.refreshed(rows).where("ratings is null").agg(F.count_if("cleared").alias("cleared"))
+
+
+@query("SELECT 'hand' AS origin, 'hand:' || ann_id AS example_id, sha256(text) AS text_sha256 FROM hand UNION ALL SELECT 'rated', 'rated:' || row_id, sha256(text) FROM corpus WHERE row_id % 5 = 0")
+def example_ids(spark, sf):
+    """Two sets of texts in one bag, with ids that are unique across them."""
+    rated = t.corpus(spark, sf).where("row_id % 5 = 0").select(F.col("row_id").alias("line"), "text")
+    x = upkeep.examples(hand=t.hand(spark, sf).select(F.col("ann_id").alias("line"), "text"), rated=rated)
+    return x.select("origin", "example_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+COMPLETE = "(SELECT row_id FROM ratings GROUP BY row_id HAVING count(*) = 9)"
+
+
+@query(f"SELECT row_id FROM {COMPLETE} WHERE row_id NOT IN (SELECT row_id FROM matched WHERE row_id IS NOT NULL)")
+def eligible_rows(spark, sf):
+    """Complete rows that no hand text of two sets matches; the second set holds half of the first, again."""
+    docs = t.corpus(spark, sf)
+    hand = t.hand(spark, sf)
+    both = upkeep.examples(a=hand.withColumnRenamed("ann_id", "line"), b=hand.where("ann_id % 2 = 0").withColumnRenamed("ann_id", "line"))
+    found = matching.match(both.select(F.col("example_id").alias("ann_id"), "text"), docs).where("row_id is not null")
+    complete = ratings.targets(docs, t.layout(spark), t.ratings(spark, sf)).where("targets is not null").select("row_id")
+    return complete.join(found.select("row_id").distinct(), "row_id", "left_anti")
+
+
+@query(f"""SELECT count(*) AS eligible, (SELECT count(*) FROM {COMPLETE} WHERE row_id IN (SELECT row_id FROM matched)) AS excluded_overlap, round_even(count(*) * 0.05, 0)::BIGINT AS validation, (count(*) - round_even(count(*) * 0.05, 0))::BIGINT AS train
+  FROM {COMPLETE} WHERE row_id NOT IN (SELECT row_id FROM matched WHERE row_id IS NOT NULL)""")
+def split_counts(spark, sf):
+    """Complete rows, those of them that are hand texts too, and the sizes of the parts of the rest."""
+    docs = t.corpus(spark, sf)
+    complete = ratings.targets(docs, t.layout(spark), t.ratings(spark, sf)).where("targets is not null").select("row_id")
+    found = matching.match(t.hand(spark, sf), docs).where("row_id is not null").select("row_id").distinct().withColumn("hand", F.lit(True))
+    n = complete.join(found, "row_id", "left").agg(F.count_if(F.col("hand").isNull()).alias("eligible"), F.count("hand").alias("excluded_overlap"))
+    return n.withColumn("validation", F.bround(F.col("eligible") * 0.05).cast("long")).withColumn("train", F.col("eligible") - F.col("validation"))
+
+
+@query(f"SELECT row_id, filter, mean, {RANKED.format('mean')} FROM scores WHERE round(mean, 0) = 7")
+def doc_ranking_of_bin(spark, sf):
+    """The documents of one bar of the histogram, highest mean first."""
+    x = agreement.scores(t.ratings(spark, sf)).where(F.round("mean") == 7).select("row_id", "filter", "mean")
+    return agreement.ranked(x, "mean")
+
+
+@query(f"SELECT count(*) AS documents FROM ({BATCHED}) WHERE batch % 3 = 0")
+def documents_done(spark, sf):
+    """Documents of the finished batches; every third is."""
+    batched = scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256)
+    return upkeep.documents_done(batched, batched.where("batch % 3 = 0").select("batch").distinct())
+
+
+@query(f"SELECT row_id, sha256(text) AS text_sha256 FROM corpus WHERE row_id IN (SELECT row_id FROM ({BATCHED}) WHERE batch = 0)")
+def rows_of_batch(spark, sf):
+    """The texts of the first batch."""
+    docs = t.corpus(spark, sf).select("row_id", "text", "token_count")
+    return upkeep.rows_of_batch(docs, scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256), 0).select("row_id", F.sha2("text", 256).alias("text_sha256"))

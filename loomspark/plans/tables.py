@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import human_target
-from loomspark.operators.corpus import with_text_keys
+from loomspark.operators.corpus import text_keys, with_text_keys
 from loomspark.operators.scoring import linear_head
 
 FILTERS, JUDGES = 3, 3
@@ -19,11 +19,16 @@ def corpus(spark, sf: str) -> DataFrame:
     return with_text_keys(d, F.col("text"))
 
 
+def keys(spark, sf: str) -> DataFrame:
+    """row_id, token_count, digest of every document; the texts are read once."""
+    return text_keys(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text"))
+
+
 def exclusions(spark, sf: str) -> DataFrame:
     """Two exclusion files: the documents of one source, and the benchmark."""
     a = spark.read.parquet(f"{sf}/documents.parquet").where("source = 'src3'").select(F.lit("src3").alias("file"), "text")
     b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit("benchmark").alias("file"), "text")
-    return with_text_keys(a.unionByName(b), F.col("text"))
+    return text_keys(a.unionByName(b))
 
 
 def layout(spark) -> DataFrame:

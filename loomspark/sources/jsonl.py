@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.scalars import human_label
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of every physical line, from 1.
@@ -63,11 +66,33 @@ def string_field(name: str, empty: bool = True):
     return s if empty else F.nullif(s, F.lit(""))
 
 
-def positive_int_field(name: str):
-    """A field that must be a JSON integer above 0 (no bool, no 3.0, no string); else null."""
+def positive_int_field(name: str, most: int = 2**32 - 1):
+    """A field that must be a JSON integer from 1 to ``most`` (no bool, no 3.0, no string); else null."""
     v = F.try_variant_get("value", f"$.{name}", "variant")
     n = F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get("value", f"$.{name}", "bigint"))
-    return F.when(n > 0, n)
+    return F.when(n.between(1, most), n)
+
+
+def label_field(name: str):
+    """A human label: a JSON integer of 0 or more (no bool, no 1.0); else null."""
+    v = F.try_variant_get("value", f"$.{name}", "variant")
+    return human_label(F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get("value", f"$.{name}", "bigint")))
+
+
+def read_annotations(spark: SparkSession, path: str, labels: dict[str, str], blank_lines: bool = True) -> DataFrame:
+    """(line, text, and a column for each filter) of hand-annotated rows; ``labels``: filter -> field.
+
+    A line that isn't an object with a text that isn't empty is an error that
+    names it, and so is a file without rows; with ``blank_lines`` False, as for
+    rows that must stay aligned, a blank line too. Labels that aren't whole
+    numbers of 0 or more are null.
+    """
+    rows = read_jsonl(spark, path, "fail", blank_lines)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    text = string_field("text", empty=False)
+    missing = F.raise_error(F.concat(F.lit("no text: "), F.col("file"), F.lit(":"), F.col("line"))).cast("string")
+    return rows.select("line", F.coalesce(text, missing).alias("text"), *(label_field(field).alias(name) for name, field in labels.items()))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -76,38 +101,46 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def commit(df: DataFrame, path: str, expected: str | None = None) -> str:
-    """Write a new version under ``path`` and point the manifest at it; returns the version.
+    """Write a new version under ``path`` and a manifest of that number for it; returns the version.
 
-    Refuses if the manifest no longer names ``expected``, so a table that has
-    changed since it was read isn't overwritten. The previous version stays as a backup.
+    Refuses if ``expected`` is no longer the newest version, so a table that has
+    changed since it was read isn't overwritten. A version counts from the
+    moment its manifest is renamed into place: nothing is deleted, an
+    interrupted commit leaves only files that no manifest names, and earlier
+    versions stay as backups.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    manifest = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest.json"))
-    fs = manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, home = _home(spark, path)
     current = version(spark, path)
     if current != expected:
         raise RuntimeError(f"{path} is at {current}, not at {expected}")
-    new = f"v{0 if current is None else int(current[1:]) + 1}"
-    df.write.parquet(os.path.join(path, new))
-    part = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest.partial"))
+    new = 0 if current is None else int(current[1:]) + 1
+    data = f"data-{new}-{uuid.uuid4().hex}"
+    df.write.parquet(os.path.join(path, data))
+    part, manifest = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, name) for name in (f"{data}.partial", f"manifest-{new}.json"))
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps({"version": new, "previous": current}).encode()))
+    out.write(bytearray(json.dumps({"version": f"v{new}", "data": data, "previous": current}).encode()))
     out.close()
-    if fs.exists(manifest):
-        fs.delete(manifest, False)
-    fs.rename(part, manifest)
-    return new
+    if fs.exists(manifest) or not fs.rename(part, manifest):
+        raise RuntimeError(f"{path} has got a version v{new} meanwhile")
+    return f"v{new}"
 
 
-def version(spark: SparkSession, path: str) -> str | None:
-    """The version that the manifest under ``path`` names, if there is one."""
-    jvm = spark.sparkContext._jvm
-    manifest = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "manifest.json"))
-    if not manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(manifest):
-        return None
-    return json.loads(spark.read.text(str(manifest), wholetext=True).first()[0])["version"]
+def _home(spark: SparkSession, path: str):
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), home
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, version(spark, path)))
+def version(spark: SparkSession, path: str) -> str | None:
+    """The newest version under ``path`` that has a manifest, if there is one."""
+    fs, home = _home(spark, path)
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, "manifest-*.json")) or []
+    numbers = [int(f.getPath().getName()[len("manifest-") : -len(".json")]) for f in found]
+    return f"v{max(numbers)}" if numbers else None
+
+
+def read_current(spark: SparkSession, path: str, at: str | None = None) -> DataFrame:
+    """The newest version, or the earlier one named ``at``."""
+    number = (at or version(spark, path))[1:]
+    manifest = spark.read.text(os.path.join(path, f"manifest-{number}.json"), wholetext=True).first()[0]
+    return spark.read.parquet(os.path.join(path, json.loads(manifest)["data"]))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
-from loomspark.operators import corpus, judge, matching, metrics, ratings, scoring, split
+from loomspark.operators import corpus, judge, matching, metrics, ratings, scoring, split, upkeep
 from loomspark.sources import jsonl
 
 
@@ -25,6 +25,11 @@ def test_response_parser(spark):
         ("<rating>10<explanation>x</explanation>", (10, "x", "")),
         ("<rating>5</rating><explanation>unclosed", (5, "unclosed", "")),
         ("<rating>5</rating>", None),
+        ("<rating>5</rating><explanation></explanation>", (5, "", "")),
+        ("<rating>7.5<explanation>x</explanation>", (7, "x", "")),
+        ("<rating>7a<explanation>x</explanation>", None),
+        ("<rating>6</rating><explanation>it says <quote>so</quote> here</explanation>", (6, "it says <quote>so</quote> here", "so")),
+        ("<rating>6</rating><explanation>ends wrong</quote> rest", (6, "ends wrong", "")),
         ("nothing", None),
         ("<rating>5</rating><explanation>" + "x" * 1_000_000 + "</explanation>", (5, "x" * 1_000_000, "")),
     ]
@@ -55,6 +60,65 @@ def test_commit_refuses_a_changed_table(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":"é","b":null}'
 
 
+def test_token_counts_have_an_upper_bound(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(f'{{"token_count":{n}}}' for n in (4294967295, 4294967296)))
+    rows = jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl")).select("line", jsonl.positive_int_field("token_count").alias("n"))
+    assert {r.line: r.n for r in rows.collect()} == {1: 4294967295, 2: None}
+
+
+def test_annotations(spark, tmp_path):
+    def write(*lines):
+        (tmp_path / "h.jsonl").write_text("\n".join(lines))
+        return jsonl.read_annotations(spark, str(tmp_path / "h.jsonl"), {"f": "a", "g": "b"})
+
+    rows = write('{"text":"x","a":1,"b":true}', "", '{"text":"y","a":-1,"b":2.0}', '{"text":"z","a":"1"}').orderBy("line").collect()
+    assert [tuple(r) for r in rows] == [(1, "x", 1, None), (3, "y", None, None), (4, "z", None, None)]
+    for bad in ('{"text":""}', '{"text":5}', "{}", "[]", "nope"):
+        with pytest.raises(Exception, match="h.jsonl"):
+            write('{"text":"x"}', bad).collect()
+    with pytest.raises(ValueError, match="no rows"):
+        write("")
+    (tmp_path / "h.jsonl").write_text('{"text":"x"}\n\n{"text":"y"}')
+    with pytest.raises(Exception, match="not a JSON object"):
+        jsonl.read_annotations(spark, str(tmp_path / "h.jsonl"), {}, blank_lines=False).collect()
+
+
+def test_batches_are_committed_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(10).select(F.col("id").alias("row_id"), F.lit(0).alias("n"))
+    jsonl.commit(rows, path)
+    at = upkeep.by_batches(rows.where("row_id % 2 = 0"), path, 2, lambda b: b.withColumn("n", F.lit(1)))
+    assert at == "v3" and {r.row_id for r in jsonl.read_current(spark, path).where("n = 1").collect()} == {0, 2, 4, 6, 8}
+    assert jsonl.read_current(spark, path, "v1").where("n = 1").count() == 2
+
+    def breaks(batch):
+        if batch.where("row_id = 5").count():
+            raise KeyError
+        return batch.withColumn("n", F.lit(2))
+
+    with pytest.raises(KeyError):
+        upkeep.by_batches(rows.where("row_id % 2 = 1"), path, 2, breaks)
+    assert jsonl.read_current(spark, path).where("n = 2").count() == 2
+
+
+def test_resumed_scoring(spark):
+    batched = scoring.length_batches(spark.range(20).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("token_count")), 4)
+    mark = upkeep.fingerprint(batched, model="m", seed=7)
+    scored = batched.where("batch < 2").select("row_id")
+    assert sorted(r.batch for r in upkeep.remaining(batched, scored, mark, upkeep.fingerprint(batched, model="m", seed=7)).collect()) == [2, 3, 4]
+    with pytest.raises(ValueError, match="start again"):
+        upkeep.remaining(batched, scored, mark, upkeep.fingerprint(batched, model="other", seed=7))
+
+
+def test_overlays_count_annotations_and_find_the_last_text(spark):
+    docs = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "row_id long, text string")
+    hand = spark.createDataFrame([(10, "x"), (11, "x"), (12, "none")], "ann_id long, text string")
+    long = spark.createDataFrame([(0, "f", "m")], "row_id long, filter string, model string")
+    overlay = hand.select("ann_id", F.lit("f").alias("filter"), F.lit("m").alias("model"))
+    got = ratings.overlay_stats(long, overlay, matching.match(hand, docs, exact_last=True).select("ann_id", "row_id")).first()
+    assert (got.matched_rows, got.added_ratings, got.collisions) == (2, 1, 1)
+
+
 def test_rating_validators_and_last_valid_wins(spark):
     e = lambda r, **k: {"model": "m", "rating": r, "explanation": "", "quote": ""} | k
     entries = [e(7), e(7.0), e(7.5), e(-1), e(11), e(True), e("7"), e(None), {"model": "m", "rating": 4}]
@@ -91,6 +155,8 @@ def test_build_resume_repair(spark):
     assert corpus.verify_disjoint(fixed, banned).first().tokens == 100
     with pytest.raises(Exception, match="excluded documents"):
         corpus.verify_disjoint(full, banned).collect()
+    with pytest.raises(ValueError, match="excluded documents"):
+        corpus.build(source, banned, 1, 9, 100, kept=part)
 
 
 def test_match_first_last_and_prefix(spark):
