@@ -46,7 +46,7 @@ from loomspark.llm.components import components
 
 RATIO = 1.5  # of a band's sizes
 PART = 24  # segments of a part
-FEW = 256  # documents of a key that are joined with each other
+FEW = 2048  # documents of a key that are compared with each other, by sketches, within one join
 LIGHT = 8.0  # what a key of one or two shingles costs: other sets hold it by chance
 SEEDS = 64
 SKETCH = 8  # longs of parity bits
@@ -253,6 +253,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, t: Threshold, k: int) -> DataFra
     return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _with_leads(rows: DataFrame, where: str) -> DataFrame:
+    """(key, ids, leads) of the keys that lie in several components: their documents, and whether the key leads those that the same documents have."""
+    same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"same{k}") for k in range(2)]
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"), *same)
+    keys = runtime.cut(keys.where("lo != hi").where(where).drop("lo", "hi"))
+    leads = keys.groupBy("same0", "same1", "ids").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("leads"))
+    return keys.select("key", "ids").join(leads, "key", "left").select("key", "ids", F.col("leads").isNotNull().alias("leads"))
+
+
 def _open(keys: DataFrame, comp: DataFrame, subset: dict[int, int]) -> DataFrame:
     """(part, id, c, least, list) of the documents' keys that lie in several components, where there are enough in a part.
 
@@ -261,24 +270,28 @@ def _open(keys: DataFrame, comp: DataFrame, subset: dict[int, int]) -> DataFrame
     another component. Of keys that the same documents have, one leads.
     """
     placed = keys.join(comp, "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("c"))
-    same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"same{k}") for k in range(2)]
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("ids"), *same)
-    open_keys = runtime.cut(open_keys.where("lo != hi and ids > 2"))  # of two documents, one is the smallest
-    leads = open_keys.groupBy("same0", "same1", "ids").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("leads"))
-    open_keys = open_keys.select("key", "ids").join(leads, "key", "left").select("key", "ids", F.col("leads").isNotNull().alias("leads"))
+    open_keys = _with_leads(placed, "ids > 2")  # of two documents, one is the smallest
     sizes = F.create_map(*(F.lit(x) for kv in (subset or {0: 1}).items() for x in kv))
     least = F.coalesce(F.try_element_at(sizes, F.shiftright("part", 32).cast("int")), F.lit(1))
     lists = placed.join(open_keys, "key").groupBy("part", "id", "c").agg(F.sort_array(F.collect_list(F.struct("key", "ids", "leads"))).alias("list"))
     return lists.withColumn("least", least).where(F.size("list") >= F.col("least"))
 
 
-def _across(rest: DataFrame) -> DataFrame:
+def _may_be_similar(t: Threshold):
+    """Neither the sizes nor the parity sketches of p and q rule the pair out."""
+    r, s = F.col("p.n"), F.col("q.n")
+    bits = sum((F.bit_count(F.col(f"p.s{j}").bitwiseXOR(F.col(f"q.s{j}"))) for j in range(SKETCH)), F.lit(0))
+    return (t.whole * F.least(r, s) >= t.part * F.greatest(r, s)) & (bits * (t.part + t.whole) <= (t.whole - t.part) * (r + s))
+
+
+def _across(rest: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, b) of different components that share a key of few documents, or else subsets of common keys of one part."""
 
     def pairs(rows: DataFrame) -> DataFrame:
+        rows = rows.select("key", "id", "c").join(sketches, "id")
         p, q = rows.alias("p"), rows.alias("q")
         on = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id"))
-        return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        return p.join(q, on & _may_be_similar(t)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
     def few(size: int):
         return (F.col("ids") <= FEW) | (F.col("least") == size)
@@ -291,10 +304,10 @@ def _across(rest: DataFrame) -> DataFrame:
         longer = level.where(F.col("least") >= size)
         longer = longer.select("part", "id", "c", "least", "list", F.col("at").alias("from"), F.col("key").alias("head"), F.posexplode("list").alias("at", "next")).where("at > from")
         longer = longer.select("part", "id", "c", "least", "list", "at", F.xxhash64("head", "next").alias("key"))
-        n = longer.groupBy("key").agg(F.count("*").alias("ids"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "ids")
-        longer = runtime.cut(longer.join(n, "key"))
+        longer = longer.join(_with_leads(longer.select("key", "id", "c"), "true"), "key").where(~few(size) | F.col("leads"))
+        longer = runtime.cut(longer.withColumn("list", F.when(~few(size), F.col("list"))))
         out = out.unionByName(pairs(longer.where(few(size))))
-        level = longer.where(~few(size)).drop("ids")
+        level = longer.where(~few(size)).drop("ids", "leads")
     return out.distinct()
 
 
@@ -379,20 +392,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     keys, texts = found.where("key is not null").select("key", "part", "id"), found.where("text is not null").select("id", "text")
     sketches = found.where("text is not null").drop("key", "part", "text")
 
-    def alike(pairs):
-        """The (a, b) pairs that neither sizes nor parity sketches rule out."""
-        x = pairs.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id"))
-        r, s = F.col("p.n"), F.col("q.n")
-        bits = sum((F.bit_count(F.col(f"p.s{j}").bitwiseXOR(F.col(f"q.s{j}"))) for j in range(SKETCH)), F.lit(0))
-        return x.where((whole * F.least(r, s) >= part * F.greatest(r, s)) & (bits * (part + whole) <= (whole - part) * (r + s))).select("a", "b")
-
     hub = keys.groupBy("key").agg(F.min("id").alias("hub"))
     first = keys.join(hub, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = runtime.stored(alike(first))
+    first = first.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id"))
+    first = runtime.stored(first.where(_may_be_similar(t)).select("a", "b"))
     links = runtime.stored(_verify(first, texts, t, k))
     comp = components(links)
     rest = runtime.stored(_open(keys, comp, {b: p.subset for b, p in plans.items()}))
-    second = alike(_across(rest)).join(first, ["a", "b"], "left_anti")
+    second = _across(rest, sketches, t).join(first, ["a", "b"], "left_anti")
     more = runtime.stored(_verify(second, texts, t, k))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
