@@ -26,6 +26,7 @@ def pieces(batch: pa.RecordBatch):
         end = min(at + ROWS, max(at + 1, int(np.searchsorted(full, full[at], side="right"))))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on, and would hold what their largest batch took
 
 
 def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields: list[T.StructField]) -> DataFrame:
