@@ -4,11 +4,10 @@ Markup is stripped into lines, one for each block of text; scripts, styles,
 comments, forms and elements whose tag, role, class or id names boilerplate are
 left out. Lengths of text outside links are summed over a sliding window of
 lines; a region begins where the sum surges and ends where it dives. The
-heaviest region is the page's core. The smallest article or main element around
-its centre decides the bounds where there is one. Elsewhere the text goes from
-the first to the last line that surges within the smallest container of the
-whole core, and on over plain lines at both ends (headings, lists, short last
-sentences), as these are often too short to surge.
+heaviest region is the page's core. The text goes from the first to the last
+line that surges within the smallest container of the whole core, whatever that
+container's tag, and on over plain lines at both ends (headings, lists, short
+last sentences), as these are often too short to surge.
 """
 
 from __future__ import annotations
@@ -47,18 +46,16 @@ _ROOT = {"", "html", "body"}
 
 
 class _Lines:
-    """Blocks of text in page order, the characters outside links, and the core element each stands in."""
+    """Blocks of text in page order, the characters outside links, and the element each stands in."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.core: list[tuple[int, ...]] = []
         self.home: list[int] = []  # the element other than an inline one that each line stands in
         self.tags, self.parent = [""], [0]  # of each such element, the page itself first
-        self._open: list[tuple[str, bool, bool]] = []  # tag, dropped, core
+        self._open: list[tuple[str, bool, bool]] = []  # tag, dropped, article or main
         self._homes = [0]  # of each open element, after the page
-        self._cores: list[int] = []
-        self._n_cores = self._dropped = self._links = 0
+        self._articles = self._dropped = self._links = 0
         self._now: list[str] = []
         self._plain = 0
         at = 0
@@ -95,7 +92,6 @@ class _Lines:
             if line:
                 self.text.append(line)
                 self.weight.append(min(self._plain, len(line)))
-                self.core.append(tuple(self._cores))
                 self.home.append(self._homes[-1])
         self._now, self._plain = [], 0
 
@@ -123,7 +119,7 @@ class _Lines:
                 drop = drop or (value.lower() in _ROLES if m[1].lower() == "role" else bool(_NAMED.search(value)))
         elif core and re.search(r"\bcomment", attributes, re.I):
             drop, core = True, False
-        if tag == "header" and self._cores and "class" not in attributes:
+        if tag == "header" and self._articles and "class" not in attributes:
             drop = False  # an article's own heading
         if re.search(r"\shidden(?:[\s=/]|$)|display\s*:\s*none", attributes):
             drop = True
@@ -134,9 +130,7 @@ class _Lines:
         self._homes.append(self._homes[-1] if tag in _INLINE else len(self.tags) - 1)
         self._dropped += drop
         self._links += tag == "a"
-        if core and not self._dropped:
-            self._n_cores += 1
-            self._cores.append(self._n_cores)
+        self._articles += core
 
     def _close(self, tag: str) -> None:
         self._break(tag)
@@ -149,8 +143,7 @@ class _Lines:
 
     def _pop(self, k: int) -> None:
         for tag, drop, core in reversed(self._open[k:]):
-            if core and not self._dropped and self._cores:
-                self._cores.pop()
+            self._articles -= core
             self._dropped -= drop
             self._links -= tag == "a"
         del self._open[k:], self._homes[k + 1 :]
@@ -236,15 +229,6 @@ def main_text(page: str | None) -> str:
     if not lines.text:
         return ""
     own, (first, last) = surges(lines.weight)
-    mass: dict[int, int] = {}
-    for k in range(first, last):
-        for c in lines.core[k]:
-            mass[c] = mass.get(c, 0) + lines.weight[k]
-    if mass:
-        most = max(mass.values())
-        chosen = max(c for c, v in mass.items() if v == most)  # of nested ones, the inner
-        if most * 2 >= sum(lines.weight[first:last]):
-            return "\n".join(t for t, c in zip(lines.text, lines.core, strict=True) if chosen in c)
     return "\n".join(_around(lines, own, first, last))
 
 

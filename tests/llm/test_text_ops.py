@@ -119,9 +119,11 @@ def test_extract_edges(spark):
 
 
 def test_all_pages(spark):
+    """Against the article element's blocks; the same page with a div in its place gives the same text."""
     import html as h
 
     for r in html_extract.op4_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        assert html_extract.main_text(re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)) == r.text
         body = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1].split("<footer")[0]
         body = re.sub(r"<br>", " ", body)
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
