@@ -1,13 +1,15 @@
 """Document fingerprints by Order MinHash (DataFrame functions only).
 
 The k-mers of a text are its runs of ``K`` words, numbered by their occurrence
-so that repeats count. A hash deals the numbered k-mers into ``BUCKETS``
-sketches; each sketch takes its ``TUPLE`` smallest, puts them back into text
-order and hashes the tuple, so a sketch changes when the order changes. Each
-k-mer enters one sketch only (one permutation serves all sketches), so the work
-is linear in the text.
-
-A k-mer is held in one long: 40 bits of hash above 24 bits of position.
+so that repeats count. Each of the ``SKETCHES`` sketches puts all numbered
+k-mers of the text into an order of its own, takes the ``TUPLE`` smallest, puts
+these back into text order and hashes the tuple, so a sketch changes when the
+order of the text does.
+
+An order is a hash (``HASHES`` independent ones) read from one of ``TURNS``
+evenly spaced starting points on, and around from the largest value to the
+smallest. Each such order is a uniformly random one, and a hash is sorted once
+for all its starting points.
 """
 
 from __future__ import annotations
@@ -15,88 +17,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark import runtime
+
 K = 5
 TUPLE = 2
-BUCKETS = 64
-_POS = (1 << 24) - 1
-_TOP = ~_POS
+HASHES = 4
+TURNS = 16
+SKETCHES = HASHES * TURNS
+STARTS = [(t << 60) - (1 << 63) for t in range(TURNS)]  # of longs, from the smallest on
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _top(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_TOP))
+def _kmers(w: Column) -> Column:
+    """Hashes of the k-mers of an array of words, in text order; all words are one if they are fewer than K."""
+    many = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(K))))
+    return F.when(F.size(w) >= K, many).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _pack(h: Column, pos: Column) -> Column:
-    return _top(h).bitwiseOR(pos)
+def _numbered(g: Column) -> Column:
+    """The k-mers, in text order, with the number of their occurrence mixed in."""
 
+    def by_run(s: Column) -> Column:
+        """s: (k-mer, position), sorted, so that repeats are neighbours."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["x"] != F.get(s, i - 1)["x"]))
 
-def _bucket(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 58)
+        def run(st: Column, at: Column, r: Column) -> Column:
+            n = F.coalesce(F.get(st, r + 1), F.size(s)) - at
+            return F.transform(F.slice(s, at + 1, n), lambda e, o: F.struct(e["at"].alias("at"), F.xxhash64(e["x"], o).alias("x")))
 
+        runs = _let(starts, lambda st: F.flatten(F.transform(st, lambda at, r: run(st, at, r))))
+        return F.transform(F.sort_array(runs), lambda e: e["x"])
 
-def sketch(text: Column) -> Column:
-    """Array of sketch values; empty for a text without words."""
+    once = F.transform(g, lambda x: F.xxhash64(x, F.lit(0)))
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(g)) == F.size(g), once).otherwise(_let(pairs, by_run))
 
-    def kmers(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: _pack(F.xxhash64(*(F.get(w, i + k) for k in range(K))), i.cast("long")))
-        few = F.array(_top(F.xxhash64(F.array_join(w, " "))))
-        return F.when(F.size(w) >= K, F.sort_array(many)).when(F.size(w) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
-    def numbered(s: Column) -> Column:
-        """The k-mers with their occurrence mixed into the hash; s is sorted, so repeats are neighbours."""
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (_top(F.get(s, i)) != _top(F.get(s, i - 1))))
+def _under(g: Column, h: int) -> Column:
+    """The numbered k-mers' values under one of the hashes."""
+    return F.transform(g, lambda x: F.xxhash64(x, F.lit(h)))
 
-        def by_run(st: Column) -> Column:
-            def run(at: Column, r: Column) -> Column:
-                n = F.coalesce(F.get(st, r + 1), F.size(s)) - at
-                return F.transform(F.slice(s, at + 1, n), lambda x, o: _pack(F.xxhash64(_top(x), o), x.bitwiseAND(F.lit(_POS))))
 
-            once = F.transform(s, lambda x: _pack(F.xxhash64(_top(x), F.lit(0)), x.bitwiseAND(F.lit(_POS))))
-            return F.when(F.size(st) == F.size(s), F.sort_array(once)).otherwise(F.sort_array(F.flatten(F.transform(st, run))))
+def _tuples(v: Column, s: Column, firsts: Column) -> Column:
+    """Hashes of each order's tuple; v are the values in text order, s sorted, firsts how many lie before each start."""
+    n = F.size(s)
+    taken = F.transform(firsts, lambda at: F.transform(F.sequence(F.lit(0), F.least(F.lit(TUPLE), n) - 1), lambda k: F.get(s, F.pmod(at + k, n).cast("int"))))
 
-        return F.when(F.size(s) == 0, s).otherwise(_let(starts, by_run))
+    def hashed(t: Column, placed: Column) -> Column:
+        return F.xxhash64(F.array_sort(t, lambda a, b: (F.array_position(placed, a) - F.array_position(placed, b)).cast("int")))
 
-    def least(g: Column) -> Column:
-        return F.filter(g, lambda x, i: (i < TUPLE) | (_bucket(F.get(g, i - TUPLE)) != _bucket(x)))
+    # An intersection keeps the order of its first array: all taken values in text order.
+    tuples = _let(taken, lambda ts: _let(F.array_intersect(v, F.flatten(ts)), lambda placed: F.transform(ts, lambda t: hashed(t, placed))))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(tuples)
 
-    def tuples(p: Column) -> Column:
-        def hashed(x: Column, i: Column) -> Column:
-            y = F.get(p, i + 1)
-            pair = F.coalesce(_bucket(y) == _bucket(x), F.lit(False))
-            first = x.bitwiseAND(F.lit(_POS)) <= y.bitwiseAND(F.lit(_POS))
-            h = F.when(~pair, F.xxhash64(_top(x))).when(first, F.xxhash64(_top(x), _top(y))).otherwise(F.xxhash64(_top(y), _top(x)))
-            head = (i == 0) | (_bucket(F.get(p, i - 1)) != _bucket(x))
-            return F.when(head, F.shiftleft(F.shiftright(h, 6), 6).bitwiseOR(_bucket(x)))
 
-        return F.filter(F.transform(p, hashed), lambda v: v.isNotNull())
+def fingerprint(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
+    """``docs`` with ``out``, the Order MinHash of the text: ``SKETCHES`` longs.
 
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
-    return _let(words, lambda w: _let(kmers(w), lambda s: _let(numbered(s), lambda g: _let(least(g), tuples))))
+    A text that is null or without words has an empty sketch; one of fewer than
+    ``K`` words has one k-mer. A column named as ``out`` is replaced.
+    """
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
+    df = docs.withColumn(out, words).withColumn(out, _kmers(F.col(out))).withColumn(out, _numbered(F.col(out)))
+    parts = []
+    for h in range(HASHES):
+        v, s, f = (f"__{out}_{x}{h}" for x in "vsf")
+        df = df.withColumn(v, _under(F.col(out), h))
+        df = df.withColumn(s, F.sort_array(v)).withColumn(f, F.sort_array(F.concat(s, F.array(*map(F.lit, STARTS)))))
+        df = df.withColumn(f, F.array(*(F.array_position(f, F.lit(x)) - 1 - t for t, x in enumerate(STARTS))))
+        df = df.withColumn(v, _tuples(F.col(v), F.col(s), F.col(f))).drop(s, f)
+        parts.append(v)
+    return df.withColumn(out, F.concat(*parts)).drop(*parts)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the sketches present in either fingerprint that are equal; 1 if both are empty."""
-
-    def present(x: Column) -> Column:
-        return F.transform(x, lambda v: v.bitwiseAND(F.lit(BUCKETS - 1)))
-
-    either = F.size(F.array_union(present(a), present(b)))
-    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of equal sketches; 1 if both fingerprints are empty, 0 if one is."""
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(SKETCHES)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(equal)
 
 
 def as_text(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
-def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``sketch``, the Order MinHash of the text (null counts as empty)."""
-    return docs.withColumn("sketch", sketch(F.col(text)))
-
-
 def _next_lower(keys: DataFrame, few: int = 10_000) -> DataFrame:
     """(key, next): the next lower key of each distinct key, null for the lowest.
 
@@ -139,12 +145,13 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(fingerprint(docs), "doc_id", ["text", "sketch"])
+    docs = runtime.stored(fingerprint(docs))  # once a text, for the row itself, the one before it and the ends of ranges
+    pairs = with_next(docs, "doc_id", ["text", "sketch"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = pairs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    both = fingerprint(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
     return both.select(
         "doc_id",
         "n_chars",

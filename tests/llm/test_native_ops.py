@@ -3,6 +3,7 @@ import re
 from math import log
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomspark.llm import fingerprints, licences, mixing
@@ -87,14 +88,66 @@ def test_fingerprints_on_documents(spark):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.8 * len(long)
 
 
+def xx(*values):
+    """Spark's xxhash64 of longs and strings."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def xx_int(x, o):
+    """The same of a long and an int, which Spark hashes as 4 bytes."""
+    h = xxhash.xxh64_intdigest((o & (1 << 32) - 1).to_bytes(4, "little"), xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_sketch(text):
+    words = re.findall(r"[^ \t\n\x0B\f\r]+", text or "")
+    grams = [xx(*words[k : k + 5]) for k in range(len(words) - 4)] or ([xx(" ".join(words))] if words else [])
+    numbered = [xx_int(x, grams[:k].count(x)) for k, x in enumerate(grams)]
+    out = []
+    for h in range(fingerprints.HASHES):
+        values = [xx_int(x, h) for x in numbered]
+        for start in fingerprints.STARTS if values else []:
+            least = sorted(values, key=lambda x: (x - start) % (1 << 64))[: fingerprints.TUPLE]
+            out.append(xx(*sorted(least, key=values.index)))
+    return out
+
+
+def test_sketch_same_as_listing(spark):
+    words = [f"w{k}" for k in range(90)]
+    texts = [" ".join(words), " ".join(words[40:] + words[:40]), "a b " * 40, "x " * 30, "a b c d e f", "a b c d e", "a b", " a\tb\n", "", None, " \n", "é😀 " * 7 + " ".join(words)]
+    docs = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "doc_id long, text string, sketch string")
+    got = {r.doc_id: r.sketch for r in fingerprints.fingerprint(docs).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == brute_sketch(t), t
+    near = docs.crossJoin(docs.select(F.col("text").alias("other")))
+    near = fingerprints.fingerprint(fingerprints.fingerprint(near, "text", "a"), "other", "b").withColumn("near", fingerprints.likeness(F.col("a"), F.col("b")))
+    for r in near.collect():
+        a, b = brute_sketch(r.text), brute_sketch(r.other)
+        want = sum(x == y for x, y in zip(a, b)) / fingerprints.SKETCHES if a and b else float(a == b)
+        assert r.near == pytest.approx(want)
+
+
 def test_sketch_keeps_order_and_counts(spark):
     words = [f"w{k}" for k in range(300)]
     a, b = " ".join(words), " ".join(words[150:] + words[:150])
     c = " ".join((words[:20]) * 8)
     rows = [(1, a), (2, b), (3, c), (4, " ".join(words[:20] * 2)), (5, ""), (6, None), (7, "  a \n b "), (8, "a b")]
     got = {r.i: r.sketch for r in fingerprints.fingerprint(spark.createDataFrame(rows, "i int, text string")).collect()}
-    same = lambda x, y: len(set(got[x]) & set(got[y])) / max(1, len(set(got[x]) | set(got[y])))
-    assert 0 < same(1, 2) < 1 and same(3, 4) < 1 and got[5] == got[6] == [] and got[7] == got[8] and len(got[1]) > 55
+    same = lambda x, y: sum(p == q for p, q in zip(got[x], got[y])) / fingerprints.SKETCHES
+    assert 0 < same(1, 2) < 1 and same(3, 4) < 1 and got[5] == got[6] == [] and got[7] == got[8] and len(got[1]) == 64
+
+
+def test_fingerprints_of_repeated_ids_and_no_rows(spark, tmp_path):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "x"), (None, "x"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, sketch string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.op8_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((i or -1, len(t or "")) for i, t in rows)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert fingerprints.op8_fingerprints(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_plan_meets_its_limits():
