@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark import runtime
-
 K = 5
 TUPLE = 2
 HASHES = 4
@@ -121,9 +119,12 @@ def _next_lower(keys: DataFrame, few: int = 10_000) -> DataFrame:
     return inner.join(ends, "high", "left").select("key", F.coalesce("next", "top").alias("next"))
 
 
-def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str, carried: list[str], made=lambda df: df, also: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``next_<column>``: the columns of the next document by descending id.
 
+    ``made`` adds the costly columns ``also``, which are carried too; it works on
+    each row once, and once more on a range's first row.
+
     The last document's next is the first. A null id counts as the lowest;
     rows of one id are ordered by a hash of the carried columns. Documents are
     ordered within ranges of 1,024 ids; only a range's last document looks
@@ -134,19 +135,18 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
     top = follow.agg(F.max("key").alias("top"))
     follow = follow.crossJoin(F.broadcast(top)).select("key", F.coalesce("next", "top").alias("next"))  # one row
     w = Window.partitionBy("__range").orderBy(F.desc("__id"), F.xxhash64(*carried))
-    row = F.struct(*carried)
-    placed = keyed.withColumn("__next", F.lead(row).over(w)).withColumn("__nth", F.row_number().over(w))
-    heads = placed.where("__nth = 1").select(F.col("__range").alias("next"), row.alias("__head"))
+    row = F.struct(*carried, *also)
+    placed = made(keyed).withColumn("__next", F.lead(row).over(w))
+    heads = made(keyed.withColumn("__nth", F.row_number().over(w)).where("__nth = 1")).select(F.col("__range").alias("next"), row.alias("__head"))
     inside = placed.where("__next is not null")
     ends = placed.where("__next is null").drop("__next").join(follow.withColumnRenamed("key", "__range"), "__range").join(heads, "next").withColumnRenamed("__head", "__next")
-    kept = [*docs.columns, *(F.col(f"__next.{c}").alias(f"next_{c}") for c in carried)]
+    kept = [*docs.columns, *also, *(F.col(f"__next.{c}").alias(f"next_{c}") for c in (*carried, *also))]
     return inside.select(*kept).unionByName(ends.select(*kept))
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = runtime.stored(fingerprint(docs))  # once a text, for the row itself, the one before it and the ends of ranges
-    pairs = with_next(docs, "doc_id", ["text", "sketch"])
+    pairs = with_next(docs, "doc_id", ["text"], fingerprint, ("sketch",))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
