@@ -55,3 +55,41 @@ def test_decoded_point_is_the_nearest():
         z = near[:, k]
         whole = (z == np.rint(z)).all(1) | (z - 0.5 == np.rint(z - 0.5)).all(1)
         assert whole.all() and (z.sum(1) % 2 == 0).all() and (((x - z) ** 2).sum(1) >= best - 1e-9).all()
+
+
+def pairs_at(cosine, n, seed, dim=64):
+    r = np.random.default_rng(seed)
+    a, z = ed.unit(r.standard_normal((n, dim))), r.standard_normal((n, dim))
+    return a, cosine * a + np.sqrt(1 - cosine**2) * ed.unit(z - (z * a).sum(1, keepdims=True) * a)
+
+
+def test_recall_at_the_threshold(spark):
+    rows = []
+    for k, cosine in enumerate((0.9301, 0.935, 0.95)):
+        for a, b in zip(*pairs_at(cosine, 300, k), strict=True):
+            rows += [(len(rows), a.tolist(), 0), (len(rows) + 1, b.tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x for x in ed.near_duplicates(df).collect()}
+    assert np.mean([got[i].n_links == 1 and got[i].component_id == i - i % 2 for i in got]) >= 0.98
+    below = {x.vec_id: x for x in ed.near_duplicates(df, cosine=0.94).collect()}
+    assert not any(below[i].n_links for i in range(1200)) and np.mean([below[i].n_links for i in range(1200, 1800)]) >= 0.98
+
+
+@pytest.mark.parametrize("n", [100, 10**5, 10**7, 10**9])
+def test_recall_and_chance_at_every_size(n):
+    cell = ed.cell_size(n)
+    tables = ed.table_count(0.93, 64, cell, ed.PROBES, 7)
+    x, y = (ed.cells(v, np.zeros(1000, int), range(tables), ed.PROBES, cell, 7) for v in pairs_at(0.93, 1000, 3))
+    met = np.array([ed._meets(x[:, t], y[:, t]) for t in range(tables)])
+    assert met.any(0).mean() >= 0.98
+    chance = np.mean([ed._meets(x[:, t], np.roll(x[:, t], k, 0)).mean() for t in range(4) for k in range(1, 200)])
+    assert chance * n <= max(4 * ed.LOOK, 0.002 * n if n <= 10**4 else n / 10**5)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    a, b = ([float(x) for x in v[0]] for v in pairs_at(0.5, 1, 9))
+    names = "vec_id long, embedding array<double>, label int, key long, v string, copies int, id long, hash int, n_links string"
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (3, b, 0), (None, a, 0)]
+    df = spark.createDataFrame([(*r, None, "x", 5, 7, 8, "y") for r in rows], names)
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in ed.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (None, 0, None, True)], key=str)
