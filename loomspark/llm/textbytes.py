@@ -101,3 +101,29 @@ def runs(x: np.ndarray) -> np.ndarray:
     if not len(x):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of bytes that are ``inside``; a run ends with its document."""
+    if not len(inside):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    edge = np.zeros(len(inside) + 1, bool)  # a document begins here
+    edge[off] = True
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return s, e, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(s, off)))
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the spans [start, start + size), one after the other, and the n + 1 bounds of each among them."""
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    return np.repeat(start - at[:-1], size) + np.arange(at[-1]), at
+
+
+def strings(buf: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Arrow strings of the bytes between neighbouring bounds."""
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))).cast(pa.string())
