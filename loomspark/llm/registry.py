@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, embedding_dedup, fingerprints, html_extract, licences, mixing, ngram_join, spelling, substring_dedup, suffix_dedup, toxicity
+from loomspark.llm import bpe, collocations, embedding_dedup, fingerprints, html_extract, licences, mixing, ngram_join, spelling, substring_dedup, suffix_dedup, toxicity
 
 _ALL = (
     mixing.op1_mixing,
@@ -16,6 +16,7 @@ _ALL = (
     bpe.op9_bpe,
     embedding_dedup.op10_embedding_dedup,
     spelling.op11_spelling_variants,
+    collocations.op12_collocations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ SQL: dict[str, str] = {
     "op5_suffix_array_dedup": suffix_dedup.OP5_SQL,
     "op10_embedding_dedup": embedding_dedup.OP10_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
