@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, collocations, embedding_dedup, fingerprints, html_extract, licences, mixing, ngram_join, spelling, substring_dedup, suffix_dedup, toxicity
+from loomspark.llm import bpe, collocations, embedding_dedup, fingerprints, html_extract, licences, lm_score, mixing, ngram_join, spelling, substring_dedup, suffix_dedup, toxicity
 
 _ALL = (
     mixing.op1_mixing,
@@ -17,6 +17,7 @@ _ALL = (
     embedding_dedup.op10_embedding_dedup,
     spelling.op11_spelling_variants,
     collocations.op12_collocations,
+    lm_score.op13_lm_score,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
