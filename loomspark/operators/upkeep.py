@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark import runtime
 from loomspark.operators.corpus import ordered_rank
-from loomspark.sources import jsonl
+from loomspark.sources import versions
 
 
 def patched(rows: DataFrame, replacements: DataFrame, key: str = "row_id") -> DataFrame:
@@ -37,20 +38,29 @@ def examples(**sets: DataFrame) -> DataFrame:
     return out
 
 
-def by_batches(rows: DataFrame, path: str, size: int, work: Callable[[DataFrame], DataFrame], key: str = "row_id") -> str:
-    """Patch the table committed under ``path`` with ``work`` of ``rows``, ``size`` rows at a time by key; returns the version.
+def by_batches(rows: DataFrame, path: str, size: int, work: Callable[[DataFrame], DataFrame], key: str = "row_id", compact_after: int = 64) -> str:
+    """Patch the table under ``path`` with ``work`` of ``rows``, ``size`` rows at a time by key; returns the version.
 
-    Each batch is committed before the next one begins, so an interruption loses
-    one batch at most.
+    Rows are ranked once and stored by batch, so a batch reads its own rows
+    only, and what ``work`` returns is added as a delta: what is written grows
+    with the batch, not with the table. Each batch is committed before the next
+    one begins, with the count of finished batches in the table's state, so an
+    interruption loses one batch at most. After ``compact_after`` deltas the
+    table is put together again.
     """
     spark = rows.sparkSession
     ranked = ordered_rank(rows.withColumn("__all", F.lit(0)), "__all", [], order=key).drop("__all")
     ranked = ranked.withColumn("__batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
-    batches = -(-rows.count() // size)
-    at = jsonl.version(spark, path)
-    for k in range(batches):
-        new = work(ranked.where(F.col("__batch") == k).drop("__batch"))
-        at = jsonl.commit(patched(jsonl.read_current(spark, path), new, key), path, at)
+    home = runtime.new_path(spark)
+    ranked.repartition("__batch").write.partitionBy("__batch").parquet(home)
+    numbers = [r["__batch"] for r in spark.read.parquet(home).groupBy("__batch").count().select("__batch").sort("__batch").collect()] if rows.columns else []
+    at = versions.version(spark, path)
+    for done, k in enumerate(numbers, 1):
+        new = work(spark.read.schema(rows.schema).parquet(f"{home}/__batch={k}"))
+        at = versions.commit(new, path, at, "upsert", [key], {"batches": len(numbers), "completed_batches": done})
+        if len(versions.manifest(spark, path, at)["parts"]) > compact_after:
+            at = versions.compact(spark, path)
+    runtime.delete(spark, home)
     return at
 
 

@@ -66,10 +66,20 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables from ``stored`` that nothing reads any more."""
     for df in tables:
-        jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(df._loomspark_path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, df._loomspark_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder that nothing uses yet."""
+    shared_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,49 +94,3 @@ def read_annotations(spark: SparkSession, path: str, labels: dict[str, str], bla
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """Compact JSON lines; null fields are kept."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
-
-
-def commit(df: DataFrame, path: str, expected: str | None = None) -> str:
-    """Write a new version under ``path`` and a manifest of that number for it; returns the version.
-
-    Refuses if ``expected`` is no longer the newest version, so a table that has
-    changed since it was read isn't overwritten. A version counts from the
-    moment its manifest is renamed into place: nothing is deleted, an
-    interrupted commit leaves only files that no manifest names, and earlier
-    versions stay as backups.
-    """
-    spark = df.sparkSession
-    fs, home = _home(spark, path)
-    current = version(spark, path)
-    if current != expected:
-        raise RuntimeError(f"{path} is at {current}, not at {expected}")
-    new = 0 if current is None else int(current[1:]) + 1
-    data = f"data-{new}-{uuid.uuid4().hex}"
-    df.write.parquet(os.path.join(path, data))
-    part, manifest = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, name) for name in (f"{data}.partial", f"manifest-{new}.json"))
-    out = fs.create(part, True)
-    out.write(bytearray(json.dumps({"version": f"v{new}", "data": data, "previous": current}).encode()))
-    out.close()
-    if fs.exists(manifest) or not fs.rename(part, manifest):
-        raise RuntimeError(f"{path} has got a version v{new} meanwhile")
-    return f"v{new}"
-
-
-def _home(spark: SparkSession, path: str):
-    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), home
-
-
-def version(spark: SparkSession, path: str) -> str | None:
-    """The newest version under ``path`` that has a manifest, if there is one."""
-    fs, home = _home(spark, path)
-    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, "manifest-*.json")) or []
-    numbers = [int(f.getPath().getName()[len("manifest-") : -len(".json")]) for f in found]
-    return f"v{max(numbers)}" if numbers else None
-
-
-def read_current(spark: SparkSession, path: str, at: str | None = None) -> DataFrame:
-    """The newest version, or the earlier one named ``at``."""
-    number = (at or version(spark, path))[1:]
-    manifest = spark.read.text(os.path.join(path, f"manifest-{number}.json"), wholetext=True).first()[0]
-    return spark.read.parquet(os.path.join(path, json.loads(manifest)["data"]))

@@ -8,19 +8,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_shards(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """``columns`` of the Parquet files under ``path`` with ``row_id`` from 0, by file path and then row.
+def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """The files under ``path`` (a folder, a file or a pattern) by path, without hidden ones."""
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], list(fs.globStatus(home) or [])
+    while todo:
+        f = todo.pop()
+        if f.getPath().getName().startswith(("_", ".")):
+            continue
+        if f.isDirectory():
+            todo += list(fs.listStatus(f.getPath()))
+        elif f.getPath().getName().endswith(suffix):
+            found.append(f.getPath().toString())
+    return sorted(found)
+
+
+def read_shards(spark: SparkSession, path: str | list[str], columns: list[str], start: int = 0) -> DataFrame:
+    """``columns`` of the Parquet files under ``path`` with ``row_id`` from ``start``, by file path and then row.
 
     Fails if there is no file or a column is missing. Only the columns are read;
     files get their first ids from their row counts.
     """
-    files = spark.read.parquet(path)
+    files = spark.read.parquet(*([path] if isinstance(path, str) else path))
     missing = [c for c in columns if c not in files.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     rows = files.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     n = rows.groupBy("__file").agg(F.count("*").alias("__n"))
-    base = n.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__base"))  # a row for each file
+    base = n.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n") + start).alias("__base"))  # a row for each file
     return rows.join(base, "__file").select((F.col("__base") + F.col("__row")).alias("row_id"), *columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
 from loomspark.operators import corpus, judge, matching, metrics, ratings, scoring, split, upkeep
-from loomspark.sources import jsonl
+from loomspark.sources import jsonl, versions
 
 
 def test_normalize_like_python_split(spark):
@@ -51,11 +51,11 @@ def test_jsonl_policies_and_types(spark, tmp_path):
 
 def test_commit_refuses_a_changed_table(spark, tmp_path):
     path = str(tmp_path / "table")
-    assert jsonl.commit(spark.range(3), path) == "v0"
-    assert jsonl.commit(spark.range(5), path, "v0") == "v1"
-    assert jsonl.read_current(spark, path).count() == 5
+    assert versions.commit(spark.range(3), path) == "v0"
+    assert versions.commit(spark.range(5), path, "v0") == "v1"
+    assert versions.read(spark, path).count() == 5
     with pytest.raises(RuntimeError):
-        jsonl.commit(spark.range(1), path, "v0")
+        versions.commit(spark.range(1), path, "v0")
     jsonl.write_jsonl(spark.createDataFrame([("é", None)], "a string, b int"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":"é","b":null}'
 
@@ -86,10 +86,10 @@ def test_annotations(spark, tmp_path):
 def test_batches_are_committed_one_by_one(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.range(10).select(F.col("id").alias("row_id"), F.lit(0).alias("n"))
-    jsonl.commit(rows, path)
+    versions.commit(rows, path)
     at = upkeep.by_batches(rows.where("row_id % 2 = 0"), path, 2, lambda b: b.withColumn("n", F.lit(1)))
-    assert at == "v3" and {r.row_id for r in jsonl.read_current(spark, path).where("n = 1").collect()} == {0, 2, 4, 6, 8}
-    assert jsonl.read_current(spark, path, "v1").where("n = 1").count() == 2
+    assert at == "v3" and {r.row_id for r in versions.read(spark, path).where("n = 1").collect()} == {0, 2, 4, 6, 8}
+    assert versions.read(spark, path, "v1").where("n = 1").count() == 2
 
     def breaks(batch):
         if batch.where("row_id = 5").count():
@@ -98,7 +98,7 @@ def test_batches_are_committed_one_by_one(spark, tmp_path):
 
     with pytest.raises(KeyError):
         upkeep.by_batches(rows.where("row_id % 2 = 1"), path, 2, breaks)
-    assert jsonl.read_current(spark, path).where("n = 2").count() == 2
+    assert versions.read(spark, path).where("n = 2").count() == 2
 
 
 def test_resumed_scoring(spark):
