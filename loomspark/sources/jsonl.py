@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.scalars import human_label
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text) of every physical line, from 1.
 
     Files are read in splits of any number; a split's first line number is the
@@ -22,7 +22,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(start, ["file", "at"]).select("file", (F.col("nth") + F.col("shift")).alias("line"), "text")
 
 
-def read_jsonl(spark: SparkSession, path: str, policy: str = "fail", blank_lines: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], policy: str = "fail", blank_lines: bool = True) -> DataFrame:
     """(file, line, value VARIANT) of each non-blank line that holds an object.
 
     ``fail``: any other non-blank line is an error; ``skip``: it is left out;
