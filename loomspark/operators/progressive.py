@@ -25,7 +25,7 @@ def _settings(files: list[str], excluded: DataFrame, low: int, high: int) -> dic
     return {"first_file": files[0].rsplit("/", 1)[-1], "exclusions": f"{banned.n}:{banned.s}", "low": low, "high": high}
 
 
-def build(spark: SparkSession, source: str, out: str, excluded: DataFrame, low: int, high: int, target: int, text: str = "text", resume: bool = False, overwrite: bool = False, most_groups: int | None = None) -> DataFrame:
+def build(spark: SparkSession, source: str, out: str, excluded: DataFrame, low: int, high: int, target: int, text: str = "text", resume: bool = False, overwrite: bool = False, most_groups: int | None = None, require: bool = True) -> DataFrame:
     """Disjoint corpus of ``target`` tokens from the Parquet files under ``source``, kept in the table at ``out``.
 
     Files are read in the order of their paths; no file is opened after the
@@ -36,7 +36,8 @@ def build(spark: SparkSession, source: str, out: str, excluded: DataFrame, low:
     that stopped goes on with ``resume``; it must have the same settings.
 
     Returns (row_id, text, token_count, digest); row_id counts the source's
-    rows. Fails if the source ends first; what it gave stays for a resume. With
+    rows. Fails if the source ends first, unless
+    it isn't required to reach the target; what it gave stays for a resume. With
     ``most_groups`` the build stops after so many groups.
     """
     files = shards.list_files(spark, source, ".parquet")
@@ -58,6 +59,8 @@ def build(spark: SparkSession, source: str, out: str, excluded: DataFrame, low:
     groups = 0
     while state["tokens"] < target:
         if state["files"] >= len(files):
+            if not require:
+                break
             raise ValueError(f"the source ends at {state['tokens']} of {target} tokens; the partial corpus stays at {out}")
         if most_groups is not None and groups == most_groups:
             break

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.permute import permuted
 from loomspark.functions.scalars import sigmoid
 from loomspark.operators.corpus import ordered_rank
 
@@ -28,10 +28,8 @@ def padding_waste(batched: DataFrame) -> DataFrame:
 
 
 def batch_order(spark, batches: int, seed: int) -> DataFrame:
-    """(position, batch): the batches shuffled by a seeded generator."""
-    order = list(range(batches))
-    random.Random(seed).shuffle(order)
-    return spark.createDataFrame(list(enumerate(order)), "position long, batch long")
+    """(position, batch): the batches in an order that the seed decides; each computes its own position."""
+    return spark.range(batches).select(permuted(F.col("id"), batches, seed).alias("position"), F.col("id").alias("batch"))
 
 
 def linear_head(vector: Column, weights: Column) -> Column:

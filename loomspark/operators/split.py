@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.permute import permuted
 from loomspark.operators.corpus import count_prefix, running_sum
 
 
@@ -39,15 +38,13 @@ def hash_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """The rows that a seeded generator draws by position among rows sorted by id.
+    """As many rows as ``sample_size`` says: those that a seeded permutation of the rows by id puts first.
 
-    Positions are drawn on the driver (k numbers), so this is for small tables.
+    Each row computes its own place, so nothing is drawn on the driver.
     """
     n = df.count()
-    at = random.Random(seed).sample(range(n), sample_size(n, fraction))
-    spark = df.sparkSession
-    drawn = spark.createDataFrame([(p + 1,) for p in at], "cum long")
-    return running_sum(df.withColumn("__one", F.lit(1)), "__one").join(drawn, "cum", "left_semi").drop("__one", "cum")
+    x = running_sum(df.withColumn("__one", F.lit(1).cast("long")), "__one")
+    return x.where(permuted(F.col("cum") - 1, n, seed) < sample_size(n, fraction)).drop("__one", "cum")
 
 
 def upsample_weights(long: DataFrame, weights: dict[str, int], least: int = 2) -> DataFrame:

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from loomspark import runtime
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
-from loomspark.operators import agreement, corpus, judge, matching, metrics, ratings, scoring, split, upkeep
+from loomspark.functions.permute import permuted_sql
+from loomspark.operators import agreement, corpus, judge, matching, metrics, progressive, ratings, scoring, split, upkeep
 from loomspark.plans import tables as t
+from loomspark.sources import versions
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -334,9 +337,13 @@ def validation_mae(spark, sf):
     return _scored(spark, sf).groupBy("filter").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(X.sigmoid(F.col("logit")) - F.col("rating") / 10)), 6).alias("mae"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 50 THEN (s + 1) / 50.0 WHEN s < 800 THEN 1.0 ELSE 0.5 * (1 + cos(pi() * (s - 800) / 200.0)) END, 6)::DOUBLE AS multiplier FROM range(1000) t(s)")
+@query("""SELECT step, round(CASE WHEN step < w THEN (step + 1) / w::DOUBLE WHEN step < n - d THEN 1.0 ELSE 0.5 * (1 + cos(pi() * least((step - (n - d)) / d::DOUBLE, 1.0))) END, 6)::DOUBLE AS multiplier
+  FROM log, (SELECT n, greatest(1, round_even(n * 0.05, 0))::BIGINT AS w, greatest(1, round_even(n * 0.2, 0))::BIGINT AS d FROM (SELECT max(step) AS n FROM log))""")
 def lr_schedule(spark, sf):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(X.learning_rate(F.col("id"), 1000, 0.05, 0.2), 6).alias("multiplier"))
+    """The rate's multiplier at each step of the training log."""
+    log = t.training_log(spark, sf)
+    total = log.agg(F.max("step")).first()[0]
+    return log.select("step", F.round(X.learning_rate(F.col("step"), total, 0.05, 0.2), 6).alias("multiplier"))
 
 
 @query("SELECT step, loss FROM log ORDER BY loss, step LIMIT 1")
@@ -431,13 +438,22 @@ def response_parse_full(spark, sf):
     return t.ratings(spark, sf).select("row_id", "filter", "model", S.parse_response(answer).alias("e")).select("row_id", "filter", "model", "e.*")
 
 
-@query()
+PLACED = permuted_sql("(SELECT row_number() OVER (ORDER BY row_id) - 1 AS x FROM corpus)", "(SELECT count(*) FROM corpus)", 7)
+
+
+@query(f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS x FROM corpus) JOIN {PLACED} USING (x)
+  WHERE place < (SELECT greatest(1, round_even(count(*) * 0.05, 0))::BIGINT FROM corpus)""")
 def exact_sample_split(spark, sf):
+    """A validation sample by a seeded permutation of the rows."""
     return split.exact_sample(t.corpus(spark, sf).select("row_id"), 0.05, 7)
 
 
-@query()
+BATCHES = "((SELECT count(*) FROM corpus) + 255) // 256"
+
+
+@query(f"SELECT place AS position, x AS batch FROM {permuted_sql(f'(SELECT x FROM range({BATCHES}) t(x))', f'({BATCHES})', 7)}")
 def batch_order(spark, sf):
+    """The batches of 256 rows in a seeded order."""
     n = t.corpus(spark, sf).count()
     return scoring.batch_order(spark, -(-n // 256), 7)
 
@@ -537,3 +553,43 @@ def rows_of_batch(spark, sf):
     """The texts of the first batch."""
     docs = t.corpus(spark, sf).select("row_id", "text", "token_count")
     return upkeep.rows_of_batch(docs, scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256), 0).select("row_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT row_id, sha256(text) AS text_sha256, token_count, digest FROM (SELECT e.*, c.text FROM eligible e JOIN corpus c USING (row_id)) WHERE cum - token_count < {t.TARGET}")
+def early_stop_budget(spark, sf):
+    """The budgeted corpus from ordered shards, of which those behind the target stay closed."""
+    kept = progressive.build(spark, t.shards(spark, sf), runtime.new_path(spark), t.exclusions(spark, sf), t.LOW, t.HIGH, t.TARGET, require=False)
+    return kept.select("row_id", F.sha2("text", 256).alias("text_sha256"), "token_count", "digest")
+
+
+@query(f"""SELECT reason, count(*) AS documents FROM (SELECT *, sum(k) OVER (ORDER BY row_id) AS cum FROM (SELECT *, CASE WHEN reason = 'kept' THEN token_count ELSE 0 END AS k FROM (
+  SELECT row_id, token_count, CASE WHEN token_count < {t.LOW} THEN 'short' WHEN token_count > {t.HIGH} THEN 'long' WHEN b THEN 'excluded'
+  WHEN row_number() OVER (PARTITION BY digest, token_count BETWEEN {t.LOW} AND {t.HIGH} AND NOT b ORDER BY row_id) > 1 THEN 'duplicate' ELSE 'kept' END AS reason
+  FROM (SELECT *, digest IN (SELECT digest FROM exclusions) AS b FROM corpus)))) WHERE cum - k < {2 * t.TARGET} GROUP BY reason""")
+def resumed_build_counts(spark, sf):
+    """Why rows stayed out of a build that stopped after one group of shards, was carried on, and then extended to twice its target."""
+    shards, banned, out = t.shards(spark, sf), t.exclusions(spark, sf), runtime.new_path(spark)
+    for target, most in ((t.TARGET, 1), (t.TARGET, None), (2 * t.TARGET, None)):
+        progressive.build(spark, shards, out, banned, t.LOW, t.HIGH, target, resume=True, most_groups=most, require=False)
+    state = versions.state(spark, out)
+    read = versions.read(spark, out).limit(1).select(F.explode(F.create_map(*(F.lit(x) for k in progressive.COUNTS for x in (k, state[k])))).alias("reason", "documents"))
+    return read.where("documents > 0").select("reason", F.col("documents").cast("long").alias("documents"))
+
+
+@query("SELECT row_id, token_count, CASE WHEN row_id % 3 = 0 THEN 'new' ELSE digest END AS digest FROM corpus WHERE row_id % 7 <> 6")
+def delta_patches(spark, sf):
+    """A table of which a third of the rows is rewritten in batches and a seventh deleted, merged when it is read."""
+    rows, path = t.keys(spark, sf).select("row_id", "token_count", "digest"), runtime.new_path(spark)
+    versions.commit(rows, path)
+    at = upkeep.by_batches(rows.where("row_id % 3 = 0"), path, max(1, rows.count() // 8), lambda b: b.withColumn("digest", F.lit("new")))
+    versions.commit(rows.where("row_id % 7 = 6").select("row_id"), path, at, "delete")
+    return versions.read(spark, path)
+
+
+@query("SELECT row_id, sha256(text) AS text_sha256 FROM corpus WHERE row_id < (SELECT count(*) // 3 FROM corpus)")
+def jsonl_prefix(spark, sf):
+    """The first third of the documents as JSON lines; later files aren't read."""
+    docs, path = t.corpus(spark, sf), runtime.new_path(spark)
+    t.in_order(docs.select("row_id", "text")).drop("row_id").write.json(path)
+    read = progressive.read_jsonl_prefix(spark, path, docs.count() // 3)
+    return read.select("row_id", F.sha2(F.try_variant_get("value", "$.text", "string"), 256).alias("text_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark import runtime
 from loomspark.functions.scalars import human_target
 from loomspark.operators.corpus import text_keys, with_text_keys
 from loomspark.operators.scoring import linear_head
@@ -24,6 +25,19 @@ def keys(spark, sf: str) -> DataFrame:
     return text_keys(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text"))
 
 
+def in_order(df: DataFrame, files: int = 16) -> DataFrame:
+    """``df`` in ranges of row_id, each in order, so that the order of its files is that of its rows."""
+    return df.repartitionByRange(files, "row_id").sortWithinPartitions("row_id")
+
+
+def shards(spark, sf: str) -> str:
+    """A folder with the documents' texts in ordered Parquet files."""
+    path = runtime.new_path(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
+    in_order(docs).select("text").write.parquet(path)
+    return path
+
+
 def exclusions(spark, sf: str) -> DataFrame:
     """Two exclusion files: the documents of one source, and the benchmark."""
     a = spark.read.parquet(f"{sf}/documents.parquet").where("source = 'src3'").select(F.lit("src3").alias("file"), "text")
