@@ -10,9 +10,9 @@ from loomspark import runtime
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
 from loomspark.functions.permute import permuted_sql
-from loomspark.operators import agreement, corpus, judge, matching, metrics, progressive, ratings, scoring, split, upkeep
+from loomspark.operators import agreement, corpus, judge, matching, metrics, progressive, ratings, scoring, split, tagging, upkeep
 from loomspark.plans import tables as t
-from loomspark.sources import versions
+from loomspark.sources import jsonl, versions
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -593,3 +593,29 @@ def jsonl_prefix(spark, sf):
     t.in_order(docs.select("row_id", "text")).drop("row_id").write.json(path)
     read = progressive.read_jsonl_prefix(spark, path, docs.count() // 3)
     return read.select("row_id", F.sha2(F.try_variant_get("value", "$.text", "string"), 256).alias("text_sha256"))
+
+
+@query(f"""SELECT row_id, batch, pack, count(*) OVER (PARTITION BY batch, pack) AS pack_rows, count(*) OVER (PARTITION BY batch, pack) * max(length) OVER (PARTITION BY batch, pack) AS padded_tokens, list_sum(probs) AS p FROM (
+  WITH RECURSIVE numbered AS (SELECT row_id, batch, greatest(1, token_count) AS length, row_number() OVER (PARTITION BY batch ORDER BY greatest(1, token_count), row_id) AS nth FROM ({BATCHED})),
+  packed AS (SELECT row_id, batch, length, nth, 0 AS pack, 1 AS held FROM numbered WHERE nth = 1 UNION ALL
+    SELECT n.row_id, n.batch, n.length, n.nth, CASE WHEN (held + 1) * n.length <= 8192 THEN pack ELSE pack + 1 END, CASE WHEN (held + 1) * n.length <= 8192 THEN held + 1 ELSE 1 END FROM packed p JOIN numbered n ON n.batch = p.batch AND n.nth = p.nth + 1)
+  SELECT row_id, batch, pack, length, probs FROM packed JOIN (SELECT row_id, list(round(p, 6) ORDER BY filter, judge) AS probs FROM encoded GROUP BY row_id) USING (row_id))""")
+def packed_scores(spark, sf):
+    """Each document's pack in its length batch, and its scores by an encoder that runs pack by pack."""
+    docs = t.corpus(spark, sf).select("row_id", "text")
+    batched = scoring.length_batches(t.keys(spark, sf).select("row_id", "token_count"), 256)
+    x = tagging.score_packed(docs.join(batched, "row_id"), t.encoder, len(t.TARGETS), 8192)
+    p = F.aggregate(F.transform("probs", lambda v: F.round(v.cast("double"), 6)), F.lit(0.0), lambda a, b: a + b)
+    return x.select("row_id", "batch", "pack", "pack_rows", "padded_tokens", p.alias("p"))
+
+
+@query("SELECT row_id, filter, judge, p FROM encoded")
+def resumed_tagging(spark, sf):
+    """Tags of a run that stopped twice, written in source order and read back by line."""
+    docs, home = t.corpus(spark, sf).select("row_id", "text", "token_count"), runtime.new_path(spark)
+    docs = runtime.stored(docs)
+    for turn, most in enumerate((1, 1, None)):
+        scores = tagging.run(docs, f"{home}/run", t.encoder, "letters", t.TARGETS, 64, per_wave=4, resume=turn > 0, most_waves=most)
+    tagging.write_in_order(tagging.tagged(docs, scores, t.TARGETS), f"{home}/tagged")
+    rows = jsonl.with_row_id(jsonl.read_jsonl(spark, f"{home}/tagged")).select("row_id", F.variant_get("value", "$.tags", "map<string, map<string, double>>").alias("tags"))
+    return rows.select("row_id", F.explode("tags").alias("filter", "m")).select("row_id", "filter", F.explode("m").alias("judge", "p"))

@@ -90,6 +90,26 @@ def judge(prompt: str, model: str) -> str:
     return f"<rating>{rating}</rating>\n<explanation>{model} read it.</explanation>\n<quote></quote>"
 
 
+TARGETS = [f"f{f}::m{j}" for f in range(FILTERS) for j in range(JUDGES)]
+
+
+def encoder():
+    """An encoder that needs no weights: counts of characters by code modulo 16, and a head for each target."""
+    import numpy as np
+
+    heads = np.array([[(t * 31 + d * 17) % 13 - 6 for d in range(16)] for t in range(len(TARGETS))])
+
+    def score(texts: list[str]) -> list:
+        out = []
+        for text in texts:
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            logit = heads @ np.bincount(codes % 16, minlength=16) / max(1, len(codes))
+            out.append(1 / (1 + np.exp(-logit)))
+        return out
+
+    return score
+
+
 _CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -113,6 +133,8 @@ human AS (SELECT doc_id AS row_id, filter, label, (CASE WHEN label <= 1 THEN lab
 hand AS (SELECT doc_id AS ann_id, text FROM labels JOIN documents USING (doc_id)),
 heads AS (SELECT f, j, [(((f * 3 + j) * 31 + d * 17) % 13 - 6) / 8.0::DOUBLE FOR d IN range(64)] AS w FROM pairs),
 logits AS (SELECT vec_id AS row_id, 'f' || f AS filter, 'm' || j AS judge, list_sum([embedding[k + 1]::DOUBLE * w[k + 1] FOR k IN range(64)]) AS logit FROM embeddings, heads),
+coded AS (SELECT row_id, greatest(1, length(text)) AS chars, [len(list_filter(codes, lambda c: c % 16 = d)) FOR d IN range(16)] AS counts FROM (SELECT row_id, text, [ord(c) FOR c IN string_split(text, '') IF c <> ''] AS codes FROM corpus)),
+encoded AS (SELECT row_id, 'f' || f AS filter, 'm' || j AS judge, (1 / (1 + exp(-(list_sum([counts[k + 1] * (((f * 3 + j) * 31 + k * 17) % 13 - 6) FOR k IN range(16)])::BIGINT / chars::DOUBLE))))::FLOAT::DOUBLE AS p FROM coded, pairs),
 log AS (SELECT event_id + 1 AS step, value AS loss FROM events),
 scores AS (SELECT row_id, filter, count(*) AS n, round(sum(rating) / count(*), 9) AS mean, max(rating)::DOUBLE AS most,
   round((count(*) * sum(rating * rating) - sum(rating) * sum(rating))::DOUBLE / (count(*) * count(*)), 9) AS variance, (max(rating) - min(rating))::BIGINT AS spread FROM ratings GROUP BY ALL),
