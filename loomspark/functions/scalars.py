@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import cos, pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,14 @@ def learning_rate(step: Column, total: int, warmup: float, decay: float) -> Colu
     return F.when(step < w, (step + 1) / float(w)).when(step < total - d, 1.0).otherwise(0.5 * (1 + F.cos(F.lit(pi) * F.least(p, F.lit(1.0)))))
 
 
+def learning_rate_at(step: int, total: int, warmup: float, decay: float) -> float:
+    """``learning_rate`` of one step, for the driver's loop."""
+    w, d = max(1, round(warmup * total)), max(1, round(decay * total))
+    if step < w:
+        return (step + 1) / w
+    return 1.0 if step < total - d else 0.5 * (1 + cos(pi * min((step - (total - d)) / d, 1.0)))
+
+
 def duration(seconds: Column) -> Column:
     """HH:MM:SS of seconds rounded half to even, not below zero; "--:--:--" if they are null or not finite."""
     x = seconds.cast("double")

@@ -10,9 +10,9 @@ from loomspark import runtime
 from loomspark.functions import scalars as X
 from loomspark.functions import text as S
 from loomspark.functions.permute import permuted_sql
-from loomspark.operators import agreement, corpus, judge, matching, metrics, progressive, ratings, scoring, split, tagging, upkeep
+from loomspark.operators import agreement, corpus, judge, matching, metrics, progressive, ratings, scoring, split, tagging, training, upkeep
 from loomspark.plans import tables as t
-from loomspark.sources import jsonl, versions
+from loomspark.sources import jsonl, runlog, versions
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -619,3 +619,35 @@ def resumed_tagging(spark, sf):
     tagging.write_in_order(tagging.tagged(docs, scores, t.TARGETS), f"{home}/tagged")
     rows = jsonl.with_row_id(jsonl.read_jsonl(spark, f"{home}/tagged")).select("row_id", F.variant_get("value", "$.tags", "map<string, map<string, double>>").alias("tags"))
     return rows.select("row_id", F.explode("tags").alias("filter", "m")).select("row_id", "filter", F.explode("m").alias("judge", "p"))
+
+
+def _head_rows(spark, sf):
+    """(row_id, vector, targets) of the vectors of complete rows, and whether a row is for validation."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    y = ratings.targets(e, t.layout(spark), t.ratings(spark, sf)).where("targets is not null")
+    rows = runtime.stored(e.join(y, "row_id"))
+    chosen = split.hash_sample(rows.select("row_id"), 0.1, 7).withColumn("held", F.lit(True))
+    return rows.join(chosen, "row_id", "left")
+
+
+@query()
+def head_training(spark, sf):
+    """The log of a head of nine soft labels trained on the embeddings, read back from its run folder."""
+    rows = _head_rows(spark, sf)
+    run = runlog.claim_run(spark, runtime.new_path(spark))
+    s = training.Settings(batch=512, epochs=2, rate=0.05, log_every=1, val_every=2)
+    head = training.fit_head(rows.where("held is null"), rows.where("held"), t.TARGETS, s, runlog.Log(spark, run))
+    training.save_head(spark, head, f"{run}/best")
+    events = runlog.read(spark, run, "event string, step long, epoch long, loss double, mae double, grad_norm double, learning_rate double")
+    return events.select("event", "step", "epoch", *(F.round(c, 9).alias(c) for c in ("loss", "mae", "grad_norm", "learning_rate")))
+
+
+@query()
+def head_predictions(spark, sf):
+    """Probabilities of every vector by a trained head that was stored and loaded."""
+    rows, home = _head_rows(spark, sf), runtime.new_path(spark)
+    s = training.Settings(batch=512, epochs=1, rate=0.05, log_every=1, val_every=2)
+    training.save_head(spark, training.fit_head(rows.where("held is null"), rows.where("held"), t.TARGETS, s), home)
+    every = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    p = training.predict(every, training.load_head(spark, home))
+    return p.select("row_id", F.posexplode("probs").alias("idx", "p")).select("row_id", "idx", F.round(F.col("p").cast("double"), 6).alias("p"))
