@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.corpus import ordered_rank
@@ -86,16 +86,19 @@ def status(docs: DataFrame, long: DataFrame) -> DataFrame:
 
 def threshold_accuracy(scored: DataFrame, human: DataFrame, at: float, score: str) -> DataFrame:
     """By filter: rows, hits, and the same among positive and negative labels; predicted if score >= at."""
-    x = scored.join(human, ["row_id", "filter"]).withColumn("p", F.col(score) >= at).withColumn("y", F.col("label") >= 1)
-    hit = F.col("p") == F.col("y")
-    return x.groupBy("filter").agg(
+    return scored.join(human, ["row_id", "filter"]).groupBy("filter").agg(*hits(F.col(score) >= at, F.col("label") >= 1))
+
+
+def hits(p: Column, y: Column) -> list[Column]:
+    """Counts of predictions ``p`` of labels ``y``: all, the right ones, and the same by label."""
+    return [
         F.count("*").alias("n"),
-        F.count_if(hit).alias("hits"),
-        F.count_if("y").alias("n_positive"),
-        F.count_if(hit & F.col("y")).alias("hits_positive"),
-        F.count_if(~F.col("y")).alias("n_negative"),
-        F.count_if(hit & ~F.col("y")).alias("hits_negative"),
-    )
+        F.count_if(p == y).alias("hits"),
+        F.count_if(y).alias("n_positive"),
+        F.count_if((p == y) & y).alias("hits_positive"),
+        F.count_if(~y).alias("n_negative"),
+        F.count_if((p == y) & ~y).alias("hits_negative"),
+    ]
 
 
 def ranked(scored: DataFrame, by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark import runtime
 from loomspark.functions.text import PREFIX, prefix
 
 
@@ -44,3 +45,24 @@ def require_unique(matched: DataFrame) -> DataFrame:
     bad = matched.where("row_id is null").select(F.lit(1).alias("x")).unionByName(clashes(matched).select(F.lit(1).alias("x"))).agg(F.count("*").alias("n"))
     ok = bad.select(F.when(F.col("n") > 0, F.raise_error(F.lit("annotations without a row of their own"))).otherwise(F.lit(True)).alias("__ok"))
     return matched.crossJoin(F.broadcast(ok)).where("__ok").drop("__ok")  # one row
+
+
+def synced(annotations: DataFrame, live: DataFrame, chars: int = PREFIX) -> DataFrame:
+    """``annotations`` (ann_id, text, ...) with the live rows' texts, ``row_id`` and ``how``.
+
+    Each must be found among the (row_id, text) of ``live``, by whole text or
+    else by prefix, and no two on one row; an error names up to ten that aren't.
+    """
+    found = runtime.stored(match(annotations.select("ann_id", "text"), live, chars=chars))
+    lost = [r.ann_id for r in found.where("row_id is null").orderBy("ann_id").limit(10).collect()]
+    if lost:
+        raise ValueError(f"annotations without a live row: {', '.join(map(str, lost))}")
+    twice = [r.row_id for r in clashes(found).orderBy("row_id").limit(10).collect()]
+    if twice:
+        raise ValueError(f"live rows with several annotations: {', '.join(map(str, twice))}")
+    return annotations.drop("text", "row_id", "how").join(found, "ann_id").join(live.select("row_id", "text"), "row_id").select("ann_id", "row_id", "how", "text", *(c for c in annotations.columns if c not in ("ann_id", "row_id", "how", "text")))
+
+
+def sync_counts(synced: DataFrame) -> DataFrame:
+    """(exact, prefix): how the annotations were found."""
+    return synced.agg(F.count_if(F.col("how") == "exact").alias("exact"), F.count_if(F.col("how") == "prefix").alias("prefix"))

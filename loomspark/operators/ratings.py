@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["row_id", "filter", "model"]
@@ -80,3 +80,20 @@ def targets(docs: DataFrame, layout: DataFrame, long: DataFrame) -> DataFrame:
     x = long.join(F.broadcast(layout), ["filter", "model"]).groupBy("row_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", (F.col("rating") / 10).alias("t")))).alias("l"))
     x = x.where(F.col("n") == n).select("row_id", F.transform("l", lambda e: e.t).alias("targets"))
     return docs.select("row_id").join(x, "row_id", "left")
+
+
+def appendable(value: Column, filters: list[str]) -> Column:
+    """Whether ratings can be added to a VARIANT row: its ``ratings`` is absent or an object in which each filter is absent or a list."""
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    whole = kind("$.ratings")
+    lists = F.lit(True)
+    for f in filters:
+        one = kind(f"$.ratings['{f}']")
+        lists = lists & (one.isNull() | one.startswith("ARRAY"))
+    return whole.isNull() | (whole.startswith("OBJECT") & lists)
+
+
+def require_appendable(rows: DataFrame, filters: list[str], value: str = "value") -> DataFrame:
+    """``rows``; fails on one to which ratings can't be added, so nothing in it is replaced."""
+    bad = F.raise_error(F.concat(F.lit("ratings can't be added to row "), F.col("row_id").cast("string"))).cast("boolean")
+    return rows.where(F.when(appendable(F.col(value), filters), F.lit(True)).otherwise(bad))

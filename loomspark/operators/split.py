@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark import runtime
 from loomspark.functions.permute import permuted
+from loomspark.operators import matching, ratings
 from loomspark.operators.corpus import count_prefix, running_sum
 
 
@@ -62,4 +66,63 @@ def replicate(df: DataFrame, weight: str = "weight") -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(weight))))
 
 
-__all__ = ["count_prefix", "exact_sample", "hash_sample", "replicate", "sample_size", "upsample_weights"]
+@dataclass
+class Prepared:
+    """Rows to train on (one for each copy) and to validate on, the labels of the latter, and the counts of all of it."""
+
+    train: DataFrame  # row_id, targets, weight, copy
+    validation: DataFrame  # origin (hand or rated), row_id, targets
+    labels: DataFrame  # row_id of a hand row, and the labels of its first annotation
+    summary: DataFrame  # name, n
+
+
+def prepare(docs: DataFrame, long: DataFrame, hand_docs: DataFrame, hand_long: DataFrame, annotations: DataFrame, layout: DataFrame, weights: dict[str, int], fraction: float = 0.05, seed: int = 7) -> Prepared:
+    """Training and validation rows from rated documents, rated hand documents and hand annotations.
+
+    ``docs`` and ``hand_docs`` are (row_id, text), ``long`` and ``hand_long``
+    their ratings, ``annotations`` (ann_id, text, labels). Rows without every
+    rating of the layout are left out. No row whose text or prefix is that of a
+    hand document or annotation is trained on. All complete hand rows and a
+    sample of the others are for validation; training rows are repeated by weight.
+    """
+    complete = runtime.stored(ratings.targets(docs, layout, long))
+    by_hand = runtime.stored(ratings.targets(hand_docs, layout, hand_long))
+    usable, hand = complete.where("targets is not null"), by_hand.where("targets is not null")
+    if usable.isEmpty() or hand.isEmpty():
+        raise ValueError("no rated, or no hand, row has every rating of the layout")
+    texts = annotations.select("text").unionByName(hand_docs.select("text")).withColumn("ann_id", F.monotonically_increasing_id())
+    overlap = runtime.stored(matching.match(texts, docs).where("row_id is not null").select("row_id").distinct())
+    eligible = runtime.stored(usable.join(overlap, "row_id", "left_anti"))
+    if eligible.isEmpty():
+        raise ValueError("every complete row is a hand document too")
+    sample = runtime.stored(hash_sample(eligible.select("row_id"), fraction, seed))
+    train = eligible.join(sample, "row_id", "left_anti")
+    if train.isEmpty():
+        raise ValueError("the validation rows leave none to train on")
+    weighted = runtime.stored(train.join(upsample_weights(long, weights), "row_id"))
+    found = runtime.stored(matching.match(annotations.select("ann_id", "text"), hand_docs))
+    labels = matching.first_labels(found, annotations.drop("text")).join(hand.select("row_id"), "row_id", "left_semi")
+    validation = hand.withColumn("origin", F.lit("hand")).unionByName(eligible.join(sample, "row_id", "left_semi").withColumn("origin", F.lit("rated"))).select("origin", "row_id", "targets")
+    size = lambda df: df.agg(F.count("*").alias("n"))
+    one = complete.agg(F.count("*").alias("rated_rows"), F.count("targets").alias("complete_rows"))
+    two = by_hand.agg(F.count("*").alias("hand_rows"), F.count("targets").alias("validation_hand_rows"))
+    three = weighted.agg(F.count("*").alias("unique_training_rows"), F.sum("weight").alias("training_rows"), F.count_if(F.col("weight") > 1).alias("upsampled_rows"))
+    four = size(overlap.join(usable, "row_id", "left_semi")).withColumnRenamed("n", "excluded_overlap_rows")
+    five = size(sample).withColumnRenamed("n", "validation_sample_rows")
+    six = found.agg(F.count_if(F.col("row_id").isNull()).alias("unmatched_annotations"))
+    seven = size(layout).withColumnRenamed("n", "targets")
+    all_of = one
+    for part in (two, three, four, five, six, seven):
+        all_of = all_of.crossJoin(F.broadcast(part))  # one row each
+    c = F.col
+    all_of = (
+        all_of.withColumn("incomplete_rows", c("rated_rows") - c("complete_rows"))
+        .withColumn("duplicate_copies", c("training_rows") - c("unique_training_rows"))
+        .withColumn("validation_rows", c("validation_hand_rows") + c("validation_sample_rows"))
+        .withColumn("unusable_hand_rows", c("unmatched_annotations") + c("hand_rows") - c("validation_hand_rows"))
+    )
+    summary = all_of.unpivot([], all_of.columns, "name", "n")
+    return Prepared(replicate(weighted), validation, labels, summary)
+
+
+__all__ = ["count_prefix", "exact_sample", "hash_sample", "Prepared", "prepare", "replicate", "sample_size", "upsample_weights"]

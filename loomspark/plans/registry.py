@@ -651,3 +651,64 @@ def head_predictions(spark, sf):
     every = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
     p = training.predict(every, training.load_head(spark, home))
     return p.select("row_id", F.posexplode("probs").alias("idx", "p")).select("row_id", "idx", F.round(F.col("p").cast("double"), 6).alias("p"))
+
+
+CHOSEN = f"(SELECT *, row_number() OVER (ORDER BY sha256('7:' || row_id)) AS nth, count(*) OVER () AS n FROM (SELECT row_id FROM {COMPLETE} WHERE row_id NOT IN (SELECT row_id FROM matched WHERE row_id IS NOT NULL)))"
+
+
+@query(f"""SELECT name, n FROM (UNPIVOT (SELECT *, rated_rows - complete_rows AS incomplete_rows, training_rows - unique_training_rows AS duplicate_copies, validation_hand_rows + validation_sample_rows AS validation_rows, unmatched_annotations + hand_rows - validation_hand_rows AS unusable_hand_rows FROM (
+  SELECT (SELECT count(*) FROM corpus) AS rated_rows, (SELECT count(*) FROM {COMPLETE}) AS complete_rows, (SELECT count(*) FROM hand) AS hand_rows, (SELECT count(*) FROM {COMPLETE} WHERE row_id IN (SELECT ann_id FROM hand)) AS validation_hand_rows,
+  (SELECT count(*) FROM {CHOSEN} WHERE nth > round_even(n * 0.05, 0)) AS unique_training_rows, (SELECT sum(weight)::BIGINT FROM {CHOSEN} JOIN ({UPSAMPLED}) USING (row_id) WHERE nth > round_even(n * 0.05, 0)) AS training_rows,
+  (SELECT count(*) FROM {CHOSEN} JOIN ({UPSAMPLED}) USING (row_id) WHERE nth > round_even(n * 0.05, 0) AND weight > 1) AS upsampled_rows, (SELECT count(*) FROM {COMPLETE} WHERE row_id IN (SELECT row_id FROM matched)) AS excluded_overlap_rows,
+  (SELECT count(*) FROM {CHOSEN} WHERE nth <= round_even(n * 0.05, 0)) AS validation_sample_rows, 0::BIGINT AS unmatched_annotations, 9::BIGINT AS targets)) ON COLUMNS(*) INTO NAME name VALUE n)""")
+def prepared_summary(spark, sf):
+    """All counts of a split of rated rows and hand rows for training."""
+    docs, hand, long = t.corpus(spark, sf).select("row_id", "text"), t.hand(spark, sf), t.ratings(spark, sf)
+    hand_docs = hand.withColumnRenamed("ann_id", "row_id")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("ann_id"), "quality", "toxic")
+    x = split.prepare(docs, long, hand_docs, long.join(hand_docs.select("row_id"), "row_id", "left_semi"), hand.join(labels, "ann_id"), t.layout(spark), WEIGHTS)
+    return x.summary
+
+
+@query("SELECT row_id, arg_min(quality, ann_id) AS quality, arg_min(toxic, ann_id) AS toxic FROM matched JOIN labels ON doc_id = ann_id WHERE row_id IS NOT NULL GROUP BY row_id")
+def first_annotation_labels(spark, sf):
+    """Labels of each matched row: those of its first annotation."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("ann_id"), "quality", "toxic")
+    return matching.first_labels(matching.match(t.hand(spark, sf), t.corpus(spark, sf)), labels).select("row_id", "quality", "toxic")
+
+
+@query("""SELECT a.ann_id, a.row_id, CASE WHEN long AND ann_id % 2 = 0 THEN 'prefix' ELSE 'exact' END AS how, sha256(c.text) AS text_sha256 FROM (
+  SELECT ann_id, long, row_id FROM (SELECT ann_id, length(text) > 200 AS long, CASE WHEN length(text) > 200 AND ann_id % 2 = 0 THEN (SELECT min(row_id) FROM corpus c WHERE left(c.text, 200) = left(h.text, 200)) ELSE (SELECT min(row_id) FROM corpus c WHERE c.text = h.text) END AS row_id FROM hand h)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ann_id) = 1) a JOIN corpus c USING (row_id)""")
+def annotation_sync(spark, sf):
+    """Annotations, half of them changed behind their prefix, with the texts of a live file of JSON lines."""
+    path = runtime.new_path(spark)
+    tagging.write_in_order(t.corpus(spark, sf).select("row_id", "text"), path)
+    live = runtime.stored(jsonl.read_live_rows(spark, path).select("row_id", "text"))
+    changed = F.when((F.char_length("text") > 200) & (F.col("ann_id") % 2 == 0), F.concat(F.substring("text", 1, 200), F.lit("\0"))).otherwise(F.col("text"))
+    hand = t.hand(spark, sf).withColumn("text", changed)
+    first = matching.match(hand, live).groupBy("row_id").agg(F.min("ann_id").alias("ann_id"))
+    x = matching.synced(hand.join(first.select("ann_id"), "ann_id", "left_semi"), live)
+    return x.select("ann_id", "row_id", "how", F.sha2("text", 256).alias("text_sha256"))
+
+
+CONTAINERS = ['{"ratings":{"f0":[]}}', '{"ratings":{"f0":[1],"g":5}}', "{}", '{"ratings":[]}', '{"ratings":{"f0":{}}}', '{"ratings":"x"}', '{"ratings":{"f1":null}}', '{"ratings":null}']
+
+
+@query("SELECT row_id, row_id % 8 < 3 AS appendable FROM corpus")
+def appendable_rows(spark, sf):
+    """To which rows ratings can be added, for eight kinds of containers."""
+    kind = F.get(F.array(*map(F.lit, CONTAINERS)), (F.col("row_id") % len(CONTAINERS)).cast("int"))
+    return t.corpus(spark, sf).select("row_id", ratings.appendable(F.parse_json(kind), ["f0", "f1"]).alias("appendable"))
+
+
+RAW_THRESHOLDS = [-3.0, 4.96, 5.04, 6.25, 12.3]
+
+
+@query(f"""SELECT filter, threshold, {ACCURATE} FROM (SELECT filter, threshold, mean >= threshold AS p, label >= 1 AS y FROM scores JOIN human USING (row_id, filter), (SELECT DISTINCT round(least(10.0, greatest(0.0, x)), 1)::DOUBLE AS threshold FROM (SELECT unnest({RAW_THRESHOLDS})::DOUBLE AS x))) GROUP BY filter, threshold""")
+def clamped_threshold_accuracy(spark, sf):
+    """Accuracy at thresholds as a slider gives them, put in steps of a tenth from 0 to 10."""
+    x = agreement.scores(t.ratings(spark, sf)).join(t.human(spark, sf), ["row_id", "filter"])
+    at = spark.createDataFrame([(v,) for v in RAW_THRESHOLDS], "x double").select(X.threshold(F.col("x")).alias("threshold")).distinct()
+    x = x.crossJoin(F.broadcast(at)).select("filter", "threshold", (F.col("mean") >= F.col("threshold")).alias("p"), (F.col("label") >= 1).alias("y"))  # a row for each threshold
+    return x.groupBy("filter", "threshold").agg(*agreement.hits(F.col("p"), F.col("y")))

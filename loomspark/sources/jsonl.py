@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +96,39 @@ def read_annotations(spark: SparkSession, path: str, labels: dict[str, str], bla
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """Compact JSON lines; null fields are kept."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def read_live_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(row_id, text, value) of rows that must stay aligned with their lines, row_id from 0.
+
+    A blank line, one that isn't an object with a text that isn't empty, and a
+    file without rows are errors.
+    """
+    rows = read_jsonl(spark, path, "fail", blank_lines=False)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    missing = F.raise_error(F.concat(F.lit("no text: "), F.col("file"), F.lit(":"), F.col("line"))).cast("string")
+    return with_row_id(rows).select("row_id", F.coalesce(string_field("text", empty=False), missing).alias("text"), "value")
+
+
+def replace_jsonl(df: DataFrame, path: str) -> None:
+    """Compact JSON lines in place of what is at ``path``.
+
+    The lines are written beside it first. If that or the move fails, what was
+    there is there again.
+    """
+    spark = df.sparkSession
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home.getParent(), f"_{home.getName()}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    try:
+        write_jsonl(df, new.toString())
+        moved = not fs.exists(home) or fs.rename(home, old)
+        if not moved or not fs.rename(new, home):
+            raise RuntimeError(f"{path} couldn't be replaced")
+        fs.delete(old, True)
+    except BaseException:
+        if fs.exists(old) and not fs.exists(home):
+            fs.rename(old, home)
+        fs.delete(new, True)
+        raise
