@@ -100,8 +100,8 @@ def test_main_text_in_a_div_is_whole(part, container, n):
     middle, end = (part % "".join(row % x for x in xs) for xs in (SHORT, SHORT[:5]))
     body = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in LONG[:n]) + middle + "".join(f"<p>{x}</p>" for x in LONG[n:]) + "<p>The end.</p>"
     want = ["Title", *LONG[:n], *SHORT, *LONG[n:], "The end."]
-    if container != "%s":
-        body, want = body + end, [*want, *SHORT[:5]]
+    if container != "%s":  # a light container beside the text stays out, a list or table in it doesn't
+        body, want = body + end, [*want, *(SHORT[:5] if part[:4] != "<div" else [])]
     beside = "<div><a href=x>One link</a></div><div><p>Three words only</p></div>"
     assert html_extract.main_text(f"<html><body>{beside}{container % body}{beside}</body></html>") == "\n".join(want)
 
@@ -111,6 +111,49 @@ def test_main_text_without_an_element_has_its_title(around):
     assert html_extract.main_text(PAGE % around) == WANT
 
 
+ARTICLE = "".join(f"<p>Paragraph number {k} of the article tells in some detail what has happened here and why.</p>" for k in range(6))
+PLAIN = "\n".join(f"Paragraph number {k} of the article tells in some detail what has happened here and why." for k in range(6))
+WRAPPERS = ['div class="site has-sidebar"', 'div class="post no-comments"', 'div id="search-algorithms"', 'div title="The hidden valley"', "form action=/x", 'div class="notice"', 'div class=modal', 'div class="category-legal tag-social"', 'div data-x="display:none"', 'section class="with_ads"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_no_wrapper_takes_the_article_away(wrapper):
+    end = wrapper.split(" ")[0]
+    assert html_extract.main_text(f"<html><body><nav><a href=/>Home</a></nav><{wrapper}>{ARTICLE}</{end}><footer>(c) me</footer></body></html>") == PLAIN
+
+
+NAMED = ['class="sidebar"', 'class="left-sidebar"', 'class="site-footer"', "class=ad", 'class="x ad-slot"', 'id="comments-area"', 'class="post-comments"', 'class="share_buttons"', 'id="comments"', 'role="complementary"', "hidden", 'style="color:red; display: none"']
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_named_elements_stay_out(name):
+    """However much they hold, as long as there is an article beside or around them."""
+    for lines in (1, 3):
+        more = "".join(f"<p>Something else, number {k}, that is long enough to surge all by itself at this place.</p>" for k in range(lines))
+        for page in (f"<div>{ARTICLE}<div {name}>{more}</div></div>", f"<div>{ARTICLE}</div><div {name}>{more}</div>"):
+            assert html_extract.main_text(f"<html><body>{page}</body></html>") == PLAIN
+    many = "".join(f"<p>A reader writes a very long comment, number {k}, about the article and all that is in it.</p>" for k in range(60))
+    assert html_extract.main_text(f"<html><body><div>{ARTICLE}</div><div class='user-comments'>{many}</div></body></html>") == PLAIN
+
+
+def test_an_article_keeps_its_header_and_light_neighbours_stay_out():
+    for header in ("<header class='entry-header'><h1>The title</h1></header>", "<div class='entry-header'><h1>The title</h1></div>", "<div class=t><h1>The title</h1></div>"):
+        for around in ("<article>%s</article>", "<main>%s</main>") if header.startswith("<header") else ("<article>%s</article>", "<div>%s</div>"):
+            assert html_extract.main_text("<html><body>" + around % (header + ARTICLE) + "</body></html>") == "The title\n" + PLAIN
+    beside = "<div><p>Read next: a teaser.</p></div><div><p>anna</p><p>Nice text!</p></div>"
+    for text in (f"<div>{ARTICLE}</div>", f"<div class=t><h1>The title</h1></div><div>{ARTICLE}</div>"):
+        want = "The title\n" * ("h1" in text) + PLAIN
+        assert html_extract.main_text(f"<html><body><div>{text}{beside}</div></body></html>") == want
+        assert html_extract.main_text(f"<html><body>{text}{beside}</body></html>") == want
+    blocks = ARTICLE.replace("<p>", "<div>").replace("</p>", "</div>") + "<div>A short last one.</div>"
+    assert html_extract.main_text(f"<html><body><div>{blocks}</div></body></html>") == PLAIN + "\nA short last one."
+
+
+def test_extract_of_an_empty_table(spark):
+    none = html_extract.extract(spark.createDataFrame([], "page_id long, html string, text int"))
+    assert none.count() == 0 and none.schema["text"].dataType.simpleString() == "string"
+
+
 def test_extract_edges(spark):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>a"), (5, "<article>" + "<p>word word</p>" * 5000), (5, "<!-- x"), (6, "<a<b<<>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
