@@ -635,7 +635,7 @@ def head_training(spark, sf):
     """The log of a head of nine soft labels trained on the embeddings, read back from its run folder."""
     rows = _head_rows(spark, sf)
     run = runlog.claim_run(spark, runtime.new_path(spark))
-    s = training.Settings(batch=512, epochs=2, rate=0.05, log_every=1, val_every=2)
+    s = training.Settings(batch=256, epochs=2, rate=0.05, log_every=1, val_every=2)
     head = training.fit_head(rows.where("held is null"), rows.where("held"), t.TARGETS, s, runlog.Log(spark, run))
     training.save_head(spark, head, f"{run}/best")
     events = runlog.read(spark, run, "event string, step long, epoch long, loss double, mae double, grad_norm double, learning_rate double")
