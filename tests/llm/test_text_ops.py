@@ -62,6 +62,42 @@ def test_length_alone_is_not_toxic(spark, labelled):
     assert bad and toxicity.score(spark.createDataFrame([(clean + bad[0],)], "text string"), w).first().score >= 0.5
 
 
+def test_toxicity_against_brute_force(spark):
+    """Scores are those of the trained noisy-or, sentence by sentence."""
+    import math
+
+    from loomspark.llm import textbytes as tb
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    w, bias, leak = toxicity.train(docs, labels)
+    assert w.any() and leak > 0
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["", None, "...", "no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, (w, bias, leak)).collect():
+        total, bad, at = 0.0, [], 0
+        for sentence in re.split("(?<=[.!?\n])", texts[r.doc_id] or ""):
+            f = toxicity.features(*tb.utf8(pa.array([sentence])))[0]
+            z = bias + float(w[f].sum())
+            given = max(0.0, math.log1p(math.exp(-abs(z))) + max(z, 0.0) - leak) if w[f].any() else 0.0
+            end = at + len(sentence.encode())
+            bad += [(at, end)] if 1 - math.exp(-given) >= 0.5 else []
+            total, at = total + given, end
+        assert r.score == pytest.approx(1 - math.exp(-total), abs=1e-4) and [(o.start, o.end) for o in r.offending] == bad
+
+
+def test_toxicity_learns_within_its_bounds(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "toxic"])))
+    again = docs.unionByName(docs).unionByName(docs)  # rows that repeat a labelled id
+    assert toxicity.train(again, labels)[0].any()
+    full, few = toxicity.train(docs, labels)[0], toxicity.train(docs, labels, most_bytes=400_000)[0]
+    assert 0 < (few != 0).sum() < (full != 0).sum()
+    huge = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" stupid idiot."), 200_000)))
+    assert not toxicity.train(huge.limit(3), labels)[0].any()  # too long to learn from
+    none = spark.createDataFrame([], "doc_id long, text string, offending int")
+    assert not toxicity.train(none, labels)[0].any() and toxicity.score(none, toxicity.train(docs, labels)).count() == 0
+
+
 def test_toxicity_sentences_stay_in_their_document():
     from loomspark.llm import textbytes as tb
     import pyarrow as pa
