@@ -17,12 +17,12 @@ Keys that no other document has are found first and never become rows. What is
 left is verified exactly on the whole sets, in two rounds: every document
 against the smallest one of each key it has; then, where the documents of a key
 still lie in several components, pairs across these. Only documents with
-``subset`` such keys in one part take part in that. A key that more than ``FEW``
-documents have isn't joined with itself: its documents are dealt by subsets of
-two, then three such keys of one part, as far as the band's subset goes. Pairs
-that a parity sketch rules out aren't verified (a sketch differs in at most as
-many bits as the sets do in shingles). Pairs within a component can't change
-the result, so groups of copies aren't expanded.
+``subset`` such keys in one part take part in that. The documents of keys that
+more than ``FEW`` have aren't joined with themselves: they are compared where
+they share a shingle that is rare among them, at places that leave enough of
+both. Pairs that a parity sketch rules out aren't verified (a sketch differs in
+at most as many bits as the sets do in shingles). Pairs within a component can't
+change the result, so groups of copies aren't expanded.
 
 Shingles are compared by 64-bit hashes of their words.
 """
@@ -46,7 +46,9 @@ from loomspark.llm.components import components
 
 RATIO = 1.5  # of a band's sizes
 PART = 24  # segments of a part
-FEW = 2048  # documents of a key that are compared with each other, by sketches, within one join
+FEW = 256  # documents of a key that are compared with each other, by sketches, within one join
+OFTEN = 50_000  # most shingles that are told as very frequent
+SIZE_STEP = 1.02  # ratio of set sizes that are looked up together
 LIGHT = 8.0  # what a key of one or two shingles costs: other sets hold it by chance
 SEEDS = 64
 SKETCH = 8  # longs of parity bits
@@ -284,31 +286,67 @@ def _may_be_similar(t: Threshold):
     return (t.whole * F.least(r, s) >= t.part * F.greatest(r, s)) & (bits * (t.part + t.whole) <= (t.whole - t.part) * (r + s))
 
 
-def _across(rest: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b) of different components that share a key of few documents, or else subsets of common keys of one part."""
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        rows = rows.select("key", "id", "c").join(sketches, "id")
-        p, q = rows.alias("p"), rows.alias("q")
-        on = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id"))
-        return p.join(q, on & _may_be_similar(t)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-
-    def few(size: int):
-        return (F.col("ids") <= FEW) | (F.col("least") == size)
+def _across(rest: DataFrame, sketches: DataFrame, texts: DataFrame, t: Threshold, k: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of few documents, or else a rare shingle at a place that counts."""
+    single = rest.select("id", "c", F.explode("list").alias("k")).select("id", "c", "k.*")
+    few = single.where((F.col("ids") <= FEW) & F.col("leads")).select("key", "id", "c").join(sketches, "id")
+    p, q = few.alias("p"), few.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") < F.col("q.id"))
+    out = p.join(q, on & _may_be_similar(t)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    many = runtime.cut(single.where(F.col("ids") > FEW).select("id", "c").distinct())
+    if many.isEmpty():
+        return out.distinct()
+    return out.unionByName(_by_rare_shingles(many, sketches, texts, t, k)).distinct()
+
+
+def _by_rare_shingles(docs: DataFrame, sketches: DataFrame, texts: DataFrame, t: Threshold, k: int) -> DataFrame:
+    """Pairs (a, b) of (id, c) documents of different components that may be similar, by the places of what they share.
+
+    Shingles are ordered by how many of these documents have them, rarest first.
+    A set and a similar one of its size or more share a shingle that stands in
+    the first n - least + 1 places of the smaller, where least is what two sets
+    of its size must share, and so few places into the larger that what is left
+    of both can still be enough. A passage that all have comes last in the
+    order, so it makes no pair of documents whose own parts are too large.
+    """
 
-    single = rest.select("id", "c", "least", F.explode("list").alias("k")).select("id", "c", "least", "k.*")
-    out = pairs(single.where(few(1) & F.col("leads")))
-    common = rest.withColumn("list", F.filter("list", lambda k: k["ids"] > FEW)).where((F.col("least") > 1) & (F.size("list") >= F.col("least")))
-    level = common.withColumn("list", F.transform("list", lambda k: k["key"])).select("part", "id", "c", "least", "list", F.posexplode("list").alias("at", "key"))
-    for size in (2, 3):
-        longer = level.where(F.col("least") >= size)
-        longer = longer.select("part", "id", "c", "least", "list", F.col("at").alias("from"), F.col("key").alias("head"), F.posexplode("list").alias("at", "next")).where("at > from")
-        longer = longer.select("part", "id", "c", "least", "list", "at", F.xxhash64("head", "next").alias("key"))
-        longer = longer.join(_with_leads(longer.select("key", "id", "c"), "true"), "key").where(~few(size) | F.col("leads"))
-        longer = runtime.cut(longer.withColumn("list", F.when(~few(size), F.col("list"))))
-        out = out.unionByName(pairs(longer.where(few(size))))
-        level = longer.where(~few(size)).drop("ids", "leads")
-    return out.distinct()
+    def run(batches):
+        for whole in batches:
+            for b in pieces(whole):
+                g, d = shingles(*tb.utf8(b.column(2)), k)
+                ids, cs = (np.array(b.column(c)) for c in (0, 1))
+                n = np.bincount(d, minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[d]), pa.array(cs[d]), pa.array(n[d])], ["h", "id", "c", "n"])
+
+    rows = docs.join(texts, "id").select("id", "c", "text").mapInArrow(run, "h long, id long, c long, n long")
+    counts = runtime.stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    total = counts.agg(F.sum("df")).first()[0] or 0
+    often = counts.where(F.col("df") > total / OFTEN)  # fewer than OFTEN, as all counts add up to the total
+    rest = counts.where(F.col("df") <= total / OFTEN)
+    met = rows.join(F.broadcast(often), "h").unionByName(rows.join(F.broadcast(often.select("h")), "h", "left_anti").join(rest, "h"))
+    lists = met.groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))  # of one set
+    x = lists.select("id", "c", "n", (F.col("n") - F.size("l")).alias("alone"), F.posexplode("l").alias("at", "k"))
+    x = x.select("id", "c", "n", F.col("k.h").alias("h"), (F.col("at") + F.col("alone")).alias("at"))  # shingles that no other set has come first
+    p, w = t.part, t.whole
+    up = lambda v, by: F.call_function("div", v + (by - 1), F.lit(by).cast("long"))
+    least = lambda r, s: up((r + s) * p, p + w)  # noqa: E731  # shared shingles of similar sets
+    step = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    n, at = F.col("n"), F.col("at")
+    small = x.where(at <= n - least(n, n)).select("h", step(n).alias("step"), F.col("id").alias("a"), F.col("c").alias("ca"), n.alias("r"), at.alias("i"))
+    lowest, highest = up(n * p, w), F.least(n, F.call_function("div", (n - at) * (p + w), F.lit(p).cast("long")) - n)  # sizes of smaller sets that this place may be enough for
+    large = x.where((at <= n - lowest) & (highest >= lowest)).withColumn("step", F.explode(F.sequence(step(lowest), step(highest))))
+    large = large.select("h", "step", F.col("id").alias("b"), F.col("c").alias("cb"), n.alias("s"), at.alias("j"))
+    small, large = runtime.stored(small), runtime.stored(large)
+    # where all documents of a shingle lie in one component there is nothing to compare
+    here = small.select("h", "step", F.col("ca").alias("c")).unionByName(large.select("h", "step", F.col("cb").alias("c")))
+    here = here.groupBy("h", "step").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h", "step")
+    r, s = F.col("r"), F.col("s")
+    on = (F.col("ca") != F.col("cb")) & ((r < s) | ((r == s) & (F.col("a") < F.col("b")))) & (r * w >= s * p) & (F.col("i") <= r - least(r, s)) & (F.col("j") <= s - least(r, s))
+    pairs = small.join(here, ["h", "step"]).join(large, ["h", "step"]).where(on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id")).where(_may_be_similar(t)).select("a", "b")
+    pairs = runtime.stored(pairs)
+    runtime.discard(counts, small, large)
+    return pairs
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, part: int = 85, whole: int = 100) -> DataFrame:
@@ -399,7 +437,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     links = runtime.stored(_verify(first, texts, t, k))
     comp = components(links)
     rest = runtime.stored(_open(keys, comp, {b: p.subset for b, p in plans.items()}))
-    second = _across(rest, sketches, t).join(first, ["a", "b"], "left_anti")
+    second = _across(rest, sketches, texts, t, k).join(first, ["a", "b"], "left_anti")
     more = runtime.stored(_verify(second, texts, t, k))
     if not more.isEmpty():
         comp = components(links.unionByName(more))

@@ -87,7 +87,7 @@ def test_unrelated_sets_share_no_key_and_send_few():
         assert len(keys) / 500 < 1.2 * n + 12
 
 
-def test_common_keys_are_dealt_by_subsets(spark, monkeypatch):
+def test_common_keys_go_by_rare_shingles(spark, monkeypatch):
     """Many documents around one passage, none alike but for some pairs, with keys of over two documents taken as common."""
     monkeypatch.setattr(nj, "FEW", 2)
     r = random.Random(9)
@@ -127,3 +127,37 @@ def test_parity_counts_at_most_the_difference():
     g, d = nj.shingles(*tb.utf8(pa.array(["a b c d e f g h", "a b c d e f g x"])), 4)
     s = nj.parity(g, d, 2)
     assert int(np.bitwise_count(s[0] ^ s[1]).sum()) <= 2
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_templates_with_own_parts_of_all_sizes(spark, monkeypatch, seed):
+    """Documents of one template, of which some are similar; all their keys count as common ones."""
+    monkeypatch.setattr(nj, "FEW", 2)
+    r = random.Random(seed)
+    template = [f"t{k}" for k in range(120)]
+    docs = []
+    for g in range(40):
+        own = [f"o{r.randint(0, 10**6)}" for _ in range(r.choice([0, 3, 6, 9, 12, 15, 18, 25, 40]))]
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w = own if r.random() < 0.6 else [*own[:-2], f"n{r.random()}"]
+            at = r.choice([0, 60, 120])
+            docs.append((len(docs), " ".join(template[:at] + w + template[at:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in nj.similar_documents(df).collect()}
+    want = brute(docs, 4, 85, 100)
+    assert got == want and 5 < len({c for _, c in want.values()}) < len(docs)
+
+
+def test_no_pairs_of_documents_that_share_a_template_alone(spark, monkeypatch):
+    """Twice as many such documents make no pair to compare, and neither do large groups of copies among them."""
+    sent = []
+    plain = nj._verify
+    monkeypatch.setattr(nj, "_verify", lambda pairs, *rest: sent.append(pairs.count()) or plain(pairs, *rest))
+    template = " ".join(f"t{k}" for k in range(250))
+    for n in (400, 800):
+        sent.clear()
+        docs = [(k, template + " " + " ".join(f"o{k}x{j}" for j in range(60))) for k in range(n)] + [(n + k, template + f" end{k}") for k in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {x.doc_id: x.component_id for x in nj.similar_documents(df).collect()}
+        assert got == {k: min(k, n) for k in range(2 * n)}
+        assert sent[0] < 2 * n * 60 and sent[1] == 0
