@@ -429,7 +429,7 @@ def stratified_levels(spark, sf):
     return x.select("row_id", level.alias("level"))
 
 
-@query()
+@query("""SELECT row_id, filter, model, CASE WHEN row_id % 4 < 3 THEN rating::INT END AS rating, ['a' || chr(10) || 'b' || chr(10) || 'c', 'open', 'x', NULL][row_id % 4 + 1] AS explanation, ['q', '', '', NULL][row_id % 4 + 1] AS quote FROM ratings""")
 def response_parse_full(spark, sf):
     """Rating, explanation and quote of answers with drafts, damaged tags and long explanations."""
     forms = ["<rating>3</rating> <rating>{0}</rating><explanation> a\nb\nc\nd </explanation><quote> q </quote>", "<rating>{0}<explanation>open", "<RATING>{0}</RATING><Explanation>x</Explanation>", "<rating>{0}</rating>"]
@@ -464,8 +464,9 @@ def tags_nested(spark, sf):
     return tags.withColumn("valid", scoring.tags_valid(F.col("tags"), {f"f{k}": ["m0", "m1", "m2"] for k in range(3)}))
 
 
-@query()
+@query("""SELECT row_id, filter, model, coalesce(rating, (length('Rate: ' || text || chr(10) || '0 to 10') + ascii('m') + ascii(right(model, 1))) % 11)::BIGINT AS rating FROM corpus CROSS JOIN layout LEFT JOIN ratings USING (row_id, filter, model)""")
 def judge_stub_refill(spark, sf):
+    """Missing ratings from a judge that needs no network, beside the ones that are there."""
     docs, long = t.corpus(spark, sf), t.ratings(spark, sf)
     todo = ratings.pending(docs, t.layout(spark), long).join(docs.select("row_id", "text"), "row_id")
     asked = judge.ask(todo.withColumn("prompt", S.prompt("Rate: {document}", F.col("text"), "0 to 10", "x")), t.judge)
