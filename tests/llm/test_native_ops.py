@@ -191,3 +191,17 @@ def test_mix_takes_whole_blocks_then_what_fits(spark, monkeypatch):
     assert all(0 <= r.place <= 1 for r in got)
     assert mixing.mix(docs, max_epochs=2.0, keep_all=True).select("doc_id").distinct().count() == len({i for i, *_ in rows})
     assert mixing.mix(docs.limit(0), max_epochs=2.0).count() == 0
+
+
+def test_licences_of_repeated_and_null_ids(spark):
+    rows = [(None, "MIT License"), (None, None), (None, "apache license"), (1, "mit license"), (1, "mit license"), (1, "none")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_base, r.base_labels) for r in got) == [(0, 0, ""), (0, 1, "apache"), (0, 1, "mit"), (1, 0, ""), (1, 1, "mit"), (1, 1, "mit")]
+
+
+def test_fingerprints_of_many_null_ids(spark, tmp_path):
+    rows = [(None, f"a text without an id {k % 3} and a few more words") for k in range(40)] + [(3, "one of its own"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.op8_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == 42 and sum(r.doc_id is None for r in got) == 40
+    assert len({r.fingerprint for r in got if r.doc_id is None}) == 3 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
