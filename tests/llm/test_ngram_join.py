@@ -151,6 +151,7 @@ def test_templates_with_own_parts_of_all_sizes(spark, monkeypatch, seed):
 def test_no_pairs_of_documents_that_share_a_template_alone(spark, monkeypatch):
     """Twice as many such documents make no pair to compare, and neither do large groups of copies among them."""
     sent = []
+    monkeypatch.setattr(nj, "FEW", 256)
     plain = nj._verify
     monkeypatch.setattr(nj, "_verify", lambda pairs, *rest: sent.append(pairs.count()) or plain(pairs, *rest))
     template = " ".join(f"t{k}" for k in range(250))
