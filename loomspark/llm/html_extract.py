@@ -91,7 +91,7 @@ class _Lines:
         self.home: list[int] = []  # the element other than an inline one that each line stands in
         self.tags, self.parent = [""], [0]  # of each such element, the page itself first
         self._open: list[tuple[str, int, bool]] = []  # tag, dropped (2: whatever is spared), article or main
-        self.spared = False  # an element was left out that a larger ``spare`` opens
+        self.left_out = 0  # characters left out that a larger ``spare`` may let in
         self._homes = [0]  # of each open element, after the page
         self._articles = self._dropped = self._barred = self._links = 0
         self._now: list[str] = []
@@ -123,6 +123,8 @@ class _Lines:
             self._now.append(s)
             if not self._links:
                 self._plain += len(s)
+        elif not self._barred:
+            self.left_out += len(s)
 
     def _flush(self) -> None:
         if self._now:
@@ -166,7 +168,6 @@ class _Lines:
                     drop, core = 2, False
                 elif name in ("class", "id", "itemprop") and not core and not own and names_boilerplate(value, name == "id"):
                     drop = max(drop, 2 if _READERS.search(value) else 1)
-        self.spared |= drop == 1
         self._open.append((tag, drop, core))
         if tag not in _INLINE:
             self.tags.append(tag)
@@ -299,7 +300,7 @@ def main_text(page: str | None) -> str:
         return ""
     found = _core(page, 0)
     for spare in range(1, SPARE + 1):
-        if not found[0].spared:
+        if found[0].left_out <= OPENED * _mass(found) + SURGE:
             break
         more = _core(page, spare)
         if _mass(more) > OPENED * _mass(found) + SURGE:
