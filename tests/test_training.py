@@ -72,6 +72,42 @@ def test_training_equals_a_run_in_numpy(spark, monkeypatch):
     assert rates == pytest.approx([0.3 * X.learning_rate_at(k, 6, 0.05, 0.2) for k in range(1, 7)])
 
 
+def test_small_batches_run_in_spans_over_rows_stored_once(spark, tmp_path, monkeypatch):
+    """Jobs, and readings of the validation rows' source, must not grow with the number of steps."""
+    (x, y), (vx, vy) = made(1000), made(12, 3)
+    s = training.Settings(batch=16, epochs=2, rate=0.3, log_every=1, val_every=2, clip=0.05, weight_decay=0.1)
+
+    def noted(batches):
+        for b in batches:
+            with open(tmp_path / "read", "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    held = frame(spark, vx, vy)
+    held = held.mapInArrow(noted, held.schema)
+    train = frame(spark, x, y)
+    spark.sparkContext.setJobGroup("spans", "training")
+    head = training.fit_head(train, held, TARGETS, s)
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("spans")) < 63 * 2  # steps
+    assert sum(map(int, (tmp_path / "read").read_text().split())) == 12
+    order = [np.array([r.p for r in spark.range(1000).select("id", permuted(F.col("id"), 1000, s.seed + e).alias("p")).orderBy("id").collect()]) for e in (1, 2)]
+    want, w, best = by_numpy(order, x, y, vx, vy, s)
+    got = [(e["event"], e["step"], e["loss"], e.get("grad_norm", e.get("mae"))) for e in head.events]
+    assert [g[:2] for g in got] == [k[:2] for k in want] and np.allclose([g[2:] for g in got], [k[2:] for k in want])
+    assert np.allclose(head.weights, w) and np.allclose(head.best, best[2]) and head.best_step == best[1]
+    assert head.events[-1]["eta_seconds"] == 0
+    # batches of rows that end anywhere, and spans of any number of steps, change nothing
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(training, "SPAN", 5)
+    other = training.fit_head(train.limit(200), held, TARGETS, s)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(training, "SPAN", 1)
+    one = training.fit_head(train.limit(200), held, TARGETS, s)
+    assert np.allclose(one.weights, other.weights) and one.best_step == other.best_step and len(one.events) == len(other.events)
+
+
 def test_soft_labels_are_learned_and_heads_are_kept(spark, tmp_path):
     (x, y), (vx, vy) = made(300), made(60, 3)
     rows = frame(spark, x, y).unionByName(spark.createDataFrame([(1, None, [0.0] * 3), (2, [1.0] * 5, None), (4, [1.0] * 5, [None, 0.1, 0.2])], "row_id long, vector array<double>, targets array<double>"))
