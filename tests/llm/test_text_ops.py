@@ -207,3 +207,21 @@ def test_all_pages(spark):
         body = re.sub(r"<br>", " ", body)
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
+
+
+def test_new_words_of_a_batch_are_merged_together(monkeypatch):
+    """No word of ordinary text goes through the merging by itself, whatever the caches hold, and the ids are those of single words."""
+    import random
+
+    with open(bpe.default_tokenizer()) as f:
+        spec = f.read()
+    coder, single = bpe.ByteBPE(spec), bpe.ByteBPE(spec)
+    rng = random.Random(3)
+    texts = ["", None, " ", "a", "  a  b ", "a.\nb", "x\n's it 's", "x\r\ny", "q " + "é" * 127 + " é", "a" * 127 + " " + "b" * 127 + "\n" + "c" * 300 + " d", ("xy" * 200) + " z", "中文" * 90, "é\x1cb\n\x1cc"]
+    texts += ["".join(rng.choice(" abcdethé\n'12.,中\t\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    want = [b"".join(bpe.np.array(single.merge(w.encode()), "<u4").tobytes() for w in bpe._WORD.findall(t or "")) for t in texts]
+    monkeypatch.setattr(bpe.ByteBPE, "merge", lambda self, word: pytest.fail("a word by itself"))
+    for cache in (bpe.CACHE, 50, 0):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        for size in (1, 7, 400):
+            assert [x for i in range(0, len(texts), size) for x in coder.encode_all(texts[i : i + size])] == want
