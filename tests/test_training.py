@@ -108,6 +108,20 @@ def test_small_batches_run_in_spans_over_rows_stored_once(spark, tmp_path, monke
     assert np.allclose(one.weights, other.weights) and one.best_step == other.best_step and len(one.events) == len(other.events)
 
 
+def test_heads_of_a_span_are_validated_together_and_the_best_is_predicted_with(spark, tmp_path, monkeypatch):
+    (x, y), (vx, vy) = made(300), made(12, 3)
+    s, calls, sums = training.Settings(batch=16, epochs=1, rate=0.5, val_every=2), [], training._sums
+    monkeypatch.setattr(training, "_sums", lambda *a: calls.append(1) or sums(*a))
+    head = training.fit_head(frame(spark, x, y), frame(spark, vx, vy), TARGETS, s)
+    assert len(calls) == 1  # of 19 steps and 10 validations
+    order = [np.array([r.p for r in spark.range(300).select("id", permuted(F.col("id"), 300, s.seed + 1).alias("p")).orderBy("id").collect()])]
+    _, _, (_, step, w) = by_numpy(order, x, y, vx, vy, s)
+    training.save_head(spark, head, str(tmp_path / "head"))
+    again = training.load_head(spark, str(tmp_path / "head"))
+    got = {r.row_id: r.probs for r in training.predict(frame(spark, vx, vy), again).collect()}
+    assert again.best_step == step and np.allclose([got[3 * k] for k in range(12)], 1 / (1 + np.exp(-vx @ w.T)), atol=1e-6)
+
+
 def test_soft_labels_are_learned_and_heads_are_kept(spark, tmp_path):
     (x, y), (vx, vy) = made(300), made(60, 3)
     rows = frame(spark, x, y).unionByName(spark.createDataFrame([(1, None, [0.0] * 3), (2, [1.0] * 5, None), (4, [1.0] * 5, [None, 0.1, 0.2])], "row_id long, vector array<double>, targets array<double>"))
