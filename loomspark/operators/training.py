@@ -25,7 +25,7 @@ from loomspark.sources import versions
 
 FAN = 32  # partial sums that are added at a time
 PER_PART = 64 << 20  # bytes of vectors in a part of a batch
-SPAN = 32  # steps that one task does at most, if their batches and weights fit a part
+SPAN = 256  # steps that one task does at most, if their batches and weights fit a part
 SUMS = "worker int, n long, loss binary, error binary, grad binary"
 STEPS = "step long, loss double, norm double, w binary, m binary, v binary"
 

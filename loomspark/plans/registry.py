@@ -627,7 +627,7 @@ def _head_rows(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
     y = ratings.targets(e, t.layout(spark), t.ratings(spark, sf)).where("targets is not null")
     rows = runtime.stored(e.join(y, "row_id"))
-    chosen = split.hash_sample(rows.select("row_id"), 0.1, 7).withColumn("held", F.lit(True))
+    chosen = runtime.stored(split.hash_sample(rows.select("row_id"), 0.1, 7)).withColumn("held", F.lit(True))
     return rows.join(chosen, "row_id", "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import scalars as X
 from loomspark.functions.permute import permuted
 from loomspark.operators import training
+from loomspark.plans import registry
 from loomspark.sources import runlog, versions
 
 TARGETS = ["f::a", "f::b", "g::a"]
@@ -122,6 +123,36 @@ def test_heads_of_a_span_are_validated_together_and_the_best_is_predicted_with(s
     assert again.best_step == step and np.allclose([got[3 * k] for k in range(12)], 1 / (1 + np.exp(-vx @ w.T)), atol=1e-6)
 
 
+def test_spans_end_by_bytes_and_not_after_a_few_steps(spark, monkeypatch):
+    (x, y), (vx, vy) = made(1000), made(12, 3)
+    s, calls, span = training.Settings(batch=16, epochs=1, rate=0.5, val_every=2), [], training._span
+    monkeypatch.setattr(training, "_span", lambda *a: calls.append(a[5]) or span(*a))
+    one = training.fit_head(frame(spark, x, y), frame(spark, vx, vy), TARGETS, s)
+    assert calls == [63]  # steps of each span
+    calls.clear()
+    monkeypatch.setattr(training, "PER_PART", 40 * 16 * 8 * 8)  # 40 batches
+    other = training.fit_head(frame(spark, x, y), frame(spark, vx, vy), TARGETS, s)
+    assert calls == [40, 23] and np.allclose(one.best, other.best) and one.best_step == other.best_step
+
+
+def test_validation_rows_of_head_queries_are_chosen_once(spark, tmp_path, monkeypatch):
+    def noted(batches):
+        for b in batches:
+            with open(tmp_path / "chosen", "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    def sample(*a):
+        found = hash_sample(*a)
+        return found.mapInArrow(noted, found.schema)
+
+    hash_sample = registry.split.hash_sample
+    monkeypatch.setattr(registry.split, "hash_sample", sample)
+    rows = registry._head_rows(spark, "/root/testdata/sf0.001")
+    n = [rows.where(w).count() for w in ("true", "held is null", "held")]
+    assert n[0] == n[1] + n[2] and n[2] == round(n[0] / 10) == sum(map(int, (tmp_path / "chosen").read_text().split()))
+
+
 def test_soft_labels_are_learned_and_heads_are_kept(spark, tmp_path):
     (x, y), (vx, vy) = made(300), made(60, 3)
     rows = frame(spark, x, y).unionByName(spark.createDataFrame([(1, None, [0.0] * 3), (2, [1.0] * 5, None), (4, [1.0] * 5, [None, 0.1, 0.2])], "row_id long, vector array<double>, targets array<double>"))
