@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from loomspark.sources import shards, versions
 
 LIMIT = 16_384  # padded tokens in a pack
 PER_WAVE = 16  # length batches that are scored, and saved, together
+SPAN, GROWTH = 30.0, 4  # seconds for which short waves are scored in one job, and times the waves of the job before, at most
 VERSION = 1
 
 
@@ -110,6 +113,21 @@ def _checked(state: dict, now: dict, n: int, size: int, per_wave: int) -> dict:
     return state
 
 
+def _laid(spark: SparkSession, rows: str, waves: range, kind: T.StructType) -> tuple[int, DataFrame]:
+    """(number of waves, their rows): ``waves``, up to the first of which the files are gone."""
+    if not shards.list_files(spark, f"{rows}/wave={waves[0]}"):
+        raise ValueError(f"the rows of wave {waves[0]} are gone; start again with overwrite")
+    found = spark.read.schema(kind).parquet(f"{rows}/wave={{{','.join(map(str, waves))}}}")
+    held = {int(re.search(r"/wave=(\d+)/[^/]*$", f)[1]) for f in found.inputFiles()}
+    n = next((i for i, k in enumerate(waves) if k not in held), len(waves))
+    return (n, found) if n == len(waves) else _laid(spark, rows, waves[:n], kind)
+
+
+def next_span(waves: int, seconds: float) -> int:
+    """Waves of the next job, after one of so many waves that took so long: what fits ``SPAN``, from 1 to ``GROWTH`` times as many."""
+    return max(1, min(GROWTH * waves, int(waves * SPAN / max(seconds, 1e-3))))
+
+
 def run(
     source: DataFrame,
     home: str,
@@ -129,42 +147,53 @@ def run(
 
     Rows are put in batches of ``size`` by length, and the batches in a seeded
     order, of which ``per_wave`` make a wave. The texts are laid out by wave
-    once, so each wave reads its own files alone; its scores are added to the
-    table together with the count of finished waves, so a run that stops loses
-    one wave at most and ``resume`` takes up the rest. A run with other rows,
-    lengths, model, targets or settings is refused, and so is a damaged state.
+    once, so each wave reads its own files alone. Waves are scored in spans, a
+    job for each: one wave first, then as many as ``SPAN`` seconds hold by the
+    time that the last span took. The scores of a span are added to the table
+    together with the count of finished waves, so a run that is killed loses a
+    wave or about ``SPAN`` seconds, and ``resume`` takes up the rest. A span
+    that fails is halved down to the wave that does, and those before it are
+    kept. A run with other rows, lengths, model, targets or settings is
+    refused, and so is a damaged state.
     """
     spark = source.sparkSession
     scoring.layout_of(targets)
     scores, rows = f"{home}/scores", f"{home}/rows"
-    now, n = _settings(source, model_name, targets, size, seed, first_row, per_wave)
+    now, documents = _settings(source, model_name, targets, size, seed, first_row, per_wave)
     at = versions.version(spark, scores)
     if at is not None and not (resume or overwrite):
         raise ValueError(f"{home} holds a run; resume or overwrite it")
     if at is None and resume:
         raise ValueError(f"{home} holds no run to resume")
     if at is None or overwrite:
-        batches = -(-n // size)
+        batches = -(-documents // size)
         batched = scoring.length_batches(source.where(F.col("row_id") >= first_row).select("row_id", "token_count"), size)
         place = permuted(F.col("batch"), batches, seed)
         wave = batched.select("row_id", "batch", F.call_function("div", place, F.lit(per_wave).cast("long")).alias("wave"))
         laid = source.select("row_id", "text", "token_count").join(wave, "row_id")
-        laid.repartition("wave", "batch").write.mode("overwrite").partitionBy("wave").parquet(rows)
+        laid.repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(rows)
         state = {"settings": now, "waves": -(-batches // per_wave), "completed_waves": 0, "documents": 0}
         at = versions.commit(spark.createDataFrame([], "row_id long, probs array<float>"), scores, at, state=state)
-    state = _checked(versions.state(spark, scores, at), now, n, size, per_wave)
+    state = _checked(versions.state(spark, scores, at), now, documents, size, per_wave)
     kind = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("token_count", source.schema["token_count"].dataType), T.StructField("batch", T.LongType())])
-    begun = state["completed_waves"]
-    for k in range(begun, state["waves"]):
-        if most_waves is not None and k - begun >= most_waves:
-            break
-        if not shards.list_files(spark, f"{rows}/wave={k}"):
-            raise ValueError(f"the rows of wave {k} are gone; start again with overwrite")
-        batch = spark.read.schema(kind).parquet(f"{rows}/wave={k}")
-        new = runtime.stored(score_packed(batch, load, len(targets), limit).select("row_id", "probs"))
-        state = state | {"completed_waves": k + 1, "documents": state["documents"] + new.count()}
+    done, width, failed = state["completed_waves"], 1, None  # failed: the end of a span in which a wave fails
+    last = state["waves"] if most_waves is None else min(state["waves"], done + most_waves)
+    while done < last:
+        began = time.monotonic()
+        n, batch = _laid(spark, rows, range(done, min(done + width, last)), kind)
+        try:
+            new = runtime.stored(score_packed(batch, load, len(targets), limit).select("row_id", "probs"))
+        except Exception:
+            if n == 1:
+                raise
+            width, failed = n // 2, done + n
+            continue
+        done += n
+        state = state | {"completed_waves": done, "documents": state["documents"] + new.count()}
         at = versions.commit(new, scores, at, "append", state=state)
         runtime.discard(new)
+        failed = failed if failed and done < failed else None
+        width = max(1, (failed - done) // 2) if failed else next_span(n, time.monotonic() - began)
     return versions.read(spark, scores, at)
 
 

@@ -113,6 +113,58 @@ def test_a_wave_reads_its_own_files_alone(spark, tmp_path):
     assert one.count() == 20 and all("/wave=3/" in f for f in one.inputFiles()) and sizes["wave=3"] < sum(sizes.values()) / 5
 
 
+def saved(spark, home):
+    """Finished waves of each version of a run."""
+    scores = f"{home}/scores"
+    return [versions.state(spark, scores, f"v{v}")["completed_waves"] for v in range(int(versions.version(spark, scores)[1:]) + 1)]
+
+
+def test_short_waves_share_a_job(spark, tmp_path, monkeypatch):
+    source, home = docs(spark, 120), str(tmp_path / "run")
+    monkeypatch.setattr(tagging, "SPAN", 1e6)
+    whole = {r.row_id: r.probs for r in tagging.run(source, home, load, "m", TARGETS, 3, per_wave=1).collect()}
+    assert saved(spark, home) == [0, 1, 5, 21, 40] and sorted(whole) == list(range(120))
+    assert versions.state(spark, f"{home}/scores")["documents"] == 120
+    tagging.run(source, str(tmp_path / "part"), load, "m", TARGETS, 3, per_wave=1, most_waves=7)
+    assert saved(spark, str(tmp_path / "part")) == [0, 1, 5, 7]
+    shutil.rmtree(f"{tmp_path}/part/rows/wave=15")  # those before it are scored
+    with pytest.raises(ValueError, match="wave 15 are gone"):
+        tagging.run(source, str(tmp_path / "part"), load, "m", TARGETS, 3, per_wave=1, resume=True)
+    assert saved(spark, str(tmp_path / "part"))[4:] == [8, 12, 15]
+    monkeypatch.setattr(tagging, "SPAN", 0.0)  # waves that take longer
+    slow = tagging.run(source, str(tmp_path / "slow"), load, "m", TARGETS, 3, per_wave=1, most_waves=4)
+    assert saved(spark, str(tmp_path / "slow")) == [0, 1, 2, 3, 4] and {r.row_id: r.probs for r in slow.collect()}.items() <= whole.items()
+
+
+def test_spans_follow_the_time_that_waves_take():
+    assert [tagging.next_span(1, s) for s in (0, 1.5, tagging.SPAN / 2, tagging.SPAN, 1e9)] == [4, 4, 2, 1, 1]
+    assert tagging.next_span(100, 40.0) == 75 and tagging.next_span(100, 1e6) == 1
+
+
+def test_a_run_keeps_the_waves_before_one_that_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tagging, "SPAN", 1e6)
+    source, home = docs(spark, 120), str(tmp_path / "run")
+    whole = {r.row_id: r.probs for r in tagging.run(source, str(tmp_path / "whole"), load, "m", TARGETS, 3, per_wave=1).collect()}
+    tagging.run(source, home, load, "m", TARGETS, 3, per_wave=1, most_waves=0)
+    bad = spark.read.parquet(f"{home}/rows/wave=17").withColumn("text", F.lit("bad")).localCheckpoint()
+    bad.write.mode("overwrite").parquet(f"{home}/rows/wave=17")
+
+    def picky():
+        def model(texts):
+            if "bad" in texts:
+                raise KeyError("bad")
+            return load()(texts)
+
+        return model
+
+    with pytest.raises(Exception, match="KeyError"):
+        tagging.run(source, home, picky, "m", TARGETS, 3, per_wave=1, resume=True)
+    assert saved(spark, home)[-1] == 17
+    shutil.rmtree(f"{home}/rows/wave=17")
+    shutil.copytree(f"{tmp_path}/whole/rows/wave=17", f"{home}/rows/wave=17")
+    assert {r.row_id: r.probs for r in tagging.run(source, home, picky, "m", TARGETS, 3, per_wave=1, resume=True).collect()} == whole
+
+
 def test_tags_are_written_in_source_order(spark, tmp_path):
     source = docs(spark)
     scores = spark.createDataFrame([(k, [0.25, 0.5, k / 64, 1.0]) for k in range(60)], "row_id long, probs array<float>")
