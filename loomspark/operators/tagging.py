@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,8 +98,9 @@ def score_packed(batched: DataFrame, load: Callable[[], Callable], n_targets: in
 def _settings(source: DataFrame, model_name: str, targets: list[str], size: int, seed: int, first_row: int, per_wave: int) -> tuple[dict, int]:
     """What a run depends on, and how many rows it scores."""
     slim = source.where(F.col("row_id") >= first_row).select("row_id", "token_count")
-    n = slim.count()
-    return {"version": VERSION, "rows": upkeep.fingerprint(slim), "model": model_name, "targets": targets, "batch_size": size, "seed": seed, "first_row": first_row, "per_wave": per_wave}, n
+    rows = upkeep.fingerprint(slim)
+    n = int(rows.split("|")[0])
+    return {"version": VERSION, "rows": rows, "model": model_name, "targets": targets, "batch_size": size, "seed": seed, "first_row": first_row, "per_wave": per_wave}, n
 
 
 def _checked(state: dict, now: dict, n: int, size: int, per_wave: int) -> dict:
@@ -153,8 +154,9 @@ def run(
     together with the count of finished waves, so a run that is killed loses a
     wave or about ``SPAN`` seconds, and ``resume`` takes up the rest. A span
     that fails is halved down to the wave that does, and those before it are
-    kept. A run with other rows, lengths, model, targets or settings is
-    refused, and so is a damaged state.
+    kept. The laid-out texts are deleted at the run's end. A run with other
+    rows, lengths, model, targets or settings is refused, and so is a damaged
+    state.
     """
     spark = source.sparkSession
     scoring.layout_of(targets)
@@ -171,7 +173,8 @@ def run(
         place = permuted(F.col("batch"), batches, seed)
         wave = batched.select("row_id", "batch", F.call_function("div", place, F.lit(per_wave).cast("long")).alias("wave"))
         laid = source.select("row_id", "text", "token_count").join(wave, "row_id")
-        laid.repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(rows)
+        with runtime.freeing(spark):
+            laid.repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(rows)
         state = {"settings": now, "waves": -(-batches // per_wave), "completed_waves": 0, "documents": 0}
         at = versions.commit(spark.createDataFrame([], "row_id long, probs array<float>"), scores, at, state=state)
     state = _checked(versions.state(spark, scores, at), now, documents, size, per_wave)
@@ -182,7 +185,8 @@ def run(
         began = time.monotonic()
         n, batch = _laid(spark, rows, range(done, min(done + width, last)), kind)
         try:
-            new = runtime.stored(score_packed(batch, load, len(targets), limit).select("row_id", "probs"))
+            with runtime.freeing(spark):
+                new = runtime.stored(score_packed(batch, load, len(targets), limit).select("row_id", "probs"))
         except Exception:
             if n == 1:
                 raise
@@ -194,6 +198,8 @@ def run(
         runtime.discard(new)
         failed = failed if failed and done < failed else None
         width = max(1, (failed - done) // 2) if failed else next_span(n, time.monotonic() - began)
+    if done == state["waves"]:
+        runtime.delete(spark, rows)
     return versions.read(spark, scores, at)
 
 
@@ -208,10 +214,14 @@ def tagged(source: DataFrame, scores: DataFrame, targets: list[str]) -> DataFram
     Fails on a row without scores, on a number of scores other than that of the
     targets, on one that isn't from 0 to 1, and if the source has tags already.
     """
-    if "tags" in source.columns:
+    return _with_tags(source.join(scores.select("row_id", "probs"), "row_id", "left"), source.columns, targets)
+
+
+def _with_tags(found: DataFrame, columns: list[str], targets: list[str]) -> DataFrame:
+    """``columns`` and ``tags`` of rows with their ``probs``."""
+    if "tags" in columns:
         raise ValueError("the source has a tags column already")
     layout = scoring.layout_of(targets)
-    found = source.join(scores.select("row_id", "probs"), "row_id", "left")
     say = lambda what: F.raise_error(F.concat(F.lit(what), F.col("row_id").cast("string"))).cast("array<double>")
     p = F.col("probs").cast("array<double>")
     p = F.when(F.col("probs").isNull(), say("no scores of row ")).when(F.size("probs") != len(layout), say("other targets in the scores of row "))
@@ -220,7 +230,23 @@ def tagged(source: DataFrame, scores: DataFrame, targets: list[str]) -> DataFram
     filters: dict[str, list] = {}
     for k, f, j in layout:
         filters.setdefault(f, []).extend([F.lit(j), F.col("__p")[k]])
-    return x.withColumn("tags", F.create_map(*(c for f, pairs in filters.items() for c in (F.lit(f), F.create_map(*pairs))))).select(*source.columns, "tags")
+    return x.withColumn("tags", F.create_map(*(c for f, pairs in filters.items() for c in (F.lit(f), F.create_map(*pairs))))).select(*columns, "tags")
+
+
+def write_tagged(source: DataFrame, scores: DataFrame, targets: list[str], path: str, files: int | None = None) -> None:
+    """``tagged`` rows as ``write_in_order`` writes them, with any further columns of ``scores``.
+
+    Rows meet their scores in the ranges of row_id of the files, so texts are
+    dealt out once.
+    """
+    own, more = [c for c in source.columns if c != "row_id"], [c for c in scores.columns if c not in ("row_id", "probs")]
+    both = source.withColumn("__own", F.lit(True)).unionByName(scores.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    both = both.repartitionByRange(files or runtime.partitions(source.sparkSession), "row_id")
+    there = (F.first(c, True).over(Window.partitionBy("row_id")).alias(c) for c in ("probs", *more))
+    found = both.select("row_id", "__own", *own, *there).where("__own")
+    rows = _with_tags(found, ["row_id", *own, *more], targets).sortWithinPartitions("row_id")
+    with runtime.freeing(source.sparkSession):
+        rows.drop("row_id").write.option("ignoreNullFields", "false").json(path)
 
 
 def write_in_order(rows: DataFrame, path: str, files: int | None = None, order: str = "row_id", keep_order: bool = False) -> None:

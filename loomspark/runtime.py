@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,18 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._loomspark_path)
 
 
+@contextmanager
+def freeing(spark: SparkSession):
+    """Writes within give up their shuffle files as they end, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it lies."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

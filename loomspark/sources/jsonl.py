@@ -21,7 +21,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     n = rows.groupBy("file", "at").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")
     start = n.select("file", "at", (before - F.col("first") + 1).alias("shift"))
-    return rows.join(start, ["file", "at"]).select("file", (F.col("nth") + F.col("shift")).alias("line"), "text")
+    return rows.join(F.broadcast(start), ["file", "at"]).select("file", (F.col("nth") + F.col("shift")).alias("line"), "text")  # start has a row for each split
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], policy: str = "fail", blank_lines: bool = True) -> DataFrame:

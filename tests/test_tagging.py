@@ -145,7 +145,9 @@ def test_a_run_keeps_the_waves_before_one_that_fails(spark, tmp_path, monkeypatc
     monkeypatch.setattr(tagging, "SPAN", 1e6)
     source, home = docs(spark, 120), str(tmp_path / "run")
     whole = {r.row_id: r.probs for r in tagging.run(source, str(tmp_path / "whole"), load, "m", TARGETS, 3, per_wave=1).collect()}
+    assert not os.path.exists(f"{tmp_path}/whole/rows")  # nothing reads them any more
     tagging.run(source, home, load, "m", TARGETS, 3, per_wave=1, most_waves=0)
+    shutil.copytree(f"{home}/rows/wave=17", f"{tmp_path}/good")
     bad = spark.read.parquet(f"{home}/rows/wave=17").withColumn("text", F.lit("bad")).localCheckpoint()
     bad.write.mode("overwrite").parquet(f"{home}/rows/wave=17")
 
@@ -161,7 +163,7 @@ def test_a_run_keeps_the_waves_before_one_that_fails(spark, tmp_path, monkeypatc
         tagging.run(source, home, picky, "m", TARGETS, 3, per_wave=1, resume=True)
     assert saved(spark, home)[-1] == 17
     shutil.rmtree(f"{home}/rows/wave=17")
-    shutil.copytree(f"{tmp_path}/whole/rows/wave=17", f"{home}/rows/wave=17")
+    shutil.copytree(f"{tmp_path}/good", f"{home}/rows/wave=17")
     assert {r.row_id: r.probs for r in tagging.run(source, home, picky, "m", TARGETS, 3, per_wave=1, resume=True).collect()} == whole
 
 
@@ -179,3 +181,19 @@ def test_tags_are_written_in_source_order(spark, tmp_path):
             tagging.tagged(source, one, TARGETS).collect()
     with pytest.raises(ValueError, match="tags column"):
         tagging.tagged(source.withColumn("tags", F.lit(1)), scores, TARGETS)
+
+
+def test_rows_meet_their_scores_in_the_ranges_of_the_files(spark, tmp_path):
+    source = docs(spark).repartition(7)
+    scores = spark.createDataFrame([(k, [0.25, 0.5, k / 64, 1.0]) for k in range(59, -1, -1)], "row_id long, probs array<float>")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    tagging.write_in_order(tagging.tagged(source, scores, TARGETS), one, 5)
+    tagging.write_tagged(source.select("row_id", "text"), scores.join(source.select("row_id", "token_count"), "row_id"), TARGETS, two, 5)
+    lines = [[x for f in sorted(os.listdir(p)) if f.endswith(".json") for x in open(f"{p}/{f}")] for p in (one, two)]
+    assert lines[0] == lines[1] and len(lines[0]) == 60
+    for bad, match in (([0.1, 0.2, 0.3, 1.5], "not a probability"), ([0.1], "other targets"), (None, "no scores")):
+        less = scores.where("row_id <> 3").unionByName(spark.createDataFrame([(3, bad)], scores.schema))
+        with pytest.raises(Exception, match=match):
+            tagging.write_tagged(source, less, TARGETS, str(tmp_path / match))
+    with pytest.raises(ValueError, match="tags column"):
+        tagging.write_tagged(source.withColumn("tags", F.lit(1)), scores, TARGETS, str(tmp_path / "no"))
